@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.plans import joined, scores
+
 FLAGSHIP = "score_findings"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (scores, joined):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
