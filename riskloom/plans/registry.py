@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import aggregated, joined, scores, windowed
+from riskloom.plans import aggregated, joined, scalars, scores, windowed
 
 FLAGSHIP = "score_findings"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (scores, joined, aggregated, windowed):
+for _module in (scores, joined, aggregated, windowed, scalars):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
