@@ -178,7 +178,7 @@ def functions_of(text: str | None) -> list[tuple]:
     def visit(body, prefix: str):
         for n in body:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                inner = list(ast.walk(n))
+                inner = [x for part in n.body for x in ast.walk(part)]
                 calls = list(dict.fromkeys(resolve(c) for c in inner if isinstance(c, ast.Call) and _dotted(c.func)))
                 guards = sum(isinstance(c, ast.Raise) for c in inner) + sum(isinstance(c, ast.Assert) for c in inner)
                 out.append((prefix + n.name, n.lineno, n.end_lineno, calls, guards, sum(isinstance(c, ast.Return) for c in inner)))
