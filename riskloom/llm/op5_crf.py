@@ -9,8 +9,8 @@ likelihood. Scoring computes each token's marginal by the forward-backward recur
 token is toxic comes from the sum of -log(1 - marginal), and two numbers fitted on the training documents turn it into
 the score. Tokens with a marginal of one half or more are the offending spans, given as character offsets.
 
-The model is fitted on a bounded sample: at most 800 toxic and 2400 other training documents, the first by the MD5 of
-their ids, of at most 12,000 characters each. Every document is scored whole.
+The model is fitted on a bounded sample: at most 800 toxic and 2000 other training documents, the first by the MD5 of
+their ids, of at most 8,000 characters each. Every document is scored whole.
 
 Defined cases: null and empty texts have no tokens and get the score of a document without toxic tokens; repeated rows
 are scored alike; without toxic or without other training documents all scores are the share of toxic ones (0 without
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import documents, id_crc, table
 
 FOLDS, HELD_OUT = 5, 0
-TOXIC_DOCS, OTHER_DOCS, MAX_CHARS = 800, 2400, 12_000
+TOXIC_DOCS, OTHER_DOCS, MAX_CHARS = 800, 2000, 8_000
 #: The tokens of all sampled documents choose the marking features; the field itself is fitted on these many of either kind.
 FIT_DOCS = 600
 BUCKETS = 2**18
@@ -56,10 +56,10 @@ def features(word: str) -> list[str]:
     return [f"={core}", *(core[:k] for k in range(3, min(len(core), 12) + 1))] if core else []
 
 
-def _hashed(names: list[str]) -> list[int]:
+def _coded(names: list[str]) -> list[int]:
     import zlib
 
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    return [zlib.crc32(x.encode()) for x in names]
 
 
 def marginals(lines: list, emission: object, trans: object, want: bool = False) -> tuple:
@@ -133,15 +133,20 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         return model
     types: dict[str, int] = {}
     docs = [[[types.setdefault(w, len(types)) for w in line.split()] for line in text.split("\n")] for text in texts]
-    named = [features(w) for w in types]
+    coded = [_coded(features(w)) for w in types]
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in coded]))).astype(np.int64)
+    codes = np.array([c for x in coded for c in x], np.int64)
+    del coded
+    names, place = np.unique(codes, return_inverse=True)
     # how many documents of either kind have a feature
-    with_it: list[dict[str, int]] = [{}, {}]
+    with_it = np.zeros((2, len(names)), np.int64)
     for doc, label in zip(docs, toxic):
-        for name in {x for k in {k for line in doc for k in line} for x in named[k]}:
-            with_it[label][name] = with_it[label].get(name, 0) + 1
+        held = {k for line in doc for k in line}
+        if held:
+            with_it[label, np.unique(np.concatenate([place[begin[k] : begin[k + 1]] for k in held]))] += 1
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    marked = {x for x, c in with_it[1].items() if c >= MIN_DOCS and c / n1 >= MIN_RATIO * (with_it[0].get(x, 0) + 0.5) / n0}
-    is_toxic = np.array([any(x in marked for x in names) for names in named], bool)
+    marked = (with_it[1] >= MIN_DOCS) & (with_it[1] / n1 >= MIN_RATIO * (with_it[0] + 0.5) / n0)
+    is_toxic = np.array([bool(marked[place[begin[k] : begin[k + 1]]].any()) for k in range(len(types))], bool)
     lines, tags = [], []
     left = [FIT_DOCS, FIT_DOCS]
     for doc, label in zip(docs, toxic):
@@ -150,8 +155,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
             if line and left[label] >= 0:
                 lines.append(np.array(line))
                 tags.append(is_toxic[lines[-1]] & bool(label))
-    rows = np.concatenate([np.full(len(x), k) for k, x in enumerate(named)] or [np.zeros(0, int)]).astype(np.int64)
-    cols = np.array([h for x in named for h in _hashed(x)], np.int64)
+    rows, cols = np.repeat(np.arange(len(types)), np.diff(begin)), codes % BUCKETS
     flat, target = np.concatenate(lines), np.concatenate(tags).astype(float)
     seen = np.zeros((2, 2))
     for tag in tags:
@@ -204,7 +208,7 @@ def _emissions(model: Field, words: list[str]) -> list[int]:
         if k is None:
             names = features(w)
             known[w] = k = len(values)
-            values.append(model.bias + float(model.weights[np.array(_hashed(names), np.int64)].sum()) if names else model.bias)
+            values.append(model.bias + float(model.weights[np.array(_coded(names), np.int64) % BUCKETS].sum()) if names else model.bias)
         out.append(k)
     return out
 
