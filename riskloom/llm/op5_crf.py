@@ -193,24 +193,23 @@ def _logistic(x, y) -> tuple[float, float]:
     return a, b
 
 
-def _emissions(model: Field, words: list[str]) -> list[int]:
-    """Ids of words, whose emissions are model.known['']; forgotten when too many have gathered."""
+def _learn(model: Field, words: set) -> None:
+    """Adds the emissions of words to model.known, whose values stand under ''."""
     import numpy as np
 
     known = model.known
-    if len(known) > 400_000:
-        known.clear()
     if "" not in known:
-        known[""] = []
-    values, out = known[""], []
-    for w in words:
-        k = known.get(w)
-        if k is None:
-            names = features(w)
-            known[w] = k = len(values)
-            values.append(model.bias + float(model.weights[np.array(_coded(names), np.int64) % BUCKETS].sum()) if names else model.bias)
-        out.append(k)
-    return out
+        known[""] = np.zeros(0)
+    new = [w for w in words if w not in known]
+    if not new:
+        return
+    codes = [_coded(features(w)) for w in new]
+    sizes = np.array([len(c) for c in codes])
+    flat = np.array([c for x in codes for c in x], np.int64) % BUCKETS
+    values = np.bincount(np.repeat(np.arange(len(new)), sizes), model.weights[flat].astype(float), len(new)) + model.bias
+    first = len(known[""])
+    known[""] = np.concatenate((known[""], values))
+    known.update(zip(new, range(first, first + len(new))))
 
 
 def evidence(model: Field, text: str) -> tuple[float, list]:
@@ -221,15 +220,20 @@ def evidence(model: Field, text: str) -> tuple[float, list]:
 def evidences(model: Field, texts: list[str]) -> list[tuple[float, list]]:
     import numpy as np
 
-    lines, owner = [], []
+    split, owner = [], []
     for k, text in enumerate(texts):
         for j, line in enumerate(text.split("\n")):
             if words := line.split():
-                lines.append(np.array(_emissions(model, words)))
+                split.append(words)
                 owner.append((k, j))
-    if not lines:
+    if not split:
         return [(0.0, [])] * len(texts)
-    found, _ = marginals(lines, np.array(model.known[""]), model.trans)
+    if len(model.known) > 600_000:
+        model.known.clear()  # of the words seen so far, no more are held
+    _learn(model, {w for words in split for w in words})
+    known = model.known
+    lines = [np.array([known[w] for w in words]) for words in split]
+    found, _ = marginals(lines, known[""], model.trans)
     sums, spans = np.zeros(len(texts)), [[] for _ in texts]
     for (k, j), m in zip(owner, found):
         sums[k] -= np.log1p(-np.minimum(m, 1 - 1e-9)).sum()
