@@ -81,7 +81,8 @@ def source_refs(text: str | None) -> list[tuple]:
                         names[a.asname or a.name] = full
                     out.append(("import", child.lineno, child.col_offset, full, where, "MEDIUM" if a.name == "*" else "HIGH", *entry))
             elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                walk(child, dict(names), list(stars), f"{where}.{child.name}" if where else child.name, _entry(child.decorator_list) or entry)
+                walk(ast.Module([ast.Expr(d) for d in child.decorator_list], []), names, stars, where, entry)
+                walk(ast.Module(child.body, []), dict(names), list(stars), f"{where}.{child.name}" if where else child.name, _entry(child.decorator_list) or entry)
             elif isinstance(child, ast.ClassDef):
                 walk(child, dict(names), list(stars), f"{where}.{child.name}" if where else child.name, entry)
             else:
