@@ -1,7 +1,7 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-Each text becomes a 64-bit fingerprint of its word shingles. The fingerprint's 16 segments of four bits are mapped to
-their bit counts, a point of a 16-dimensional grid. One differing bit moves one coordinate by at most one, so the
+Each text becomes a 64-bit fingerprint of its word shingles. The fingerprint's 22 segments of three bits (one of one)
+are mapped to their bit counts, a point of a 22-dimensional grid. One differing bit moves one coordinate by at most one, so the
 Manhattan distance of two points never exceeds the Hamming distance of their fingerprints. Points within a distance of
 two share a grid cell once each point is dealt to its own cell and to the cells one step away: the range join. Only
 fingerprints that meet another one in some cell go on to the exact step.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import documents, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-SEGMENTS = 16
+SEGMENT_BITS = 3
 FINGERPRINT = "doc_id long, fp long"
 
 
@@ -68,11 +68,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """One row for each fingerprint and grid cell within one step of its point; a cell is a 64-bit number of 16 digits."""
-    width = 64 // SEGMENTS
-    counts = [f"bit_count(shiftrightunsigned(fp, {i * width}) & {(1 << width) - 1})" for i in range(SEGMENTS)]
-    digits = [f"shiftleft(cast({c} as bigint), {i * 4})" for i, c in enumerate(counts)]
-    steps = ["0L", *[s for i, c in enumerate(counts) for s in (f"if({c} < {width}, shiftleft(1L, {i * 4}), null)", f"if({c} > 0, -shiftleft(1L, {i * 4}), null)")]]
+    """One row for each fingerprint and grid cell within one step of its point; a cell is a number with a digit for each segment."""
+    spans = [(low, min(SEGMENT_BITS, 64 - low)) for low in range(0, 64, SEGMENT_BITS)]
+    wide = SEGMENT_BITS.bit_length()  # of a digit
+    counts = [f"bit_count(shiftrightunsigned(fp, {low}) & {(1 << n) - 1})" for low, n in spans]
+    digits = [f"shiftleft(cast({c} as bigint), {i * wide})" for i, c in enumerate(counts)]
+    steps = ["0L", *[s for i, (c, (_, n)) in enumerate(zip(counts, spans)) for s in (f"if({c} < {n}, shiftleft(1L, {i * wide}), null)", f"if({c} > 0, -shiftleft(1L, {i * wide}), null)")]]
     point = fps.selectExpr("fp", " + ".join(digits) + " as point", f"array_compact(array({', '.join(steps)})) as steps")
     return point.selectExpr("fp", "point", "explode(steps) as step").selectExpr("fp", "point + step as cell")
 
@@ -81,7 +82,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, of distinct fingerprints, whose components are those of all pairs within two bits."""
     cells = _cells(fps)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("cell")
-    near = cells.join(shared, "cell", "left_semi").select("fp").distinct()
+    # sorted and merged at every size, as either side grows with the fingerprints
+    near = cells.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct()
     flips = ["fp", *[f"fp ^ shiftleft(1L, {i})" for i in range(64)]]
     ball = near.selectExpr("fp", f"explode(array({', '.join(flips)})) as mid")
     least = ball.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).filter("b < hi").select("mid", "b")
@@ -114,7 +116,9 @@ def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of each row of docs."""
     held = written(fingerprints(docs), "fingerprints")
     fps = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.select("fp")))
+    # each row is about to make forty; a set number of partitions keeps them apart
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(links(fps.select("fp").repartition(n, "fp")))
     placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     component = placed.join(named, "root").select("fp", "component_id")
@@ -134,7 +138,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = written(clusters(docs), "clusters")
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = written(kept, "kept")
-    alone = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
+    # the documents that stay grow with the input, so they are merged at every size and never broadcast
+    alone = docs.join(kept.filter("n = 1").hint("merge"), "doc_id", "left_semi")
     more = kept.filter("n > 1")
     if not more.limit(1).count():
         out = alone
