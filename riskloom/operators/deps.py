@@ -31,21 +31,33 @@ def forced_by(bumped: DataFrame, requires: DataFrame, trigger: str) -> DataFrame
     return bumped.join(first, "package", "left").select("package", F.coalesce("f.parent", F.lit(trigger)).alias("forced_by"))
 
 
-def verdict(unresolved: Column, breaking: Column, runtime: Column, new_cves: Column, bumped: Column) -> Column:
-    """The upgrade's verdict: the first rule that holds."""
+def verdict(incompatible_runtime: Column, has_conflicts: Column, feasible: Column, has_chain: Column) -> Column:
+    """The upgrade's verdict; the first rule that holds wins."""
     return (
-        F.when(unresolved > 0, "INSUFFICIENT_DATA").when(runtime > 0, "BLOCKED").when(breaking > 0, "PROCEED_AFTER_RESOLUTION").when(new_cves > 0, "REVIEW").when(bumped > 5, "REVIEW").otherwise("SAFE")
+        F.when(incompatible_runtime, "BLOCK_AS_REQUESTED").when(has_conflicts & ~feasible, "BLOCK_AS_REQUESTED").when(has_conflicts, "PROCEED_AFTER_RESOLUTION")
+        .when(has_chain, "PROCEED_AFTER_RESOLUTION").otherwise("SAFE")
     )
 
 
-def plan(conflicting: DataFrame, consumers: DataFrame, targets: DataFrame) -> DataFrame:
-    """step, package, kind: blockers first, those with the most consumers and then by name, then targets in input order.
+def plan(conflicting: DataFrame, requires: DataFrame, targets: DataFrame, primary: str) -> DataFrame:
+    """step, package, kind: the packages that constrain conflicting dependencies, then the targets in input order.
 
-    A plan has as many rows as one upgrade has steps.
+    Of the former, those that require the most of the others come first, then by name; the primary target is none of
+    them. A plan has as many rows as one upgrade has steps, so numbering them in one task is no burden.
     """
-    blockers = conflicting.select(F.col("dep").alias("package")).join(consumers, "package", "left").select("package", F.lit("blocker").alias("kind"), F.lit(0).alias("part"), (-F.coalesce("n_consumers", F.lit(0))).cast("bigint").alias("a"), F.col("package").alias("b"))
-    wanted = targets.select("package", F.lit("target").alias("kind"), F.lit(1).alias("part"), F.col("row_id").cast("bigint").alias("a"), F.col("package").alias("b"))
-    return blockers.unionByName(wanted).select(F.row_number().over(Window.orderBy("part", "a", "b")).alias("step"), "package", "kind")
+    blockers = requires.join(conflicting.select("dep"), "dep", "left_semi").select("package").distinct().filter(F.col("package") != primary)
+    inner = requires.join(blockers, "package", "left_semi").join(blockers.select(F.col("package").alias("dep")), "dep", "left_semi").groupBy("package").agg(F.count_distinct("dep").alias("n"))
+    first = blockers.join(inner, "package", "left").select("package", F.lit("blocker").alias("kind"), F.lit(0).alias("part"), (-F.coalesce("n", F.lit(0))).cast("bigint").alias("a"))
+    then = targets.join(blockers, "package", "left_anti").select("package", F.lit("target").alias("kind"), F.lit(1).alias("part"), F.col("row_id").cast("bigint").alias("a"))
+    return first.unionByName(then).select(F.row_number().over(Window.orderBy("part", "a", "package")).alias("step"), "package", "kind")
+
+
+def test_surface(steps: DataFrame, chain: DataFrame, current: DataFrame, target: DataFrame) -> DataFrame:
+    """packages_changed and transitive_packages_touched of a plan's steps and a cascade's chain (package)."""
+    both = current.select("package", F.col("version").alias("a")).join(target.select("package", F.col("version").alias("b")), "package").filter("a != b").join(steps.select("package"), "package", "left_anti")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = n(steps, "s").join(n(chain, "c")).join(n(both, "t"))  # single rows
+    return one.select((F.col("s") + F.col("c")).alias("packages_changed"), (F.col("t") + F.col("c")).alias("transitive_packages_touched"))
 
 
 def minimum_safe(current: Column) -> Column:

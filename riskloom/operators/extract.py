@@ -248,11 +248,12 @@ def extract_hunks(patches: DataFrame) -> DataFrame:
 
 
 def classify(before: dict[str, Column], after: dict[str, Column]) -> Column:
-    """The label of a symbol's change from facts of either side: exists, params, defaults, returns, guards, body.
+    """The label of a symbol's change from facts of either side: exists, name, signature, returns, guards, body.
 
-    The first rule that holds wins: removed, added, signature, defaults, returns, hardened, modified.
+    The first rule that holds wins; more guards harden a symbol only if its body differs. What no rule names is internal.
     """
     return (
-        F.when(~after["exists"], "REMOVED").when(~before["exists"], "ADDED").when(before["params"] != after["params"], "SIGNATURE_CHANGED").when(before["defaults"] != after["defaults"], "DEFAULT_CHANGED")
-        .when(before["returns"] != after["returns"], "RETURN_TYPE_CHANGED").when(after["guards"] > before["guards"], "HARDENED_ONLY").otherwise("MODIFIED")
+        F.when(~after["exists"] & before["exists"], "REMOVED").when(~before["exists"] & after["exists"], "ADDED").when(~before["exists"] & ~after["exists"], "INTERNAL_CHANGE")
+        .when(before["name"] != after["name"], "RENAMED").when(before["signature"] != after["signature"], "SIGNATURE_CHANGED").when(before["returns"] != after["returns"], "RETURN_CHANGED")
+        .when((after["guards"] > before["guards"]) & (before["body"] != after["body"]), "HARDENED_ONLY").otherwise("INTERNAL_CHANGE")
     )

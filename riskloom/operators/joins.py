@@ -84,14 +84,30 @@ def api_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compare_signatures(old: Column, new: Column) -> Column:
-    """What two parameter arrays differ in: removed, added, reordered; '' if nothing."""
-    gone, came = F.array_except(old, new), F.array_except(new, old)
+    """What breaks callers between two signatures; '' if nothing does.
+
+    A signature is a struct of args, kwonly, pos_defaults, kw_defaults (arrays of names), has_varargs and has_kwargs.
+    """
+    none = F.array().cast("array<string>")
+    gone = F.when(new["has_varargs"] | new["has_kwargs"], none).otherwise(F.filter(old["args"], lambda x: ~F.array_contains(new["args"], x)))
+    gone_kw = F.when(new["has_kwargs"], none).otherwise(F.filter(old["kwonly"], lambda x: ~F.array_contains(new["kwonly"], x)))
+    known = F.concat(old["args"], old["kwonly"])
+    came = F.filter(new["args"], lambda x: ~F.array_contains(F.concat(known, new["pos_defaults"], F.array(F.lit("self"), F.lit("cls"))), x))
+    came_kw = F.filter(new["kwonly"], lambda x: ~F.array_contains(F.concat(known, new["kw_defaults"]), x))
+    said = lambda what, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{what}: "), F.array_join(names, ", ")))
     return F.concat_ws(
-        "; ", F.when(F.size(gone) > 0, F.concat(F.lit("removed: "), F.array_join(gone, ", "))), F.when(F.size(came) > 0, F.concat(F.lit("added: "), F.array_join(came, ", "))),
-        F.when((F.size(gone) == 0) & (F.size(came) == 0) & (F.to_json(old) != F.to_json(new)), F.lit("reordered")),
+        "; ", said("Removed positional arguments", gone), said("Removed keyword arguments", gone_kw), said("Added required positional arguments", came), said("Added required keyword arguments", came_kw),
+        F.when(old["has_kwargs"] & ~new["has_kwargs"], F.lit("Removed variable keyword arguments (**kwargs)")),
     )
 
 
+def render_signature(sig: Column) -> Column:
+    """A signature as text."""
+    listed = lambda what, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{what}: ['"), F.array_join(names, "', '"), F.lit("']")))
+    text = F.concat_ws(", ", listed("args", sig["args"]), listed("kwonly", sig["kwonly"]), F.when(sig["has_varargs"], "*args"), F.when(sig["has_kwargs"], "**kwargs"))
+    return F.when(text == "", "()").otherwise(text)
+
+
 def rewrite_lines(lines: DataFrame, steps: DataFrame) -> DataFrame:
     """Requirement lines with the versions of the steps: those of a package to upgrade are replaced, others stay."""
     name = F.regexp_extract("line", r"^([A-Za-z0-9._-]+)", 1)

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from riskloom.operators import windows as wi
 
 #: What each role may do.
-ROLES = {"viewer": ("assessment:read",), "analyst": ("assessment:read", "assessment:submit"), "admin": ("assessment:read", "assessment:submit", "assessment:delete", "audit:read")}
+ROLES = {
+    "owner": ("assessment:create", "assessment:read", "assessment:list", "assessment:delete", "audit:read", "policy:read", "policy:write", "member:manage"),
+    "admin": ("assessment:create", "assessment:read", "assessment:list", "assessment:delete", "audit:read", "policy:read"),
+    "analyst": ("assessment:create", "assessment:read", "assessment:list"),
+    "viewer": ("assessment:read", "assessment:list"),
+}
 
 
 def permissions(spark: SparkSession) -> DataFrame:

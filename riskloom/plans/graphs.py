@@ -144,21 +144,30 @@ def attribution(spark, sf):
     return deps.forced_by(n, view(spark, sf, "requires"), "pkg7")
 
 
-@query("upgrade_verdict", "SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 'INSUFFICIENT_DATA' WHEN p_partkey % 7 = 0 THEN 'BLOCKED' WHEN p_partkey % 5 = 0 THEN 'PROCEED_AFTER_RESOLUTION' WHEN p_partkey % 3 = 0 THEN 'REVIEW' WHEN p_partkey % 11 > 5 THEN 'REVIEW' ELSE 'SAFE' END AS verdict FROM part")
+@query("upgrade_verdict", "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'BLOCK_AS_REQUESTED' WHEN p_partkey % 5 = 0 AND p_partkey % 2 = 1 THEN 'BLOCK_AS_REQUESTED' WHEN p_partkey % 5 = 0 OR p_partkey % 3 = 0 THEN 'PROCEED_AFTER_RESOLUTION' ELSE 'SAFE' END AS verdict FROM part")
 def verdicts(spark, sf):
     k = F.col("p_partkey")
-    one = lambda m: (k % m == 0).cast("int")
-    return view(spark, sf, "part").select(k.alias("id"), deps.verdict(one(17), one(5), one(7), one(3), k % 11).alias("verdict"))
+    return view(spark, sf, "part").select(k.alias("id"), deps.verdict(k % 7 == 0, k % 5 == 0, k % 2 == 0, k % 3 == 0).alias("verdict"))
 
 
-@query("resolution_plan", f"""WITH {ctes("requires")}, s AS ({RESOLVED}), m AS (SELECT r.*, {OPS}, list_transform(string_split(s.version, '.'), lambda x: x::INT) AS v FROM requires r JOIN s ON s.package = r.dep),
-  c AS (SELECT dep FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MET})), n AS (SELECT dep, count(DISTINCT package) AS k FROM requires GROUP BY dep),
-  u AS (SELECT c.dep AS package, 'blocker' AS kind, 0 AS part, -n.k AS a FROM c JOIN n USING (dep) UNION ALL SELECT package, 'target', 1, row_id FROM requires WHERE row_id < 15)
-  SELECT row_number() OVER (ORDER BY part, a, package) AS step, package, kind FROM u""")
+PLAN = f"""WITH {ctes("requires", "tree_current", "tree_target")}, s AS ({RESOLVED}), m AS (SELECT r.*, {OPS}, list_transform(string_split(s.version, '.'), lambda x: x::INT) AS v FROM requires r JOIN s ON s.package = r.dep),
+  c AS (SELECT dep FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MET})), b AS (SELECT DISTINCT package FROM requires WHERE dep IN (SELECT dep FROM c) AND package <> 'pkg1'),
+  n AS (SELECT package, count(DISTINCT dep) AS k FROM requires WHERE package IN (SELECT package FROM b) AND dep IN (SELECT package FROM b) GROUP BY package),
+  u AS (SELECT b.package, 'blocker' AS kind, 0 AS part, -coalesce(n.k, 0) AS a FROM b LEFT JOIN n USING (package) UNION ALL SELECT package, 'target', 1, row_id FROM requires WHERE row_id < 15 AND package NOT IN (SELECT package FROM b)),
+  steps AS (SELECT row_number() OVER (ORDER BY part, a, package) AS step, package, kind FROM u)"""
+
+
+@query("resolution_plan", f"{PLAN} SELECT * FROM steps")
 def resolution_plan(spark, sf):
     r = view(spark, sf, "requires")
-    consumers = r.groupBy(F.col("dep").alias("package")).agg(F.count_distinct("package").alias("n_consumers"))
-    return deps.plan(deps.conflicts(r, resolved(spark, sf)), consumers, r.filter("row_id < 15").select("package", "row_id"))
+    return deps.plan(deps.conflicts(r, resolved(spark, sf)), r, r.filter("row_id < 15").select("package", "row_id"), "pkg1")
+
+
+@query("plan_test_surface", f"{PLAN}, ch AS (SELECT c.package FROM tree_current c JOIN tree_target t USING (package) WHERE c.version <> t.version AND c.package LIKE 'pkg1%') SELECT (SELECT count(*) FROM steps) + (SELECT count(*) FROM ch) AS packages_changed, (SELECT count(*) FROM tree_current c JOIN tree_target t USING (package) WHERE c.version <> t.version AND c.package NOT IN (SELECT package FROM steps)) + (SELECT count(*) FROM ch) AS transitive_packages_touched")
+def plan_surface(spark, sf):
+    cur, tgt = view(spark, sf, "tree_current"), view(spark, sf, "tree_target")
+    chain = jn.tree_diff(cur, tgt).filter("change = 'bumped' and package like 'pkg1%'").select("package")
+    return deps.test_surface(resolution_plan(spark, sf), chain, cur, tgt)
 
 
 @query("minimum_safe_version", f"WITH {ctes('tree_current')} SELECT package, version AS minimum_safe FROM tree_current")

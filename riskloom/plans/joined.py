@@ -138,14 +138,27 @@ def api_diff(spark, sf):
     return jn.api_changes(one(OLD), one(NEW))
 
 
-@query("signature_compare", """WITH s AS (SELECT p_partkey AS id, ['self', concat('a', p_partkey % 3), 'b'] AS o, CASE WHEN p_partkey % 5 = 0 THEN ['b', concat('a', p_partkey % 3), 'self'] ELSE ['self', concat('a', p_partkey % 2), 'b'] END AS n FROM part),
-  d AS (SELECT id, o, n, list_filter(o, lambda x: NOT list_contains(n, x)) AS g, list_filter(n, lambda x: NOT list_contains(o, x)) AS c FROM s)
-  SELECT id, concat_ws('; ', CASE WHEN len(g) > 0 THEN 'removed: ' || array_to_string(g, ', ') END, CASE WHEN len(c) > 0 THEN 'added: ' || array_to_string(c, ', ') END, CASE WHEN len(g) = 0 AND len(c) = 0 AND o <> n THEN 'reordered' END) AS difference FROM d""")
+OLD_SIG = "named_struct('args', array('self', concat('a', p_partkey % 3), 'b'), 'kwonly', array(concat('k', p_partkey % 2)), 'has_kwargs', p_partkey % 5 = 0)"
+NEW_SIG = "named_struct('args', array('self', concat('a', p_partkey % 2), 'b'), 'kwonly', array(concat('k', p_partkey % 3)), 'pos_defaults', if(p_partkey % 4 = 0, array('a0', 'a1'), array('b')), 'kw_defaults', if(p_partkey % 6 = 0, array('k0', 'k1', 'k2'), array('x')), 'has_varargs', p_partkey % 7 = 0, 'has_kwargs', p_partkey % 11 = 0)"
+
+
+@query("signature_compare", """WITH s AS (SELECT p_partkey AS id, ['self', concat('a', p_partkey % 3), 'b'] AS oa, [concat('k', p_partkey % 2)] AS ok, p_partkey % 5 = 0 AS ow, ['self', concat('a', p_partkey % 2), 'b'] AS na, [concat('k', p_partkey % 3)] AS nk,
+    CASE WHEN p_partkey % 4 = 0 THEN ['a0', 'a1'] ELSE ['b'] END AS pd, CASE WHEN p_partkey % 6 = 0 THEN ['k0', 'k1', 'k2'] ELSE ['x'] END AS kd, p_partkey % 7 = 0 AS nv, p_partkey % 11 = 0 AS nw FROM part),
+  d AS (SELECT id, ow AND NOT nw AS lost, CASE WHEN nv OR nw THEN [] ELSE list_filter(oa, lambda x: NOT list_contains(na, x)) END AS g, CASE WHEN nw THEN [] ELSE list_filter(ok, lambda x: NOT list_contains(nk, x)) END AS gk,
+    list_filter(na, lambda x: NOT list_contains(oa, x) AND NOT list_contains(ok, x) AND x NOT IN ('self', 'cls') AND NOT list_contains(pd, x)) AS c, list_filter(nk, lambda x: NOT list_contains(oa, x) AND NOT list_contains(ok, x) AND NOT list_contains(kd, x)) AS ck FROM s)
+  SELECT id, concat_ws('; ', CASE WHEN len(g) > 0 THEN 'Removed positional arguments: ' || array_to_string(g, ', ') END, CASE WHEN len(gk) > 0 THEN 'Removed keyword arguments: ' || array_to_string(gk, ', ') END,
+    CASE WHEN len(c) > 0 THEN 'Added required positional arguments: ' || array_to_string(c, ', ') END, CASE WHEN len(ck) > 0 THEN 'Added required keyword arguments: ' || array_to_string(ck, ', ') END,
+    CASE WHEN lost THEN 'Removed variable keyword arguments (**kwargs)' END) AS difference FROM d""")
 def signature_compare(spark, sf):
-    p = view(spark, sf, "part").selectExpr("p_partkey as id", "array('self', concat('a', p_partkey % 3), 'b') as o", "if(p_partkey % 5 = 0, array('b', concat('a', p_partkey % 3), 'self'), array('self', concat('a', p_partkey % 2), 'b')) as n")
+    p = view(spark, sf, "part").selectExpr("p_partkey as id", f"{OLD_SIG} as o", f"{NEW_SIG} as n")
     return p.select("id", jn.compare_signatures(F.col("o"), F.col("n")).alias("difference"))
 
 
+@query("signature_render", "SELECT p_partkey AS id, replace(concat_ws(', ', concat('args: [~self~, ~a', p_partkey % 2, '~, ~b~]'), concat('kwonly: [~k', p_partkey % 3, '~]'), CASE WHEN p_partkey % 7 = 0 THEN '*args' END, CASE WHEN p_partkey % 11 = 0 THEN '**kwargs' END), '~', chr(39)) AS text FROM part")
+def signature_render(spark, sf):
+    return view(spark, sf, "part").selectExpr("p_partkey as id", f"{NEW_SIG} as n").select("id", jn.render_signature(F.col("n")).alias("text"))
+
+
 @query("requirement_rewrite", """WITH l AS (SELECT p_partkey AS line_no, CASE p_partkey % 6 WHEN 0 THEN '# comment' ELSE concat('Pkg_', p_partkey % 40, '==1.', p_partkey % 9) END AS line FROM part), s AS (SELECT DISTINCT concat('pkg-', p_partkey % 20) AS package, concat('2.', p_partkey % 20) AS to_version FROM part)
   SELECT l.line_no, CASE WHEN s.package IS NULL THEN l.line ELSE concat(regexp_extract(l.line, '^([A-Za-z0-9._-]+)', 1), '==', s.to_version) END AS line FROM l LEFT JOIN s ON s.package = lower(regexp_replace(regexp_extract(l.line, '^([A-Za-z0-9._-]+)', 1), '[-_.]+', '-', 'g'))""")
 def requirement_rewrite(spark, sf):

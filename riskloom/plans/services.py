@@ -28,7 +28,7 @@ def query(name: str, sql: str | None):
     return add
 
 
-REQUESTS = "SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' WHEN 2 THEN 'admin' ELSE 'guest' END AS role, CASE event_type WHEN 'click' THEN 'assessment:read' WHEN 'view' THEN 'assessment:submit' WHEN 'purchase' THEN 'assessment:delete' WHEN 'signup' THEN 'audit:read' ELSE 'other' END AS action, user_id % 3 AS tenant, event_id % 2 AS resource_tenant FROM {events}"
+REQUESTS = "SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' WHEN 2 THEN 'owner' ELSE 'guest' END AS role, CASE event_type WHEN 'click' THEN 'assessment:read' WHEN 'view' THEN 'assessment:create' WHEN 'purchase' THEN 'assessment:delete' WHEN 'signup' THEN 'audit:read' ELSE 'other' END AS action, user_id % 3 AS tenant, event_id % 2 AS resource_tenant FROM {events}"
 GRANTS = ", ".join(f"('{r}', '{a}')" for r, xs in service.ROLES.items() for a in xs)
 
 
@@ -148,11 +148,11 @@ def hunks(spark, sf):
     return found.select("cve_id", "file", "header", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
 
-@query("change_classification", "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'REMOVED' WHEN p_partkey % 6 = 0 THEN 'ADDED' WHEN p_partkey % 5 = 0 THEN 'SIGNATURE_CHANGED' WHEN p_partkey % 4 = 0 THEN 'DEFAULT_CHANGED' WHEN p_partkey % 3 = 0 THEN 'RETURN_TYPE_CHANGED' WHEN p_partkey % 2 = 0 THEN 'HARDENED_ONLY' ELSE 'MODIFIED' END AS label FROM part")
+@query("change_classification", "SELECT p_partkey AS id, CASE WHEN p_partkey % 42 = 0 THEN 'INTERNAL_CHANGE' WHEN p_partkey % 7 = 0 THEN 'REMOVED' WHEN p_partkey % 6 = 0 THEN 'ADDED' WHEN p_partkey % 11 = 0 THEN 'RENAMED' WHEN p_partkey % 5 = 0 THEN 'SIGNATURE_CHANGED' WHEN p_partkey % 3 = 0 THEN 'RETURN_CHANGED' WHEN p_partkey % 2 = 0 THEN 'HARDENED_ONLY' ELSE 'INTERNAL_CHANGE' END AS label FROM part")
 def classification(spark, sf):
     k = F.col("p_partkey")
     one = lambda m: (k % m == 0).cast("int")
-    zero = F.lit(0)
-    before = {"exists": k % 6 != 0, "params": zero, "defaults": zero, "returns": zero, "guards": zero}
-    after = {"exists": k % 7 != 0, "params": one(5), "defaults": one(4), "returns": one(3), "guards": one(2)}
+    zero, name = F.lit(0), F.lit("f")
+    before = {"exists": k % 6 != 0, "name": name, "signature": zero, "returns": zero, "guards": zero, "body": zero}
+    after = {"exists": k % 7 != 0, "name": F.when(k % 11 == 0, "g").otherwise("f"), "signature": one(5), "returns": one(3), "guards": one(2), "body": F.lit(1)}
     return view(spark, sf, "part").select(k.alias("id"), extract.classify(before, after).alias("label"))

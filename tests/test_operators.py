@@ -166,7 +166,7 @@ def test_conflicts(spark):
 
 
 def test_services(spark):
-    asked = spark.createDataFrame([("viewer", "assessment:read", "t", "t"), ("viewer", "assessment:delete", "t", "t"), ("admin", "assessment:delete", "t", "u"), ("nobody", "assessment:read", "t", "t")], "role string, action string, tenant string, resource_tenant string")
+    asked = spark.createDataFrame([("viewer", "assessment:read", "t", "t"), ("viewer", "assessment:delete", "t", "t"), ("owner", "assessment:delete", "t", "u"), ("nobody", "assessment:read", "t", "t")], "role string, action string, tenant string, resource_tenant string")
     got = {(r.role, r.action): r.allowed for r in service.allowed(asked, service.permissions(spark)).collect()}
     assert list(got.values()).count(True) == 1 and got[("viewer", "assessment:read")]
 
