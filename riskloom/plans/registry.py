@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import aggregated, graphs, joined, scalars, scores, services, windowed
+from riskloom.plans import aggregated, extras, graphs, joined, scalars, scores, services, windowed
 
 FLAGSHIP = "score_findings"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (scores, joined, aggregated, windowed, scalars, graphs, services):
+for _module in (scores, joined, aggregated, windowed, scalars, graphs, services, extras):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
