@@ -257,3 +257,22 @@ def classify(before: dict[str, Column], after: dict[str, Column]) -> Column:
         .when(before["name"] != after["name"], "RENAMED").when(before["signature"] != after["signature"], "SIGNATURE_CHANGED").when(before["returns"] != after["returns"], "RETURN_CHANGED")
         .when((after["guards"] > before["guards"]) & (before["body"] != after["body"]), "HARDENED_ONLY").otherwise("INTERNAL_CHANGE")
     )
+
+
+def unified_diffs(files: DataFrame) -> DataFrame:
+    """path and diff of files (path, old, new) whose texts differ, as unified diffs."""
+
+    def compare(parts: Iterator) -> Iterator:
+        import difflib
+
+        import pandas as pd
+
+        for pdf in parts:
+            out = []
+            for path, old, new in zip(pdf.path, pdf.old, pdf.new):
+                if old != new:
+                    lines = difflib.unified_diff((old or "").splitlines(True), (new or "").splitlines(True), f"a/{path}", f"b/{path}")
+                    out.append((path, "".join(lines)))
+            yield pd.DataFrame(out, columns=["path", "diff"])
+
+    return files.select("path", "old", "new").mapInPandas(compare, "path string, diff string")

@@ -156,3 +156,10 @@ def classification(spark, sf):
     before = {"exists": k % 6 != 0, "name": name, "signature": zero, "returns": zero, "guards": zero, "body": zero}
     after = {"exists": k % 7 != 0, "name": F.when(k % 11 == 0, "g").otherwise("f"), "signature": one(5), "returns": one(3), "guards": one(2), "body": F.lit(1)}
     return view(spark, sf, "part").select(k.alias("id"), extract.classify(before, after).alias("label"))
+
+
+@query("fix_plan_diff", "SELECT concat('r', p_partkey, '.txt') AS path, concat('--- a/r', p_partkey, '.txt', chr(10), '+++ b/r', p_partkey, '.txt', chr(10), '@@ -1,2 +1,2 @@', chr(10), '-flask==0.', p_partkey % 5, chr(10), '+flask==2.0', chr(10), ' click==8', chr(10)) AS diff FROM part WHERE p_partkey % 2 = 0")
+def fix_diff(spark, sf):
+    old = "concat('flask==0.', p_partkey % 5, char(10), 'click==8', char(10))"
+    files = view(spark, sf, "part").selectExpr("concat('r', p_partkey, '.txt') as path", f"{old} as old", f"if(p_partkey % 2 = 0, concat('flask==2.0', char(10), 'click==8', char(10)), {old}) as new")
+    return extract.unified_diffs(files)
