@@ -187,7 +187,7 @@ def sarif(spark, sf):
     return exports.sarif_rows(scored(spark, sf), places(spark, sf))
 
 
-@query("sarif_results", None)
+@query("sarif_results", f"{SCORED}, {ctes('refs')}, places AS (SELECT cve_id, file, min(line) AS line FROM refs GROUP BY cve_id, file), res AS (SELECT s.cve_id AS rule_id, CASE recommendation WHEN 'BLOCK' THEN 'error' WHEN 'REVIEW' THEN 'warning' ELSE 'note' END AS level, coalesce(p.file, 'requirements.txt') AS uri, greatest(1, coalesce(p.line, 1))::INT AS start_line FROM s LEFT JOIN places p USING (cve_id)) SELECT rule_id, to_json(struct_pack(ruleId := rule_id, level := level, locations := list_sort(list(DISTINCT struct_pack(uri := uri, region := struct_pack(startLine := start_line))))))::VARCHAR AS result FROM res GROUP BY rule_id, level")
 def sarif_results(spark, sf):
     return exports.sarif_results(scored(spark, sf), places(spark, sf))
 
