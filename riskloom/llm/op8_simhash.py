@@ -18,7 +18,7 @@ there is none). An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,13 +129,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each component does: that of the least doc_id.
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = clusters) -> DataFrame:
+    """The rows of docs that stay when one document of each component does: that of the least doc_id. grouped: gives doc_id and component_id.
 
     Rows that share this doc_id count as one document; the least of them by text, source, lang and n_chars stays.
     Components whose doc_ids are all null keep all their rows, as nothing tells them apart by id.
     """
-    found = written(clusters(docs), "clusters")
+    found = written(grouped(docs), "clusters")
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = written(kept, "kept")
     # the documents that stay grow with the input, so they are merged at every size and never broadcast
