@@ -1,16 +1,20 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Training tokens are the lower-cased words of a text and one end token. Their counts over all training texts give the
-automaton's weights. The root state holds every word with its discounted unigram probability (absolute discounting; the
-mass taken off goes to unknown words). Words with at least 1/2048 of all training tokens have a state of their own, and so
-has the beginning of a text; an arc leads from a state to the state of a word that has followed it, with the discounted
-bigram probability. All other words are reached through the state's failure arc to the root, whose weight makes each
-state's probabilities sum to one. A text is traversed once from left to right: the state carried is the last word's, or
-the root.
-
-Scale: words with at least 1/2**20 of the training tokens number 2**20 at most, whatever the corpus, and states 2048 at
-most, so the table of arcs is bounded too; these are broadcast. The rest of the vocabulary grows with the corpus and
-stays distributed: a text's rare words are joined with their counts by word and summed by text.
+"""Language-model scores from a weighted backoff automaton over all bigrams.
+
+Training tokens are the lower-cased words of a text and one end token. Every word is a state of the automaton, and so is
+the beginning of a text; the root holds the discounted unigram probabilities p(w) (absolute discounting; the mass taken
+off goes to unknown words, which are one class). With c the training counts, state u has for every word w that ever
+followed it an arc to state w of the weight
+    (c(u w) + MU * p(w)) / (c(u) + MU),
+and a failure arc to the root of the weight MU / (c(u) + MU), where the word is then read with p(w). All words of a
+state sum to one. A word that training doesn't know leads to a state without arcs, whose failure arc weighs one. A text is
+traversed once from left to right; the state carried is its last word's, so a text is a sequence of steps (state, word).
+
+Scale: no bigram is left out, so the automaton grows with the corpus and is never gathered in one place. Steps are dealt
+by their word: the task that gets a word sees all its training counts and those of every arc that leads to it, and weighs
+all steps of all texts that read it; a step's numerator and the denominator of the state it leads to depend on nothing
+else. Words are 64-bit hashes. Words with at least 1/2**13 of all tokens (so 2**13 at most) are counted first and sent to
+every task; their steps are dealt by state and word, and the arcs between them that hold at least 1/2**18 of all tokens
+(so 2**18 at most) are weighed where the text is read. What is left under one key is a share of 1/2**13 at most.
 
 Defined cases: a null text is empty and holds the end token alone; a null doc_id counts as the empty text under crc32;
 repeated rows are scored alike; without any training text all tokens are unknown, with a probability of one under the
@@ -23,190 +27,252 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import documents, id_crc, written
 
-STATES, HEAD = 2048, 2**20
 FOLDS, HELD_OUT = 7, 2
-END = b""
-FLUSH = 300_000
+#: Weight of the root's probabilities against a state's own counts.
+MU = 500.0
+HEAD, CACHED = 2**13, 2**18
+SEED = 0
+#: Tokens that a task holds at a time (a longer text is held whole), and distinct words before they are handed on.
+CHUNK, FLUSH = 1_000_000, 2_000_000
+WEIGHED = "key long, sub long, rid long, cw long, own struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
 
 
 @dataclass
 class Automaton:
-    """head: id by word, the first n_states ids being states; arcs: log10 probability by state and word, nan without an arc."""
+    """The root, and what every task holds: the head's words (sorted hashes), their counts, and the cached arcs (sorted places) with theirs."""
 
-    head: dict
-    n_states: int
-    arcs: object
-    failure: object
-    unigram: object
-    base: object
     total: int
     distinct: int
+    texts: int
     discount: float
+    words: object
+    counts: object
+    arcs: object
+    arc_counts: object
+    mu: float = MU
+
+    def root(self, c: object) -> object:
+        """p of words with these training counts."""
+        import numpy as np
 
-    def unigram_log(self, c: int) -> float:
         if not self.total:
-            return 0.0
-        return math.log10((c - self.discount) / self.total) if c else math.log10(self.discount * self.distinct / self.total)
+            return np.ones(len(c))
+        return np.where(c > 0, (c - self.discount) / self.total, self.discount * self.distinct / self.total)
+
+
+def word_hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def _marks() -> tuple[int, int]:
+    """The hashes that stand for the end and the beginning: no word is empty or holds a blank."""
+    return word_hash(b""), word_hash(b" ")
+
+
+def chunks(texts: object, size: int = CHUNK) -> Iterator[tuple[int, object, object, object]]:
+    """(place of the first text, states, words, place of its text within the chunk) of the steps of texts, some whole texts at a time."""
+    import numpy as np
+    import xxhash
+
+    hashed, (end, begin) = xxhash.xxh64_intdigest, _marks()
+    seq: list[int] = []
+    lengths: list[int] = []
+    first = 0
+
+    def out() -> tuple[int, object, object, object]:
+        w, n = np.array(seq, np.uint64), np.array(lengths)
+        u = np.empty_like(w)
+        u[1:] = w[:-1]
+        u[np.cumsum(n) - n] = begin
+        return first, u, w, np.repeat(np.arange(len(n)), n)
+
+    for k, text in enumerate(texts):
+        before = len(seq)
+        seq += [hashed(w, SEED) for w in (text.as_py() or b"").lower().split()]
+        seq.append(end)
+        lengths.append(len(seq) - before)
+        if len(seq) >= size:
+            yield out()
+            seq, lengths, first = [], [], k + 1
+    if lengths:
+        yield out()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), (id_crc(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """word and c, its count in the training texts."""
+def _counted(rows: DataFrame, keys: object) -> DataFrame:
+    """key, c (in training texts) and n (in all texts) of what keys(u, w) gives: the steps that count, as a mask, and their keys."""
 
     def batches(parts: Iterator) -> Iterator:
-        from collections import Counter
-
+        import numpy as np
         import pyarrow as pa
 
-        def out(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def merged(held: list) -> tuple:
+            key, c, n = (np.concatenate(x) for x in zip(*held))
+            found, at = np.unique(key, return_inverse=True)
+            # sums of whole numbers below 2**53 are exact
+            return found, np.bincount(at, c, len(found)).astype(np.int64), np.bincount(at, n, len(found)).astype(np.int64)
 
-        counts: Counter = Counter()
+        held, new = none, []
         for batch in parts:
-            for text in batch.column(1):
-                counts.update((text.as_py() or b"").lower().split())
-                if len(counts) > FLUSH:
-                    yield out(counts)
-                    counts = Counter()
-            counts[END] += batch.num_rows
-        if counts:
-            yield out(counts)
+            trained = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, u, w, doc in chunks(batch.column(1)):
+                mask, key = keys(u, w)
+                found, at = np.unique(key, return_inverse=True)
+                new.append((found, np.bincount(at, trained[first + doc][mask], len(found)).astype(np.int64), np.bincount(at, minlength=len(found))))
+                if sum(len(x[0]) for x in new) > FLUSH:
+                    held, new = merged([held, *new]), []
+                    if len(held[0]) > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["key", "c", "n"])
+                        held = none
+        held = merged([held, *new])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["key", "c", "n"])
+
+    return rows.mapInArrow(batches, "key long, c long, n long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
-    partial = rows.filter("not held_out").select("doc_id", "text").mapInArrow(batches, "word binary, c long")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """key (a word's hash), c and n, its counts in the training texts and in all."""
 
-def _discount(ones: int, twos: int) -> float:
-    return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+    def keys(u: object, w: object) -> tuple:
+        return slice(None), w
 
+    return _counted(rows, keys)
 
-def automaton(rows: DataFrame, words: DataFrame, states: int = STATES, head: int = HEAD) -> Automaton:
-    import numpy as np
 
-    spark = rows.sparkSession
-    total, distinct, ones, twos = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)")).first()
-    # a word with c * head >= total has a share of 1 / head at least, so there are head such words at most
-    top = words.filter(F.col("c") * head >= F.lit(total)).toArrow()
-    pairs = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist()), key=lambda p: (-p[1], p[0]))
-    ids, counts = {w: k for k, (w, _) in enumerate(pairs)}, np.array([c for _, c in pairs], np.float64)
-    n = int(np.count_nonzero(counts * states >= total)) if total else 0
-    shared = spark.sparkContext.broadcast({w: k for w, k in ids.items() if k < n})
+def _places(words: object, x: object) -> tuple[object, object]:
+    """(place in the sorted words, whether it is one of them) of each of x."""
+    import numpy as np
 
-    def batches(parts: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    at = np.searchsorted(words, x)
+    at[at == len(words)] = 0
+    return at, words[at] == x
 
-        of = shared.value
-        end = of.get(END, -1)
-        for batch in parts:
-            seq: list[int] = []
-            for text in batch.column(1):
-                seq.append(n)  # the beginning; as a word it has no arc
-                seq += [of.get(w, -1) for w in (text.as_py() or b"").lower().split()]
-                seq.append(end)
-            a = np.array(seq, np.int64)
-            u, w = a[:-1], a[1:]
-            keys, times = np.unique((u * (n + 1) + w)[(u >= 0) & (w >= 0) & (w < n)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times.astype(np.int64))], ["arc", "c"])
-
-    # end never precedes a beginning's arc: w < n leaves beginnings out as words, and end as a context leads to a beginning only
-    found = rows.filter("not held_out").select("doc_id", "text").mapInArrow(batches, "arc long, c long").groupBy("arc").agg(F.sum("c").alias("c")).toArrow()
-    keys, times = found.column("arc").to_numpy(), found.column("c").to_numpy().astype(np.float64)
-    d1, d2 = _discount(ones, twos), _discount(int((times == 1).sum()), int((times == 2).sum()))
-    texts = dict(pairs).get(END, 0) or (words.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0)
-    context = np.append(counts[:n], texts)
-    uni = np.log10((counts - d1) / total) if total else np.zeros(0)
-    probability = np.full((n + 1) * (n + 1), np.nan)
-    probability[keys] = (times - d2) / context[keys // (n + 1)]
-    probability = probability.reshape(n + 1, n + 1)
-    arc = ~np.isnan(probability)
-    left = 1 - np.where(arc, probability, 0).sum(axis=1)
-    below = 1 - (arc[:, :n] * (10 ** uni[:n])).sum(axis=1) if n else np.ones(n + 1)
-    with np.errstate(divide="ignore"):
-        return Automaton(
-            head=ids, n_states=n, arcs=np.log10(probability).astype(np.float64), failure=np.log10(np.maximum(left, 1e-300) / np.maximum(below, 1e-300)),
-            unigram=uni, base=np.log10((counts + 1) / (total + distinct + 1)), total=int(total), distinct=int(distinct), discount=d1,
-        )
-
-
-def traverse(model: Automaton, words: list[bytes]) -> tuple[int, float, float, dict]:
-    """(tokens the head knows, base score and score of all but the rare words' own weights, rare words with their counts)."""
-    from collections import Counter
 
+def _arc_places(words: object, u: object, w: object) -> tuple[object, object]:
+    """(arc between words of the head as a number, whether it is one); the beginning is the state after the last word."""
     import numpy as np
 
-    n, of = model.n_states, model.head
-    tokens = [*words, END]
-    a = np.fromiter((of.get(w, -1) for w in tokens), np.int64, len(tokens))
-    state = np.empty(len(a), np.int64)
-    state[0], state[1:] = n, a[:-1]
-    state[(state >= n) & (np.arange(len(a)) > 0)] = -1
-    arc = np.full(len(a), np.nan)
-    both = (state >= 0) & (a >= 0) & (a < n)
-    arc[both] = model.arcs[state[both], a[both]]
-    fails = np.isnan(arc)
-    known = a >= 0
-    score = arc[~fails].sum() + model.failure[state[fails & (state >= 0)]].sum() + model.unigram[a[fails & known]].sum()
-    rare = Counter(w for w, k in zip(tokens, a.tolist()) if k < 0) if not known.all() else {}
-    return int(known.sum()), float(model.base[a[known]].sum()), float(score), rare
+    begin = np.uint64(_marks()[1])
+    (iu, hu), (iw, hw) = _places(words, u), _places(words, w)
+    start = u == begin
+    return np.where(start, len(words), iu) * len(words) + iw, (hu | start) & hw
 
 
-SCORED = "rid long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def automaton(rows: DataFrame, words: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float = MU) -> Automaton:
+    import numpy as np
 
+    end = np.uint64(_marks()[0])
+    signed = int(end.view(np.int64))
+    one = words.agg(*[F.coalesce(x, F.lit(0)).cast("long") for x in (F.sum("c"), F.sum("n"), F.expr("count_if(c > 0)"), F.expr("count_if(c = 1)"), F.expr("count_if(c = 2)"), F.sum(F.when(F.col("key") == signed, F.col("c"))))])
+    total, tokens, distinct, ones, twos, texts = one.first()
+    # a word with n * head >= tokens has a share of 1 / head at least, so there are head such words at most, and the end
+    top = words.filter((F.col("n") * head >= F.lit(tokens)) | (F.col("key") == signed)).toArrow()
+    hashes, counts = top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    if not len(hashes):
+        hashes, counts = np.array([end], np.uint64), np.zeros(1, np.int64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    shared = rows.sparkSession.sparkContext.broadcast(hashes)
+
+    def keys(u: object, w: object) -> tuple:
+        arc, held = _arc_places(shared.value, u, w)
+        return held, arc[held].astype(np.uint64)
+
+    found = _counted(rows, keys).filter(F.col("n") * cached >= F.lit(tokens)).toArrow()
+    arcs, arc_counts = found.column("key").to_numpy(), found.column("c").to_numpy()
+    order = np.argsort(arcs)
+    discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+    return Automaton(total=total, distinct=distinct, texts=texts, discount=discount, words=hashes, counts=counts, arcs=arcs[order], arc_counts=arc_counts[order], mu=mu)
+
+
+def traverse(model: Automaton, u: object, w: object, doc: object, n: int) -> tuple:
+    """One chunk's steps: (known words, base score, score) of each text as far as the head tells, and the steps left as a mask with key, sub and the word's count (-1 if unknown here)."""
+    import numpy as np
 
-def scored(docs: DataFrame) -> DataFrame:
+    at, is_head = _places(model.words, w)
+    cw = np.where(is_head, model.counts[at], -1)
+    arc, inner = _arc_places(model.words, u, w)
+    here = np.zeros(len(w), bool)
+    weight = np.zeros(len(w))
+    if len(model.arcs):
+        k = np.searchsorted(model.arcs, arc)
+        k[k == len(model.arcs)] = 0
+        here = inner & (model.arcs[k] == arc)
+        weight[here] = np.log10(model.arc_counts[k[here]] + model.mu * model.root(cw[here]))
+    base = np.zeros(len(w))
+    base[here] = np.log10((cw[here] + 1) / (model.total + model.distinct + 1))
+    # the state that a word of the head leads to; the end leads to none
+    state = is_head & (w != np.uint64(_marks()[0]))
+    weight[state] -= np.log10(cw[state] + model.mu)
+    sums = [np.bincount(doc, x, n) for x in (here & (cw > 0), base, weight)]
+    left = ~here
+    key = np.where(is_head, w + u * np.uint64(0x9E3779B97F4A7C15), w)[left]
+    return sums[0].astype(np.int64), sums[1], sums[2] - math.log10(model.texts + model.mu), left, key, np.where(is_head, np.uint64(0), u)[left], cw[left]
+
+
+def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     rows = _rows(docs)
     words = written(vocabulary(rows), "vocabulary")
-    model = automaton(rows, words)
+    model = automaton(rows, words, head, cached, mu)
     shared = spark.sparkContext.broadcast(model)
-    total, distinct = model.total, model.distinct
 
     def batches(parts: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model, schema = shared.value, pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        rid = TaskContext.get().partitionId() << 40
-        none = (None,) * 6
+        model = shared.value
+        facts = [pa.field(n, t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))]
+        names, kinds = ["key", "sub", "rid", "cw", "own"], [pa.int64()] * 4 + [pa.struct(facts)]
+        # a row's number is even if training counts it
+        seen = TaskContext.get().partitionId() << 40
         for batch in parts:
-            out: list[tuple] = []
-            for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                rid += 1
-                tokens = (text.as_py() or b"").lower().split()
-                known, base, score, rare = traverse(model, tokens)
-                # no word has a blank in it, so this key of the text's own row meets no count
-                out.append((rid, b" %d" % rid, 0, doc_id, held, len(tokens) + 1, known, base, score))
-                out += [(rid, w, c, *none) for w, c in rare.items()]
-                if len(out) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-
-    parts = rows.mapInArrow(batches, SCORED)
-    tail = words.filter(F.col("c") * HEAD < F.lit(total))
-    joined = parts.join(tail, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    if total:
-        unigram = F.when(F.col("c") > 0, F.log10((F.col("c") - model.discount) / total)).otherwise(model.unigram_log(0))
-    else:
-        unigram = F.lit(0.0)
-    base = F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
-    sums = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.coalesce("base_score", F.col("times") * base)).alias("base_score"), F.sum(F.coalesce("score", F.col("times") * unigram)).alias("score"),
-    )
-    return sums.drop("rid")
+            ids, held = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None, batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, u, w, doc in chunks(batch.column(1)):
+                n = int(doc[-1]) + 1
+                rid = ((seen + np.arange(n)) << 1) | held[first : first + n]
+                seen += n
+                known, base, score, left, key, sub, cw = traverse(model, u, w, doc, n)
+                own = pa.StructArray.from_arrays([batch.column(0).slice(first, n).cast(pa.int64()), batch.column(2).slice(first, n), pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(base), pa.array(score)], fields=facts)
+                empty = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.zeros(n, np.int64)), pa.array(rid), empty, own], names)
+                # equal keys stand together, which shortens what is shuffled
+                order = np.argsort(key)
+                steps = [pa.array(key[order].view(np.int64)), pa.array(sub[order].view(np.int64)), pa.array(rid[doc[left]][order]), pa.array(cw[order], mask=cw[order] < 0)]
+                yield pa.RecordBatch.from_arrays([*steps, pa.nulls(len(order), kinds[4])], names)
+
+    steps = rows.mapInArrow(batches, WEIGHED).repartition("key")
+    trained = F.when(F.col("own").isNull() & (F.col("rid").bitwiseAND(F.lit(1)) == 0), 1).otherwise(0)
+    steps = steps.withColumn("cuw", F.sum(trained).over(Window.partitionBy("key", "sub"))).withColumn("ck", F.sum(trained).over(Window.partitionBy("key")))
+    c = F.coalesce("cw", "ck")
+    weight = F.log10(F.col("cuw") + F.lit(mu) * _root(model, c)) - F.when(F.col("cw").isNull(), F.log10(c + F.lit(mu))).otherwise(0.0)
+    base = F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))
+    mine = F.col("own").isNotNull()
+    return steps.groupBy("rid").agg(
+        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"),
+        F.sum(F.when(mine, F.col("own.n_known")).otherwise((c > 0).cast("long"))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        F.sum(F.when(mine, F.col("own.base")).otherwise(base)).alias("base_score"), F.sum(F.when(mine, F.col("own.score")).otherwise(weight)).alias("score"),
+    ).drop("rid")
+
+
+def _root(model: Automaton, c: Column) -> Column:
+    if not model.total:
+        return F.lit(1.0)
+    return F.when(c > 0, (c - F.lit(model.discount)) / F.lit(float(model.total))).otherwise(F.lit(model.discount * model.distinct / model.total))
 
 
 def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

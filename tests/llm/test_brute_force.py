@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -85,38 +86,66 @@ def test_long_chain_settles(spark):
     assert {r.root for r in op8_simhash.components(edges).collect()} == {0}
 
 
-def test_base_scores_and_distribution(spark, corpus):
-    rows = {r.doc_id: r for r in op1_backoff.scored(frame(spark, corpus)).collect()}
-    counts, held = Counter(), {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in corpus}
-    for d, t, _ in corpus:
+def backoff(corpus, mu):
+    """The automaton over the training texts as plain dictionaries, and a text's scores by walking it one token at a time."""
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _, _ in corpus}
+    tokens = {d: [*t.lower().split(), "\n"] for d, t, _ in corpus}
+    count, follows, begins = Counter(), defaultdict(Counter), 0
+    for d, w in tokens.items():
         if not held[d]:
-            counts.update([*t.lower().split(), ""])
-    n, v = sum(counts.values()), len(counts)
-    for d, t, _ in corpus:
-        w = [*t.lower().split(), ""]
-        assert math.isclose(rows[d].base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert (rows[d].n_tokens, rows[d].n_known, rows[d].train_tokens, rows[d].held_out) == (len(w), sum(counts[x] > 0 for x in w), n, held[d])
+            count.update(w)
+            begins += 1
+            for u, x in zip(["", *w], w):
+                follows[u][x] += 1
+    n, v = sum(count.values()), len(count)
+    ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+    off = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+    root = lambda w: (count[w] - off) / n if count[w] else off * v / n
+    times = lambda u: begins if u == "" else count[u]
+    arc = lambda u, w: (follows[u][w] + mu * root(w)) / (times(u) + mu)
+    failure = lambda u: mu / (times(u) + mu)
+
+    def walk(words):
+        state, score, base = "", 0.0, 0.0
+        for w in words:
+            score += math.log10(arc(state, w)) if follows[state][w] else math.log10(failure(state)) + math.log10(root(w))
+            base += math.log10((count[w] + 1) / (n + v + 1))
+            state = w
+        return score, base
+
+    return held, tokens, count, follows, root, arc, failure, walk
+
+
+@pytest.mark.parametrize("head, cached", [(2**13, 2**18), (64, 2**18), (2**13, 512), (1, 1)])
+def test_scores_are_the_automatons(spark, corpus, head, cached):
+    mu = 40.0
+    held, tokens, count, _, _, _, _, walk = backoff(corpus, mu)
+    rows = {r.doc_id: r for r in op1_backoff.scored(frame(spark, corpus), head=head, cached=cached, mu=mu).collect()}
+    assert len(rows) == len(corpus)
+    for d, _, _ in corpus:
+        score, base = walk(tokens[d])
+        assert math.isclose(rows[d].score, score, rel_tol=1e-9) and math.isclose(rows[d].base_score, base, rel_tol=1e-9)
+        assert (rows[d].n_tokens, rows[d].n_known, rows[d].train_tokens, rows[d].held_out) == (len(tokens[d]), sum(count[x] > 0 for x in tokens[d]), sum(count.values()), held[d])
     out = [d for d in rows if held[d]]
     assert sum(rows[d].score for d in out) > sum(rows[d].base_score for d in out)
-    docs = op1_backoff._rows(frame(spark, corpus))
-    words = op1_backoff.vocabulary(docs).cache()
-    model = op1_backoff.automaton(docs, words)
-    unigram = {r.word: 10 ** model.unigram_log(r.c) for r in words.collect()}
-    unknown = 10 ** model.unigram_log(0)
-    assert math.isclose(sum(unigram.values()) + unknown, 1, rel_tol=1e-9)
-    names = sorted(model.head, key=model.head.get)
-    for state in (0, 3, model.n_states):
-        arc = {names[k]: 10 ** model.arcs[state, k] for k in range(model.n_states) if not np.isnan(model.arcs[state, k])}
-        rest = sum(p for w, p in unigram.items() if bytes(w) not in arc) + unknown
-        assert math.isclose(sum(arc.values()) + 10 ** model.failure[state] * rest, 1, rel_tol=1e-9)
-
-
-def test_rare_words_join_gives_the_same(spark, corpus, monkeypatch):
-    whole = {r.doc_id: r for r in op1_backoff.scored(frame(spark, corpus)).collect()}
-    monkeypatch.setattr(op1_backoff, "HEAD", 2048)
-    monkeypatch.setattr(op1_backoff, "automaton", lambda rows, words, f=op1_backoff.automaton: f(rows, words, head=2048))
-    part = {r.doc_id: r for r in op1_backoff.scored(frame(spark, corpus)).collect()}
-    assert all(math.isclose(whole[d].score, part[d].score, rel_tol=1e-9) and math.isclose(whole[d].base_score, part[d].base_score, rel_tol=1e-9) and whole[d].n_known == part[d].n_known for d in whole)
+
+
+def test_states_sum_to_one(corpus):
+    _, _, count, follows, root, arc, failure, _ = backoff(corpus, 40.0)
+    unknown = root("no such word")
+    assert math.isclose(sum(map(root, count)) + unknown, 1, rel_tol=1e-9)
+    for u in ["", *list(count)[:30]]:
+        rest = sum(root(w) for w in count if not follows[u][w]) + unknown
+        assert math.isclose(sum(arc(u, w) for w in follows[u]) + failure(u) * rest, 1, rel_tol=1e-9)
+
+
+def test_long_texts_span_chunks(spark, corpus):
+    whole = {r.doc_id: r.score for r in op1_backoff.scored(frame(spark, corpus)).collect()}
+    texts = pa.array([t for _, t, _ in corpus], pa.binary())
+    small, large = (list(op1_backoff.chunks(texts, size)) for size in (50, 10**9))
+    assert len(large) == 1 and np.array_equal(np.concatenate([x[1] for x in small]), large[0][1]) and np.array_equal(np.concatenate([x[0] + x[3] for x in small]), large[0][3])
+    again = {r.doc_id: r.score for r in op1_backoff.scored(frame(spark, corpus).repartition(5)).collect()}
+    assert all(math.isclose(whole[d], again[d], rel_tol=1e-9) for d in whole)
 
 
 def test_line_runs(spark, corpus):
