@@ -68,19 +68,34 @@ def test_simhash(spark, corpus):
     assert {r.doc_id: r.component_id for r in got} == groups(want)
 
 
-def test_links_of_dense_and_sparse_fingerprints(spark):
+@pytest.mark.parametrize("cell", [64, 4, 1])
+def test_links_of_dense_and_sparse_fingerprints(spark, cell):
     r = random.Random(1)
     prints = {0, 2**64 - 1, 1, 3, 7, 15}
     for _ in range(40):
         x = r.getrandbits(64)
         prints |= {x, x ^ 1 << r.randrange(64), x ^ 3 << r.randrange(63), x ^ 7 << r.randrange(62)}
+    # a ball of 65 and more, all within two bits of its centre
+    centre = r.getrandbits(64)
+    prints |= {centre} | {centre ^ 1 << k for k in range(64)} | {centre ^ 1 << k ^ 1 << (k + 9) % 64 for k in range(64)}
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    edges = op8_simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    edges = op8_simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), cell)
+    if cell == 64:
+        assert all(((x.a ^ x.b) % 2**64).bit_count() <= 2 for x in edges.collect())
     got = {r.node: r.root for r in op8_simhash.components(edges).collect()}
     want = groups({p - 2**64 if p >= 2**63 else p: p for p in prints})
     assert {p: got.get(p, p) for p in signed} == want
 
 
+def test_points_bound_the_hamming_distance(spark):
+    r = random.Random(4)
+    rows = [(x, x ^ sum(1 << k for k in r.sample(range(63), r.randrange(5)))) for x in (r.getrandbits(63) for _ in range(300))]
+    point = lambda x: [(x >> low & (1 << n) - 1).bit_count() for low, n in op8_simhash._spans()]
+    points = {p.fp: p.point for p in op8_simhash.cells(spark.createDataFrame([(x,) for pair in rows for x in pair], "fp long")).collect()}
+    far = spark.createDataFrame([(x, y, points[x], points[y]) for x, y in rows], "x long, y long, a long, b long").selectExpr("x", "y", f"{op8_simhash.manhattan('a', 'b')} as d").collect()
+    assert all(f.d == sum(abs(i - j) for i, j in zip(point(f.x), point(f.y))) <= (f.x ^ f.y).bit_count() for f in far)
+
+
 def test_long_chain_settles(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(200)], "a long, b long")
     assert {r.root for r in op8_simhash.components(edges).collect()} == {0}

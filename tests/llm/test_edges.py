@@ -69,7 +69,16 @@ def test_keep_one_of_ties(odd):
     assert kept.count(7) == 1 and 8 not in kept
     # texts without words are one group, of which the least id stays
     assert 1 in kept and 2 not in kept and 3 not in kept
-    assert kept.count(None) == 2  # nothing tells these rows apart by id, and neither has another document in its group
+    assert kept.count(None) == 1  # equal texts are one group, of which one row stays
+
+
+def test_keep_one_row_of_each_group(spark):
+    a, b = "the first text of two " * 9, "quite another one that nothing links to it " * 7
+    kept = lambda rows: sorted((r.doc_id is None, r.doc_id, r.text) for r in op8_simhash.keep_one(frame(spark, rows)).collect())
+    assert kept([(3, a, "s"), (7, a, "s"), (7, b, "s")]) == [(False, 3, a), (False, 7, b)]
+    assert kept([(7, a, "s"), (7, b, "s")]) == [(False, 7, b), (False, 7, a)]
+    assert kept([(3, a, "s"), (None, a, "s"), (None, b, "s")]) == [(False, 3, a), (True, None, b)]
+    assert kept([(None, a, "x"), (None, a, "s"), (None, a, "s")]) == [(True, None, a)]
 
 
 def test_clean_drops_leaks_only(spark, odd):

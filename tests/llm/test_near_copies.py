@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from riskloom.llm import near_copies
+from riskloom.llm import near_copies, op8_simhash
 from tests.llm import test_brute_force
 from tests.llm.conftest import frame
 from tests.llm.test_brute_force import corpus  # noqa: F401
@@ -67,13 +67,13 @@ def edited():
 @pytest.mark.parametrize("common", [8, 2, 10**9])
 def test_near_copies_match_brute_force(spark, edited, common, monkeypatch):
     monkeypatch.setattr(near_copies, "COMMON", common)
-    got = {r.doc_id: r.component_id for r in near_copies.near_clusters(frame(spark, edited)).collect()}
+    got = {r.doc_id: r.component_id for r in op8_simhash.clusters(frame(spark, edited), near_copies.near_clusters).collect()}
     assert got == brute(edited)
 
 
 def test_pairs_beyond_the_leaders(spark, edited, monkeypatch):
     monkeypatch.setattr(near_copies, "LEADERS", 1)
-    got = {r.doc_id: r.component_id for r in near_copies.near_clusters(frame(spark, edited)).collect()}
+    got = {r.doc_id: r.component_id for r in op8_simhash.clusters(frame(spark, edited), near_copies.near_clusters).collect()}
     assert got == brute(edited)
 
 
