@@ -12,8 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-import corpus_pipeline
-from riskloom.llm import op1_backoff, op2_rules, op3_slots, op4_pu, op5_crf, op6_templates, op7_lines, op8_simhash, op9_tokens
+from riskloom.llm import op1_backoff, op4_pu, op5_crf, op7_lines, op8_simhash, op9_tokens
 from tests.llm.conftest import frame
 
 
@@ -251,43 +250,3 @@ def test_marginals_match_enumeration():
     assert np.allclose(got, want) and not len(empty)
     joint = np.array([[sum(weight(t) * sum((x, y) == (a, b) for x, y in zip(t, t[1:])) for t in every) / z for b in (0, 1)] for a in (0, 1)])
     assert np.allclose(pairs, joint)
-
-
-def test_reparameterised_questions(spark):
-    docs = [(1, "yes Tom has 3 apples and 3 kg of pears while Tom eats 2 apples today", "s"), (2, "x Anna has 7 apples and 7 kg of pears while Anna eats 5 apples today", "s"), (3, "x Anna has 7 apples and 8 kg of pears while Joe eats 5 apples today", "s"), (4, "nothing of the kind", "s")]
-    items = spark.createDataFrame([(9, "yes Tom has 3 apples and 3 kg of pears while Tom eats 2 apples today")], "item_id long, text string")
-    assert {(r.doc_id, r.kind) for r in op6_templates.leaks(frame(spark, docs), items).collect()} == {(1, "verbatim"), (2, "reparameterised")}
-
-
-def test_pipeline(spark, corpus, tmp_path):
-    bench = [(0, corpus[4][1].split("\n")[0] + " " + corpus[4][1].split("\n")[-1]), (1, corpus[21][1].replace("\n", " "))]
-    frame(spark, corpus).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {d: t for d, t, _ in corpus if op2_rules.measure(t.encode())[-1] & op2_rules.POLICIES[1] == 0}
-    roots = groups({d: simhash(t) for d, t in kept.items()})
-    kept = {d: t for d, t in kept.items() if roots[d] == d}
-    import regex
-
-    tokens = lambda t: regex.findall(r"\p{L}+|\ue000", regex.sub(r"([\p{L}\p{N},;:] )\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*", "\\1\ue000", t).lower())
-    windows = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
-    want = [windows(tokens(t)) for _, t in bench]
-    kept = {d: t for d, t in kept.items() if not any(len(w & windows(tokens(t))) >= 0.5 * len(w) for w in want)}
-    sizes, source = defaultdict(int), {d: s for d, _, s in corpus}
-    for d, t in kept.items():
-        sizes[source[d]] += len(t.split())
-    total, weight = sum(sizes.values()), {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))}
-    low, high = 0.0, float(total)
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(3 * sizes[s], mid * weight[s]) for s in sizes) < total else (low, mid)
-    taken = Counter()
-    for r in got:
-        assert r.doc_id in kept and r.size == len(kept[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(kept[r.doc_id].encode())
-        taken[source[r.doc_id]] += len(kept[r.doc_id].split())
-    longest = max(len(t.split()) for t in kept.values())
-    assert all(abs(taken[s] - min(3 * sizes[s], low * weight[s])) <= longest for s in sizes)
-    by = defaultdict(list)
-    for r in got:
-        by[r.shard].append(r.slot)
-    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and op3_slots.SHARDS >= len(by)

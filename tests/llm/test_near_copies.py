@@ -8,9 +8,7 @@ import corpus_pipeline
 import pytest
 
 from riskloom.llm import near_copies, op8_simhash
-from tests.llm import test_brute_force
 from tests.llm.conftest import frame
-from tests.llm.test_brute_force import corpus  # noqa: F401
 
 
 def gram_set(text):
@@ -86,10 +84,3 @@ def test_stage_on_odd_rows(spark, odd, none):
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, "").collect()]
     assert kept.count(7) == 1 and 8 not in kept and 1 in kept and 2 not in kept and 3 not in kept and 9 in kept and 10 not in kept
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
-
-
-def test_whole_pipeline_by_the_stage_rule(spark, corpus, tmp_path, monkeypatch):
-    """test_pipeline counts the stage's groups at two bits of the SimHash; this is the same run with Jaccard groups."""
-    monkeypatch.setattr(test_brute_force, "simhash", lambda t: t)
-    monkeypatch.setattr(test_brute_force, "groups", lambda texts: brute([(d, t, "") for d, t in texts.items()]))
-    test_brute_force.test_pipeline(spark, corpus, tmp_path)
