@@ -5,35 +5,42 @@ slot-to-shard map, a versioned table of 8192 rows, deals the slots out: the larg
 the fewest bytes. Rebalancing edits the map and moves whole slots; rows are never hashed anew. A row's place in its shard
 is the number of rows in the shard's earlier slots plus its rank in its own slot, so no task ever sorts a whole shard.
 
-The main path is DataFrame operations only. The driver sees the 8192 sums of the slots and nothing else.
+The map is a table: store() appends a version of it to a folder, stored() reads one, and rebalance() gives the next
+version with the slots moved that even out the shards, or fill new ones.
+
+The main path is DataFrame operations only. The driver sees the 8192 rows of the map and nothing else.
 
 Defined cases: a null text counts no bytes, so its size is 8 and its crc32 is 0, as for the empty text; a null doc_id
-hashes by its text; rows that repeat a doc_id share a slot and take places of their own. Empty tables give no rows.
-Extra columns are ignored, and input columns named like results are not read.
+hashes by its text; rows that repeat a doc_id share a slot and take places of their own (so a doc_id with more than a
+shard's share of all bytes leaves the shards uneven). Empty tables give no rows. Extra columns are ignored, or carried
+along, and input columns named like results are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import documents, written
+from riskloom.llm.common import documents, scratch_root, written
 
 SLOTS, SHARDS, OVERHEAD = 8192, 24, 8
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version", "rank", "first")
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each row."""
+def slotted(docs: DataFrame, slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 and virtual_slot of each row; carry: with all columns that have other names than results."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), text)
-    return docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(key, slots).alias("virtual_slot"))
+    held = [c for c in docs.columns if c not in RESULTS] if carry else ["doc_id"]
+    return docs.select(*held, (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(key, slots).alias("virtual_slot"))
 
 
 def slot_sums(rows: DataFrame) -> list[tuple[int, int, int]]:
@@ -53,7 +60,7 @@ def assign(sums: list[tuple[int, int, int]], shards: int = SHARDS, slots: int =
     return shard_of
 
 
-def rebalance(shard_of: list[int], sums: list[tuple[int, int, int]], shards: int, tolerance: float = 0.01) -> tuple[list[int], list[int]]:
+def even(shard_of: list[int], sums: list[tuple[int, int, int]], shards: int, tolerance: float = 0.01) -> tuple[list[int], list[int]]:
     """An edited map and the slots that moved: slots go from the fullest shard to the emptiest while that evens them out.
 
     shards may be larger than before (new shards begin empty) or smaller (their slots move first).
@@ -107,18 +114,43 @@ def slot_map(spark: SparkSession, shard_of: list[int], sums: list[tuple[int, int
     )
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, version: int = 1) -> DataFrame:
+def rebalance(held: DataFrame, shards: int) -> DataFrame:
+    """The next version of a slot map, dealt anew over this many shards by moving as few slots as even them out."""
+    rows = sorted((r.virtual_slot, r.shard, r.bytes, r.n, r.version) for r in held.collect())  # a row for each slot
+    sums = [(s, b, n) for s, _, b, n, _ in rows]
+    shard_of, _ = even([k for _, k, *_ in rows], sums, shards)
+    return slot_map(held.sparkSession, shard_of, sums, 1 + max((v for *_, v in rows), default=0))
+
+
+def store(held: DataFrame, path: str) -> None:
+    """Adds a version of the map to those under path."""
+    held.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the map under path, the latest by default."""
+    held = spark.read.parquet(path)
+    found = held.agg(F.max("version")).first()[0] if version is None else version
+    return held.filter(F.col("version") == found).select("version", "virtual_slot", "shard", "bytes", "n", "first")
+
+
+def placed(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows of slotted() with the shard and place that the map gives them."""
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    # the map has as many rows as there are slots, whatever the input: 8192
+    out = rows.withColumn("rank", rank).join(F.broadcast(held.select("virtual_slot", "shard", "first", F.col("version").alias("map_version"))), "virtual_slot")
+    return out.withColumns({"law": F.lit("bytes"), "slot": (F.col("first") + F.col("rank") - 1).cast("long"), "grown_shard": F.lit(None).cast("int")})
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """Each row's size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version; carry: beside its own columns."""
     spark = docs.sparkSession
-    rows = written(slotted(docs, slots), "slotted")
+    rows = slotted(docs, slots, carry) if carry else written(slotted(docs, slots), "slotted")
     sums = slot_sums(rows)
-    stored = written(slot_map(spark, assign(sums, shards, slots), sums, version).coalesce(1), "slot_map")
-    # the map has as many rows as there are slots, whatever the input: 8192
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    placed = rows.withColumn("rank", rank).join(F.broadcast(stored.select("virtual_slot", "shard", "first")), "virtual_slot")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
-    )
+    path = f"{scratch_root(spark)}/slot_map-{uuid.uuid4().hex}"
+    store(slot_map(spark, assign(sums, shards, slots), sums), path)
+    own = [c for c in rows.columns if c not in RESULTS]
+    return placed(rows, stored(spark, path)).select(*own, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
 
 
 def op3_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

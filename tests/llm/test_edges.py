@@ -102,13 +102,40 @@ def test_slots_are_gapless_and_even(spark):
 def test_rebalance_moves_few_slots():
     sums = [(s, 100 + s % 7, 1) for s in range(480)]
     before = op3_slots.assign(sums, shards=23, slots=480)
-    after, moved = op3_slots.rebalance(before, sums, 24)
+    after, moved = op3_slots.even(before, sums, 24)
     loads = [sum(b for s, b, _ in sums if after[s] == k) for k in range(24)]
     assert max(loads) <= 1.1 * min(loads) and len(moved) < 480 / 12
-    back, _ = op3_slots.rebalance(after, sums, 23)
+    back, _ = op3_slots.even(after, sums, 23)
     assert max(back) == 22
 
 
+def test_versions_of_the_map(spark, tmp_path):
+    docs = frame(spark, [(k, f"text {k} " * (k % 50), "s") for k in range(3000)])
+    rows = op3_slots.slotted(docs, 480).cache()
+    sums = op3_slots.slot_sums(rows)
+    path = str(tmp_path / "map")
+    op3_slots.store(op3_slots.slot_map(spark, op3_slots.assign(sums, 23, 480), sums), path)
+    op3_slots.store(op3_slots.rebalance(op3_slots.stored(spark, path), 24), path)
+    one, two = ({r.virtual_slot: r.shard for r in op3_slots.stored(spark, path, v).collect()} for v in (1, 2))
+    moved = {s for s in one if one[s] != two[s]}
+    assert set(one.values()) == set(range(23)) and set(two.values()) == set(range(24)) and 0 < len(moved) < 480 / 12
+    placed = op3_slots.placed(rows, op3_slots.stored(spark, path)).collect()
+    by = {}
+    for r in placed:
+        assert r.shard == two[r.virtual_slot] and r.map_version == 2
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    sizes = [sum(r.size for r in x) for x in by.values()]
+    assert max(sizes) <= 1.1 * min(sizes)
+
+
+def test_carried_columns(odd):
+    rows = op3_slots.sharded(odd, carry=True)
+    assert {"doc_id", "text", "lang", "source", "n_chars", "key", "fp"} <= set(rows.columns) and len(set(rows.columns)) == len(rows.columns)
+    want, got = (sorted(map(tuple, x.select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=repr) for x in (op3_slots.sharded(odd), rows))
+    assert got == want
+
+
 def test_mix_meets_targets(spark):
     import random
 
