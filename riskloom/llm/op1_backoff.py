@@ -10,11 +10,12 @@ state sum to one. A word that training doesn't know leads to a state without arc
 traversed once from left to right; the state carried is its last word's, so a text is a sequence of steps (state, word).
 
 Scale: no bigram is left out, so the automaton grows with the corpus and is never gathered in one place. Steps are dealt
-by their word: the task that gets a word sees all its training counts and those of every arc that leads to it, and weighs
-all steps of all texts that read it; a step's numerator and the denominator of the state it leads to depend on nothing
-else. Words are 64-bit hashes. Words with at least 1/2**13 of all tokens (so 2**13 at most) are counted first and sent to
-every task; their steps are dealt by state and word, and the arcs between them that hold at least 1/2**18 of all tokens
-(so 2**18 at most) are weighed where the text is read. What is left under one key is a share of 1/2**13 at most.
+by their word into buckets of some millions: the task that gets a word sees all its training counts and those of every arc
+that leads to it, and weighs all steps of all texts that read it; a step's numerator and the denominator of the state it
+leads to depend on nothing else. Words are 64-bit hashes. Words with at least 1/2**13 of all tokens (so 2**13 at most) are
+counted first and sent to every task; their steps are dealt by state and word, and the arcs between them that hold at
+least 1/2**18 of all tokens (so 2**18 at most) are weighed where the text is read. What is left under one key is a share
+of 1/2**13 at most. Steps travel in sorted, packed columns, about ten bytes each.
 
 Defined cases: a null text is empty and holds the end token alone; a null doc_id counts as the empty text under crc32;
 repeated rows are scored alike; without any training text all tokens are unknown, with a probability of one under the
@@ -27,7 +28,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import documents, id_crc, written
@@ -37,15 +38,20 @@ FOLDS, HELD_OUT = 7, 2
 MU = 500.0
 HEAD, CACHED = 2**13, 2**18
 SEED = 0
-#: Tokens that a task holds at a time (a longer text is held whole), and distinct words before they are handed on.
-CHUNK, FLUSH = 1_000_000, 2_000_000
-WEIGHED = "key long, sub long, rid long, cw long, own struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
+#: Tokens that a task holds at a time (a longer text is held whole), and steps of a bucket, about.
+CHUNK, BUCKET = 2_000_000, 4_000_000
+#: Buckets at most; beyond BUCKET * BUCKETS steps, about 100 TB of text, they get larger.
+BUCKETS = 2**20
+FACTS = "rid:long,doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base_score:double,score:double"
+PACKED = f"bucket int, first long, n_head int, n_tail int, head binary, tail binary, facts array<struct<{FACTS}>>"
+WEIGHED = FACTS.replace(":", " ").replace(",", ", ")
 
 
 @dataclass
 class Automaton:
     """The root, and what every task holds: the head's words (sorted hashes), their counts, and the cached arcs (sorted places) with theirs."""
 
+    tokens: int
     total: int
     distinct: int
     texts: int
@@ -76,33 +82,25 @@ def _marks() -> tuple[int, int]:
     return word_hash(b""), word_hash(b" ")
 
 
-def chunks(texts: object, size: int = CHUNK) -> Iterator[tuple[int, object, object, object]]:
-    """(place of the first text, states, words, place of its text within the chunk) of the steps of texts, some whole texts at a time."""
+def chunks(texts: object, size: int = CHUNK) -> Iterator[tuple[int, object, object]]:
+    """(place of the first text, its tokens and those of the following texts, tokens of each) for some whole texts at a time."""
     import numpy as np
     import xxhash
 
-    hashed, (end, begin) = xxhash.xxh64_intdigest, _marks()
-    seq: list[int] = []
+    hashed, end = xxhash.xxh64_intdigest, np.array([_marks()[0]], np.uint64)
+    held: list = []
     lengths: list[int] = []
-    first = 0
-
-    def out() -> tuple[int, object, object, object]:
-        w, n = np.array(seq, np.uint64), np.array(lengths)
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[np.cumsum(n) - n] = begin
-        return first, u, w, np.repeat(np.arange(len(n)), n)
-
+    first = tokens = 0
     for k, text in enumerate(texts):
-        before = len(seq)
-        seq += [hashed(w, SEED) for w in (text.as_py() or b"").lower().split()]
-        seq.append(end)
-        lengths.append(len(seq) - before)
-        if len(seq) >= size:
-            yield out()
-            seq, lengths, first = [], [], k + 1
+        words = (text.as_py() or b"").lower().split()
+        held += [np.fromiter(map(hashed, words), np.uint64, len(words)), end]
+        lengths.append(len(words) + 1)
+        tokens += len(words) + 1
+        if tokens >= size:
+            yield first, np.concatenate(held), np.array(lengths)
+            held, lengths, first, tokens = [], [], k + 1, 0
     if lengths:
-        yield out()
+        yield first, np.concatenate(held), np.array(lengths)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -110,34 +108,20 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame, keys: object) -> DataFrame:
-    """key, c (in training texts) and n (in all texts) of what keys(u, w) gives: the steps that count, as a mask, and their keys."""
+    """key, c (in training texts) and n (in all texts) of what keys(words, lengths) gives: the tokens that count, as a mask, and their keys."""
 
     def batches(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def merged(held: list) -> tuple:
-            key, c, n = (np.concatenate(x) for x in zip(*held))
-            found, at = np.unique(key, return_inverse=True)
-            # sums of whole numbers below 2**53 are exact
-            return found, np.bincount(at, c, len(found)).astype(np.int64), np.bincount(at, n, len(found)).astype(np.int64)
-
-        held, new = none, []
         for batch in parts:
             trained = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for first, u, w, doc in chunks(batch.column(1)):
-                mask, key = keys(u, w)
-                found, at = np.unique(key, return_inverse=True)
-                new.append((found, np.bincount(at, trained[first + doc][mask], len(found)).astype(np.int64), np.bincount(at, minlength=len(found))))
-                if sum(len(x[0]) for x in new) > FLUSH:
-                    held, new = merged([held, *new]), []
-                    if len(held[0]) > FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["key", "c", "n"])
-                        held = none
-        held = merged([held, *new])
-        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["key", "c", "n"])
+            for first, w, n in chunks(batch.column(1)):
+                mask, key = keys(w, n)
+                counts = np.repeat(trained[first : first + len(n)], n)[mask]
+                for part, one in ((key[counts], 1), (key[~counts], 0)):
+                    found, times = np.unique(part, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times * one), pa.array(times)], ["key", "c", "n"])
 
     return rows.mapInArrow(batches, "key long, c long, n long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
@@ -145,7 +129,7 @@ def _counted(rows: DataFrame, keys: object) -> DataFrame:
 def vocabulary(rows: DataFrame) -> DataFrame:
     """key (a word's hash), c and n, its counts in the training texts and in all."""
 
-    def keys(u: object, w: object) -> tuple:
+    def keys(w: object, n: object) -> tuple:
         return slice(None), w
 
     return _counted(rows, keys)
@@ -160,14 +144,21 @@ def _places(words: object, x: object) -> tuple[object, object]:
     return at, words[at] == x
 
 
-def _arc_places(words: object, u: object, w: object) -> tuple[object, object]:
-    """(arc between words of the head as a number, whether it is one); the beginning is the state after the last word."""
+def _states(x: object, n: object, begin: object) -> object:
+    """x moved on by one token, with begin for the first token of each text: of its state what x says of a word."""
     import numpy as np
 
-    begin = np.uint64(_marks()[1])
-    (iu, hu), (iw, hw) = _places(words, u), _places(words, w)
-    start = u == begin
-    return np.where(start, len(words), iu) * len(words) + iw, (hu | start) & hw
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[np.cumsum(n) - n] = begin
+    return out
+
+
+def _arcs(words: object, w: object, n: object) -> tuple:
+    """(place of each word in the head, whether it is there, arc between words of the head as a number, whether the step is one); the beginning is the state after the last word."""
+    at, held = _places(words, w)
+    arc = _states(at, n, len(words)) * len(words) + at
+    return at, held, arc, held & _states(held, n, True)
 
 
 def automaton(rows: DataFrame, words: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float = MU) -> Automaton:
@@ -186,40 +177,99 @@ def automaton(rows: DataFrame, words: DataFrame, head: int = HEAD, cached: int =
     hashes, counts = hashes[order], counts[order]
     shared = rows.sparkSession.sparkContext.broadcast(hashes)
 
-    def keys(u: object, w: object) -> tuple:
-        arc, held = _arc_places(shared.value, u, w)
-        return held, arc[held].astype(np.uint64)
+    def keys(w: object, n: object) -> tuple:
+        _, _, arc, inner = _arcs(shared.value, w, n)
+        return inner, arc[inner].astype(np.uint64)
 
     found = _counted(rows, keys).filter(F.col("n") * cached >= F.lit(tokens)).toArrow()
     arcs, arc_counts = found.column("key").to_numpy(), found.column("c").to_numpy()
     order = np.argsort(arcs)
     discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
-    return Automaton(total=total, distinct=distinct, texts=texts, discount=discount, words=hashes, counts=counts, arcs=arcs[order], arc_counts=arc_counts[order], mu=mu)
+    return Automaton(tokens=tokens, total=total, distinct=distinct, texts=texts, discount=discount, words=hashes, counts=counts, arcs=arcs[order], arc_counts=arc_counts[order], mu=mu)
 
 
-def traverse(model: Automaton, u: object, w: object, doc: object, n: int) -> tuple:
-    """One chunk's steps: (known words, base score, score) of each text as far as the head tells, and the steps left as a mask with key, sub and the word's count (-1 if unknown here)."""
+def traverse(model: Automaton, w: object, n: object) -> tuple:
+    """(known words, base score and score of each text as far as the head tells; of the steps left: key, place in the head or -1, state and text)."""
     import numpy as np
 
-    at, is_head = _places(model.words, w)
-    cw = np.where(is_head, model.counts[at], -1)
-    arc, inner = _arc_places(model.words, u, w)
+    end, begin = _marks()
+    at, is_head, arc, inner = _arcs(model.words, w, n)
+    doc = np.repeat(np.arange(len(n)), n)
+    c = model.counts[at]
     here = np.zeros(len(w), bool)
-    weight = np.zeros(len(w))
+    weight, base = np.zeros(len(w)), np.zeros(len(w))
     if len(model.arcs):
         k = np.searchsorted(model.arcs, arc)
         k[k == len(model.arcs)] = 0
         here = inner & (model.arcs[k] == arc)
-        weight[here] = np.log10(model.arc_counts[k[here]] + model.mu * model.root(cw[here]))
-    base = np.zeros(len(w))
-    base[here] = np.log10((cw[here] + 1) / (model.total + model.distinct + 1))
+        weight[here] = np.log10(model.arc_counts[k[here]] + model.mu * model.root(c[here]))
+    base[here] = np.log10((c[here] + 1) / (model.total + model.distinct + 1))
     # the state that a word of the head leads to; the end leads to none
-    state = is_head & (w != np.uint64(_marks()[0]))
-    weight[state] -= np.log10(cw[state] + model.mu)
-    sums = [np.bincount(doc, x, n) for x in (here & (cw > 0), base, weight)]
+    state = is_head & (w != np.uint64(end))
+    weight[state] -= np.log10(c[state] + model.mu)
+    known, base, weight = (np.bincount(doc, x, len(n)) for x in (here & (c > 0), base, weight))
     left = ~here
-    key = np.where(is_head, w + u * np.uint64(0x9E3779B97F4A7C15), w)[left]
-    return sums[0].astype(np.int64), sums[1], sums[2] - math.log10(model.texts + model.mu), left, key, np.where(is_head, np.uint64(0), u)[left], cw[left]
+    u = _states(w, n, np.uint64(begin))[left]
+    w, head = w[left], is_head[left]
+    key = np.where(head, w + u * np.uint64(0x9E3779B97F4A7C15), w)
+    return known.astype(np.int64), base, weight - math.log10(model.texts + model.mu), key, np.where(head, at[left], -1), u, doc[left]
+
+
+def weigh(model: Automaton, head: tuple, tail: tuple) -> tuple:
+    """(text, known words, base score, score) of the steps of a bucket, summed by text. head: key, place, text; tail: key, state, text; texts are even where training counts them."""
+    import numpy as np
+
+    def summed(groups: object, counted: object) -> object:
+        return np.bincount(groups, counted, minlength=int(groups[-1]) + 1 if len(groups) else 0)[groups]
+
+    def runs(*sorted_keys: object) -> object:
+        new = np.zeros(len(sorted_keys[0]), bool)
+        for k in sorted_keys:
+            new[1:] |= k[1:] != k[:-1]
+        return np.cumsum(new)
+
+    key, place, rid = head
+    order = np.argsort(key)
+    key, place, rid = key[order], place[order], rid[order]
+    c = model.counts[place]
+    arc = summed(runs(key), rid & 1 == 0)
+    parts = [(rid, c, np.log10(arc + model.mu * model.root(c)))]
+    key, state, rid = tail
+    order = np.lexsort((state, key))
+    key, state, rid = key[order], state[order], rid[order]
+    c, arc = (summed(g, rid & 1 == 0) for g in (runs(key), runs(key, state)))
+    parts.append((rid, c, np.log10(arc + model.mu * model.root(c)) - np.log10(c + model.mu)))
+    rid, c, weight = (np.concatenate(x) for x in zip(*parts))
+    texts, of = np.unique(rid, return_inverse=True)
+    base = np.log10((c + 1) / (model.total + model.distinct + 1))
+    return texts, *(np.bincount(of, x, len(texts)) for x in (c > 0, base, weight))
+
+
+def pack(*columns: object) -> bytes:
+    """Columns byte by byte, the first, which is sorted, as differences."""
+    import numpy as np
+    import pyarrow as pa
+
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *columns[1:])]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: object, n: int, *kinds: object) -> list:
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(data, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind in kinds:
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).reshape(n))
+        at += n * wide
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
+
+HEAD_KINDS, TAIL_KINDS = ("u8", "u4", "u4"), ("u8", "u8", "u4")
 
 
 def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float = MU) -> DataFrame:
@@ -229,50 +279,69 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
     words = written(vocabulary(rows), "vocabulary")
     model = automaton(rows, words, head, cached, mu)
     shared = spark.sparkContext.broadcast(model)
+    wanted = max(-(-model.tokens // BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.tokens // (BUCKET // 20))))
+    buckets = min(BUCKETS, max(1, wanted))
 
     def batches(parts: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model = shared.value
-        facts = [pa.field(n, t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))]
-        names, kinds = ["key", "sub", "rid", "cw", "own"], [pa.int64()] * 4 + [pa.struct(facts)]
-        # a row's number is even if training counts it
+        model, schema = shared.value, _packed()
         seen = TaskContext.get().partitionId() << 40
         for batch in parts:
-            ids, held = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None, batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for first, u, w, doc in chunks(batch.column(1)):
-                n = int(doc[-1]) + 1
-                rid = ((seen + np.arange(n)) << 1) | held[first : first + n]
-                seen += n
-                known, base, score, left, key, sub, cw = traverse(model, u, w, doc, n)
-                own = pa.StructArray.from_arrays([batch.column(0).slice(first, n).cast(pa.int64()), batch.column(2).slice(first, n), pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(base), pa.array(score)], fields=facts)
-                empty = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.zeros(n, np.int64)), pa.array(rid), empty, own], names)
-                # equal keys stand together, which shortens what is shuffled
-                order = np.argsort(key)
-                steps = [pa.array(key[order].view(np.int64)), pa.array(sub[order].view(np.int64)), pa.array(rid[doc[left]][order]), pa.array(cw[order], mask=cw[order] < 0)]
-                yield pa.RecordBatch.from_arrays([*steps, pa.nulls(len(order), kinds[4])], names)
-
-    steps = rows.mapInArrow(batches, WEIGHED).repartition("key")
-    trained = F.when(F.col("own").isNull() & (F.col("rid").bitwiseAND(F.lit(1)) == 0), 1).otherwise(0)
-    steps = steps.withColumn("cuw", F.sum(trained).over(Window.partitionBy("key", "sub"))).withColumn("ck", F.sum(trained).over(Window.partitionBy("key")))
-    c = F.coalesce("cw", "ck")
-    weight = F.log10(F.col("cuw") + F.lit(mu) * _root(model, c)) - F.when(F.col("cw").isNull(), F.log10(c + F.lit(mu))).otherwise(0.0)
-    base = F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))
-    mine = F.col("own").isNotNull()
-    return steps.groupBy("rid").agg(
-        F.max("own.doc_id").alias("doc_id"), F.max("own.held_out").alias("held_out"), F.max("own.n_tokens").alias("n_tokens"),
-        F.sum(F.when(mine, F.col("own.n_known")).otherwise((c > 0).cast("long"))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        F.sum(F.when(mine, F.col("own.base")).otherwise(base)).alias("base_score"), F.sum(F.when(mine, F.col("own.score")).otherwise(weight)).alias("score"),
+            held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, w, n in chunks(batch.column(1)):
+                # a row's number is even if training counts it
+                low = (np.arange(len(n)) << 1) | held[first : first + len(n)]
+                known, base, score, key, place, state, doc = traverse(model, w, n)
+                rows = [pa.array((seen << 1) + low), batch.column(0).slice(first, len(n)), batch.column(2).slice(first, len(n)), *map(pa.array, (n.astype(np.int64), known, base, score))]
+                facts = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.StructArray.from_arrays(rows, fields=list(schema.field("facts").type.value_type)))
+                out: dict = {}
+                for is_head, mask in ((True, place >= 0), (False, place < 0)):
+                    order = np.argsort(key[mask])
+                    columns = [x[mask][order] for x in (key, place.astype(np.uint32) if is_head else state, low.astype(np.uint32)[doc])]
+                    of = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                    cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
+                    for x, y in zip(cuts, cuts[1:]):
+                        out.setdefault(int(of[x]), {})[is_head] = (y - x, pack(*(c[x:y] for c in columns)))
+                none = (0, b"")
+                steps = [(k, seen << 1, *(x[i] for i in (0, 1) for x in (v.get(True, none), v.get(False, none)))) for k, v in out.items()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*steps), schema)), pa.nulls(len(steps), schema.field("facts").type)], schema=schema) if steps else pa.RecordBatch.from_pylist([], schema)
+                own = (seen % buckets, seen << 1, 0, 0, b"", b"")
+                yield pa.RecordBatch.from_arrays([*(pa.array([c], f.type) for c, f in zip(own, schema)), facts], schema=schema)
+                seen += len(n)
+
+    def bucket(held: object) -> object:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [f.name for f in _packed().field("facts").type.value_type]
+        sides = []
+        for side, kinds in (("head", HEAD_KINDS), ("tail", TAIL_KINDS)):
+            rows = [(first, unpack(data, n, *kinds)) for first, n, data in zip(*(held.column(c).to_pylist() for c in ("first", f"n_{side}", side))) if n]
+            columns = [np.concatenate(c) for c in zip(*((x, y, z + np.int64(first)) for first, (x, y, z) in rows))] if rows else [np.zeros(0, k) for k in (*kinds[:2], "i8")]
+            sides.append(columns)
+        rid, known, base, score = weigh(shared.value, *sides)
+        none = {n: pa.nulls(len(rid), t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()))}
+        sums = pa.Table.from_pydict({"rid": pa.array(rid), **none, "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(score.astype(float))})
+        facts = pa.chunked_array(held.column("facts").chunks, _packed().field("facts").type).combine_chunks().flatten()
+        return pa.concat_tables([sums, pa.Table.from_arrays(facts.flatten(), names)])
+
+    sums = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, WEIGHED)
+    return sums.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
     ).drop("rid")
 
 
-def _root(model: Automaton, c: Column) -> Column:
-    if not model.total:
-        return F.lit(1.0)
-    return F.when(c > 0, (c - F.lit(model.discount)) / F.lit(float(model.total))).otherwise(F.lit(model.discount * model.distinct / model.total))
+def _packed() -> object:
+    """PACKED for Arrow."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    facts = pa.struct([(n, kinds[t]) for n, t in (f.split(":") for f in FACTS.split(","))])
+    return pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("n_head", pa.int32()), ("n_tail", pa.int32()), ("head", pa.binary()), ("tail", pa.binary()), ("facts", pa.list_(facts))])
 
 
 def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

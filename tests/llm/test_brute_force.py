@@ -144,6 +144,13 @@ def test_scores_are_the_automatons(spark, corpus, head, cached):
     assert sum(rows[d].score for d in out) > sum(rows[d].base_score for d in out)
 
 
+def test_packed_columns_come_back():
+    r = np.random.default_rng(3)
+    for n in (1, 500):
+        columns = [np.sort(r.integers(0, 2**64, n, np.uint64)), r.integers(0, 9, n).astype(np.uint32), r.integers(0, 2**32, n).astype(np.uint32)]
+        assert all(map(np.array_equal, columns, op1_backoff.unpack(op1_backoff.pack(*columns), n, "u8", "u4", "u4")))
+
+
 def test_states_sum_to_one(corpus):
     _, _, count, follows, root, arc, failure, _ = backoff(corpus, 40.0)
     unknown = root("no such word")
@@ -157,7 +164,8 @@ def test_long_texts_span_chunks(spark, corpus):
     whole = {r.doc_id: r.score for r in op1_backoff.scored(frame(spark, corpus)).collect()}
     texts = pa.array([t for _, t, _ in corpus], pa.binary())
     small, large = (list(op1_backoff.chunks(texts, size)) for size in (50, 10**9))
-    assert len(large) == 1 and np.array_equal(np.concatenate([x[1] for x in small]), large[0][1]) and np.array_equal(np.concatenate([x[0] + x[3] for x in small]), large[0][3])
+    assert len(large) == 1 and all(np.array_equal(np.concatenate([x[k] for x in small]), large[0][k]) for k in (1, 2))
+    assert [x[0] for x in small] == np.cumsum([0, *(len(x[2]) for x in small)])[:-1].tolist()
     again = {r.doc_id: r.score for r in op1_backoff.scored(frame(spark, corpus).repartition(5)).collect()}
     assert all(math.isclose(whole[d], again[d], rel_tol=1e-9) for d in whole)
 
