@@ -40,11 +40,12 @@ HEAD, CACHED = 2**13, 2**18
 SEED = 0
 #: Tokens that a task holds at a time (a longer text is held whole), and steps of a bucket, about.
 CHUNK, BUCKET = 2_000_000, 4_000_000
-#: Buckets at most; beyond BUCKET * BUCKETS steps, about 100 TB of text, they get larger.
-BUCKETS = 2**20
-FACTS = "rid:long,doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base_score:double,score:double"
-PACKED = f"bucket int, first long, n_head int, n_tail int, head binary, tail binary, facts array<struct<{FACTS}>>"
-WEIGHED = FACTS.replace(":", " ").replace(",", ", ")
+#: Buckets at most; beyond BUCKET * BUCKETS steps, about a terabyte of documents, they get larger.
+BUCKETS = 2**16
+FACTS = "doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base_score:double,score:double"
+PACKED = f"bucket int, chunk long, n_head int, n_tail int, head binary, tail binary, facts array<struct<{FACTS}>>"
+MET = f"chunk long, n int, steps binary, facts array<struct<{FACTS}>>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 @dataclass
@@ -215,34 +216,36 @@ def traverse(model: Automaton, w: object, n: object) -> tuple:
     return known.astype(np.int64), base, weight - math.log10(model.texts + model.mu), key, np.where(head, at[left], -1), u, doc[left]
 
 
-def weigh(model: Automaton, head: tuple, tail: tuple) -> tuple:
-    """(text, known words, base score, score) of the steps of a bucket, summed by text. head: key, place, text; tail: key, state, text; texts are even where training counts them."""
+def met(model: Automaton, head: tuple, tail: tuple) -> tuple:
+    """(origin, count of its word, count of its arc, whether the word isn't of the head) of each step of a bucket. head: key, place, origin; tail: key, state, origin; origins are even where training counts them."""
     import numpy as np
 
     def summed(groups: object, counted: object) -> object:
-        return np.bincount(groups, counted, minlength=int(groups[-1]) + 1 if len(groups) else 0)[groups]
+        return np.bincount(groups, counted)[groups].astype(np.int64) if len(groups) else np.zeros(0, np.int64)
 
-    def runs(*sorted_keys: object) -> object:
-        new = np.zeros(len(sorted_keys[0]), bool)
-        for k in sorted_keys:
+    def runs(*keys: object) -> object:
+        new = np.zeros(len(keys[0]), bool)
+        for k in keys:
             new[1:] |= k[1:] != k[:-1]
         return np.cumsum(new)
 
-    key, place, rid = head
+    key, place, origin = head
     order = np.argsort(key)
-    key, place, rid = key[order], place[order], rid[order]
-    c = model.counts[place]
-    arc = summed(runs(key), rid & 1 == 0)
-    parts = [(rid, c, np.log10(arc + model.mu * model.root(c)))]
-    key, state, rid = tail
+    key, origin = key[order], origin[order]
+    parts = [(origin, model.counts[place[order]], summed(runs(key), origin & 1 == 0), np.zeros(len(key), bool))]
+    key, state, origin = tail
     order = np.lexsort((state, key))
-    key, state, rid = key[order], state[order], rid[order]
-    c, arc = (summed(g, rid & 1 == 0) for g in (runs(key), runs(key, state)))
-    parts.append((rid, c, np.log10(arc + model.mu * model.root(c)) - np.log10(c + model.mu)))
-    rid, c, weight = (np.concatenate(x) for x in zip(*parts))
-    texts, of = np.unique(rid, return_inverse=True)
-    base = np.log10((c + 1) / (model.total + model.distinct + 1))
-    return texts, *(np.bincount(of, x, len(texts)) for x in (c > 0, base, weight))
+    key, state, origin = key[order], state[order], origin[order]
+    parts.append((origin, *(summed(g, origin & 1 == 0) for g in (runs(key), runs(key, state))), np.ones(len(key), bool)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def weigh(model: Automaton, c: object, arc: object, tail: object) -> tuple:
+    """(known, base score, score) of steps with these counts; a word of the tail also tells the weight of the state it leads to."""
+    import numpy as np
+
+    score = np.log10(arc + model.mu * model.root(c)) - np.where(tail, np.log10(c + model.mu), 0)
+    return c > 0, np.log10((c + 1) / (model.total + model.distinct + 1)), score
 
 
 def pack(*columns: object) -> bytes:
@@ -287,61 +290,81 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model, schema = shared.value, _packed()
-        seen = TaskContext.get().partitionId() << 40
+        model, schema = shared.value, _schema(PACKED)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in parts:
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, w, n in chunks(batch.column(1)):
-                # a row's number is even if training counts it
-                low = (np.arange(len(n)) << 1) | held[first : first + len(n)]
+                # a text's number is even if training counts it
+                number = ((np.arange(len(n)) << 1) | held[first : first + len(n)]).astype(np.uint32)
                 known, base, score, key, place, state, doc = traverse(model, w, n)
-                rows = [pa.array((seen << 1) + low), batch.column(0).slice(first, len(n)), batch.column(2).slice(first, len(n)), *map(pa.array, (n.astype(np.int64), known, base, score))]
+                rows = [batch.column(0).slice(first, len(n)), batch.column(2).slice(first, len(n)), *map(pa.array, (n.astype(np.int64), known, base, score))]
                 facts = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.StructArray.from_arrays(rows, fields=list(schema.field("facts").type.value_type)))
                 out: dict = {}
-                for is_head, mask in ((True, place >= 0), (False, place < 0)):
+                for side, mask in enumerate((place >= 0, place < 0)):
                     order = np.argsort(key[mask])
-                    columns = [x[mask][order] for x in (key, place.astype(np.uint32) if is_head else state, low.astype(np.uint32)[doc])]
+                    columns = [x[mask][order] for x in (key, state if side else place.astype(np.uint32), number[doc])]
                     of = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                     cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
                     for x, y in zip(cuts, cuts[1:]):
-                        out.setdefault(int(of[x]), {})[is_head] = (y - x, pack(*(c[x:y] for c in columns)))
-                none = (0, b"")
-                steps = [(k, seen << 1, *(x[i] for i in (0, 1) for x in (v.get(True, none), v.get(False, none)))) for k, v in out.items()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*steps), schema)), pa.nulls(len(steps), schema.field("facts").type)], schema=schema) if steps else pa.RecordBatch.from_pylist([], schema)
-                own = (seen % buckets, seen << 1, 0, 0, b"", b"")
+                        out.setdefault(int(of[x]), [0, 0, b"", b""])[side::2] = y - x, pack(*(c[x:y] for c in columns))
+                steps = [(k, chunk, *v) for k, v in out.items()]
+                if steps:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*steps), schema)), pa.nulls(len(steps), facts.type)], schema=schema)
+                own = (chunk % buckets, chunk, 0, 0, b"", b"")
                 yield pa.RecordBatch.from_arrays([*(pa.array([c], f.type) for c, f in zip(own, schema)), facts], schema=schema)
-                seen += len(n)
+                chunk += 1
 
     def bucket(held: object) -> object:
+        """Every chunk's steps of a bucket with the counts that met there, packed again by chunk."""
         import numpy as np
         import pyarrow as pa
 
-        names = [f.name for f in _packed().field("facts").type.value_type]
+        schema = _schema(MET)
+        names = held.column("chunk").to_numpy()
         sides = []
         for side, kinds in (("head", HEAD_KINDS), ("tail", TAIL_KINDS)):
-            rows = [(first, unpack(data, n, *kinds)) for first, n, data in zip(*(held.column(c).to_pylist() for c in ("first", f"n_{side}", side))) if n]
-            columns = [np.concatenate(c) for c in zip(*((x, y, z + np.int64(first)) for first, (x, y, z) in rows))] if rows else [np.zeros(0, k) for k in (*kinds[:2], "i8")]
-            sides.append(columns)
-        rid, known, base, score = weigh(shared.value, *sides)
-        none = {n: pa.nulls(len(rid), t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()))}
-        sums = pa.Table.from_pydict({"rid": pa.array(rid), **none, "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(score.astype(float))})
-        facts = pa.chunked_array(held.column("facts").chunks, _packed().field("facts").type).combine_chunks().flatten()
-        return pa.concat_tables([sums, pa.Table.from_arrays(facts.flatten(), names)])
-
-    sums = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, WEIGHED)
-    return sums.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    ).drop("rid")
-
-
-def _packed() -> object:
-    """PACKED for Arrow."""
+            rows = [(k, unpack(data, n, *kinds)) for k, (n, data) in enumerate(zip(held.column(f"n_{side}").to_pylist(), held.column(side).to_pylist())) if n]
+            sides.append([np.concatenate(c) for c in zip(*((x, y, z + np.int64(k << 32)) for k, (x, y, z) in rows))] if rows else [np.zeros(0, k) for k in (*kinds[:2], "i8")])
+        origin, c, arc, tail = met(shared.value, *sides)
+        order = np.argsort(origin)
+        origin, c, arc = origin[order], c[order], (arc << 1 | tail)[order]
+        of = origin >> 32
+        cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
+        steps = [(names[of[x]], y - x, pack(origin[x:y].astype(np.uint32), c[x:y], arc[x:y])) for x, y in zip(cuts, cuts[1:])]
+        facts = held.select(["chunk", "facts"]).filter(pa.compute.is_valid(held.column("facts")))
+        own = [facts.column("chunk"), pa.chunked_array([pa.array([0] * len(facts), pa.int32())]), pa.chunked_array([pa.array([b""] * len(facts), pa.binary())]), facts.column("facts")]
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*steps)) or [[]] * 3, schema)] + [pa.nulls(len(steps), schema.field("facts").type)], schema=schema)
+        return pa.concat_tables([table, pa.Table.from_arrays(own, schema.names).cast(schema)])
+
+    def texts(held: object) -> object:
+        """The scores of a chunk's texts."""
+        import numpy as np
+        import pyarrow as pa
+
+        model = shared.value
+        facts = pa.chunked_array(held.column("facts").chunks, _schema(MET).field("facts").type).combine_chunks().flatten()
+        columns = dict(zip([f.name for f in facts.type], facts.flatten()))
+        rows = [unpack(data, n, "u4", "i8", "i8") for n, data in zip(held.column("n").to_pylist(), held.column("steps").to_pylist()) if n]
+        doc, c, arc = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
+        sums = [np.bincount(doc >> 1, x, len(facts)) for x in weigh(model, c, arc >> 1, arc & 1)]
+        for name, x in zip(("n_known", "base_score", "score"), sums):
+            columns[name] = pa.array(columns[name].to_numpy() + x.astype(columns[name].to_numpy().dtype))
+        columns["train_tokens"] = pa.array(np.full(len(facts), model.total))
+        return pa.Table.from_pydict({f.name: columns[f.name] for f in _schema(SCORED)})
+
+    # docs are read from files, so a chunk that is lost is made again from the same texts in the same order
+    dealt = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, MET)
+    return dealt.groupBy("chunk").applyInArrow(texts, SCORED)
+
+
+def _schema(ddl: str) -> object:
+    """One of the schemas above for Arrow."""
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-    facts = pa.struct([(n, kinds[t]) for n, t in (f.split(":") for f in FACTS.split(","))])
-    return pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("n_head", pa.int32()), ("n_tail", pa.int32()), ("head", pa.binary()), ("tail", pa.binary()), ("facts", pa.list_(facts))])
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+    kinds[f"array<struct<{FACTS}>>"] = pa.list_(pa.struct([(n, kinds[t]) for n, t in (f.split(":") for f in FACTS.split(","))]))
+    return pa.schema([(n, kinds[t]) for n, t in (f.split(" ") for f in ddl.split(", "))])
 
 
 def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
