@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, id_crc, written
+from riskloom.llm.common import arrow_schema, buckets_of, documents, id_crc, pack, spans, unpack, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the root's probabilities against a state's own counts.
@@ -248,30 +248,6 @@ def weigh(model: Automaton, c: object, arc: object, tail: object) -> tuple:
     return c > 0, np.log10((c + 1) / (model.total + model.distinct + 1)), score
 
 
-def pack(*columns: object) -> bytes:
-    """Columns byte by byte, the first, which is sorted, as differences."""
-    import numpy as np
-    import pyarrow as pa
-
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *columns[1:])]
-    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
-
-
-def unpack(data: object, n: int, *kinds: object) -> list:
-    import numpy as np
-    import pyarrow as pa
-
-    raw = np.frombuffer(pa.decompress(data, n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True), np.uint8)
-    out, at = [], 0
-    for kind in kinds:
-        wide = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).reshape(n))
-        at += n * wide
-    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
-    return out
-
-
 HEAD_KINDS, TAIL_KINDS = ("u8", "u4", "u4"), ("u8", "u8", "u4")
 
 
@@ -290,7 +266,7 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        model, schema = shared.value, _schema(PACKED)
+        model, schema = shared.value, arrow_schema(PACKED)
         chunk = TaskContext.get().partitionId() << 32
         for batch in parts:
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -304,10 +280,8 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
                 for side, mask in enumerate((place >= 0, place < 0)):
                     order = np.argsort(key[mask])
                     columns = [x[mask][order] for x in (key, state if side else place.astype(np.uint32), number[doc])]
-                    of = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                    cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
-                    for x, y in zip(cuts, cuts[1:]):
-                        out.setdefault(int(of[x]), [0, 0, b"", b""])[side::2] = y - x, pack(*(c[x:y] for c in columns))
+                    for k, x, y in spans(buckets_of(columns[0], buckets)):
+                        out.setdefault(k, [0, 0, b"", b""])[side::2] = y - x, pack(*(c[x:y] for c in columns))
                 steps = [(k, chunk, *v) for k, v in out.items()]
                 if steps:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*steps), schema)), pa.nulls(len(steps), facts.type)], schema=schema)
@@ -320,7 +294,7 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         import numpy as np
         import pyarrow as pa
 
-        schema = _schema(MET)
+        schema = arrow_schema(MET)
         names = held.column("chunk").to_numpy()
         sides = []
         for side, kinds in (("head", HEAD_KINDS), ("tail", TAIL_KINDS)):
@@ -329,9 +303,7 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         origin, c, arc, tail = met(shared.value, *sides)
         order = np.argsort(origin)
         origin, c, arc = origin[order], c[order], (arc << 1 | tail)[order]
-        of = origin >> 32
-        cuts = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
-        steps = [(names[of[x]], y - x, pack(origin[x:y].astype(np.uint32), c[x:y], arc[x:y])) for x, y in zip(cuts, cuts[1:])]
+        steps = [(names[k], y - x, pack(origin[x:y].astype(np.uint32), c[x:y], arc[x:y])) for k, x, y in spans(origin >> 32)]
         facts = held.select(["chunk", "facts"]).filter(pa.compute.is_valid(held.column("facts")))
         own = [facts.column("chunk"), pa.chunked_array([pa.array([0] * len(facts), pa.int32())]), pa.chunked_array([pa.array([b""] * len(facts), pa.binary())]), facts.column("facts")]
         table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*steps)) or [[]] * 3, schema)] + [pa.nulls(len(steps), schema.field("facts").type)], schema=schema)
@@ -343,7 +315,7 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         import pyarrow as pa
 
         model = shared.value
-        facts = pa.chunked_array(held.column("facts").chunks, _schema(MET).field("facts").type).combine_chunks().flatten()
+        facts = pa.chunked_array(held.column("facts").chunks, arrow_schema(MET).field("facts").type).combine_chunks().flatten()
         columns = dict(zip([f.name for f in facts.type], facts.flatten()))
         rows = [unpack(data, n, "u4", "i8", "i8") for n, data in zip(held.column("n").to_pylist(), held.column("steps").to_pylist()) if n]
         doc, c, arc = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
@@ -351,21 +323,12 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         for name, x in zip(("n_known", "base_score", "score"), sums):
             columns[name] = pa.array(columns[name].to_numpy() + x.astype(columns[name].to_numpy().dtype))
         columns["train_tokens"] = pa.array(np.full(len(facts), model.total))
-        return pa.Table.from_pydict({f.name: columns[f.name] for f in _schema(SCORED)})
+        return pa.Table.from_pydict({f.name: columns[f.name] for f in arrow_schema(SCORED)})
 
     # docs are read from files, so a chunk that is lost is made again from the same texts in the same order
     dealt = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, MET)
     return dealt.groupBy("chunk").applyInArrow(texts, SCORED)
 
 
-def _schema(ddl: str) -> object:
-    """One of the schemas above for Arrow."""
-    import pyarrow as pa
-
-    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-    kinds[f"array<struct<{FACTS}>>"] = pa.list_(pa.struct([(n, kinds[t]) for n, t in (f.split(":") for f in FACTS.split(","))]))
-    return pa.schema([(n, kinds[t]) for n, t in (f.split(" ") for f in ddl.split(", "))])
-
-
 def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents(spark, sf_dir))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from riskloom.llm import op1_backoff, op4_pu, op5_crf, op7_lines, op8_simhash, op9_tokens
+from riskloom.llm import common, op1_backoff, op4_pu, op5_crf, op7_lines, op8_simhash, op9_tokens
 from tests.llm.conftest import frame
 
 
@@ -148,7 +148,7 @@ def test_packed_columns_come_back():
     r = np.random.default_rng(3)
     for n in (1, 500):
         columns = [np.sort(r.integers(0, 2**64, n, np.uint64)), r.integers(0, 9, n).astype(np.uint32), r.integers(0, 2**32, n).astype(np.uint32)]
-        assert all(map(np.array_equal, columns, op1_backoff.unpack(op1_backoff.pack(*columns), n, "u8", "u4", "u4")))
+        assert all(map(np.array_equal, columns, common.unpack(common.pack(*columns), n, "u8", "u4", "u4")))
 
 
 def test_states_sum_to_one(corpus):

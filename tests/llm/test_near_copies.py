@@ -62,9 +62,10 @@ def edited():
     return [(k, " ".join(w), "s") for k, w in enumerate(texts)]
 
 
-@pytest.mark.parametrize("common", [8, 2, 10**9])
-def test_near_copies_match_brute_force(spark, edited, common, monkeypatch):
-    monkeypatch.setattr(near_copies, "COMMON", common)
+@pytest.mark.parametrize("chunk, bucket", [(10**6, 4 * 10**6), (300, 200), (1, 10**4)])
+def test_near_copies_match_brute_force(spark, edited, chunk, bucket, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
     got = {r.doc_id: r.component_id for r in op8_simhash.clusters(frame(spark, edited), near_copies.near_clusters).collect()}
     assert got == brute(edited)
 
