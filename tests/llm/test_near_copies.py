@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from riskloom.llm import near_copies, op8_simhash
@@ -70,12 +71,27 @@ def test_near_copies_match_brute_force(spark, edited, chunk, bucket, monkeypatch
     assert got == brute(edited)
 
 
-def test_pairs_beyond_the_leaders(spark, edited, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_pairs_beyond_the_leaders(spark, edited, monkeypatch, rounds):
     monkeypatch.setattr(near_copies, "LEADERS", 1)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     got = {r.doc_id: r.component_id for r in op8_simhash.clusters(frame(spark, edited), near_copies.near_clusters).collect()}
     assert got == brute(edited)
 
 
+def test_marks_never_rule_out_similar_sets(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(200):
+        n = r.randint(3, 900)
+        a = [r.getrandbits(64) for _ in range(n)]
+        b = [x if r.random() < 0.93 else r.getrandbits(64) for x in a]
+        rows.append((*(tuple([len(set(x)), *near_copies.marks(np.array(x, np.uint64))]) for x in (a, b)), near(set(a), set(b))))
+    kind = "struct<n:int," + ",".join(f"{m}:long" for m in near_copies.MARKS) + ">"
+    got = spark.createDataFrame(rows, f"x {kind}, y {kind}, similar boolean").selectExpr(f"{near_copies._can('x', 'y')} as can", "similar").collect()
+    assert all(g.can for g in got if g.similar) and any(g.similar for g in got) and not all(g.can for g in got)
+
+
 def test_stage_drops_edited_copies(spark, edited):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, edited), "").collect()}
     assert kept == {d for d, top in brute(edited).items() if d == top}
