@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MODEL = {
     "model_version": "2.0.0",
     "exploitability": {
-        "kev_probability": 0.99, "exploit_evidence_default": 0.0, "epss_floor": 0.0, "cvss_prior_ceiling": 0.85,
+        "kev_probability": 0.99, "exploit_evidence_default": 0.0, "epss_floor": 0.0, "cvss_prior_ceiling": 0.85, "use_ml_model": True,
         "av_weight": {"network": 0.85, "adjacent": 0.62, "local": 0.55, "physical": 0.2},
         "pr_weight": {"none": 0.85, "low": 0.62, "high": 0.27},
         "ui_weight": {"none": 0.85, "required": 0.62},
@@ -93,7 +93,7 @@ def score(findings: DataFrame, epss: DataFrame, kev: DataFrame, reach: DataFrame
     kind = F.when(has_path, "direct").when((services > 0) | package, "transitive").otherwise("none")
     low = r["resolution_confidence_numeric"]["LOW"]
     known = rows.withColumns({"epss_value": F.coalesce("epss", F.lit(0.0)), "in_kev": F.coalesce("in_kev", F.lit(False))})
-    known = known.withColumn("E", exploitability(F.col("epss_value"), F.col("in_kev"), cvss_prior(F.col("attack_vector"), F.col("privileges_required"), F.col("user_interaction"), F.col("cvss_score"), model), None, model))
+    known = known.withColumn("E", exploitability(F.col("epss_value"), F.col("in_kev"), cvss_prior(F.col("attack_vector"), F.col("privileges_required"), F.col("user_interaction"), F.col("cvss_score"), model), learnt(rows, model), model))
     known = known.withColumn("I", impact(F.col("confidentiality"), F.col("integrity"), F.col("availability"), F.col("cvss_score"), model)).withColumn("R", reached).withColumn("kind", kind)
     saturation = F.greatest(F.lit(1.0) - F.exp(-F.lit(model["blast"]["saturation_rate"]) * services), clamp(F.coalesce("centrality", F.lit(0.0))))
     known = known.withColumn("S", saturation).withColumn("B", F.lit(1.0) + F.lit(model["blast"]["beta"]) * F.col("S"))
@@ -116,6 +116,16 @@ def score(findings: DataFrame, epss: DataFrame, kev: DataFrame, reach: DataFrame
     )
 
 
+def learnt(rows: DataFrame, model: dict = MODEL) -> Column | None:
+    """The stored exploit model's signal from a finding's score, its EPSS value and percentile, and the number of its CWEs; none if the model is switched off."""
+    if not model["exploitability"].get("use_ml_model", True):
+        return None
+    number = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in rows.columns else F.lit(0.0)
+    kind = dict(rows.dtypes).get("cwe", "")
+    cwes = F.greatest(F.size("cwe"), F.lit(0)) if kind.startswith("array") else F.when(F.coalesce(F.col("cwe"), F.lit("")) != "", 1).otherwise(0) if kind else F.lit(0)
+    return exploit_probability(number("cvss_score"), number("epss"), number("percentile"), cwes)
+
+
 def recommendation(raw_risk: Column, model: dict = MODEL) -> Column:
     t = model["thresholds"]
     return F.when(raw_risk >= t["BLOCK"], "BLOCK").when(raw_risk >= t["REVIEW"], "REVIEW").otherwise("PROCEED")

@@ -35,9 +35,9 @@ def vex_rows(assessment: DataFrame) -> DataFrame:
 
 
 def vex_document_id(rows: DataFrame) -> DataFrame:
-    """The first 16 hex digits of the SHA-256 of all statements in order; statements are hashed first, so what meets is bounded by them."""
+    """The first 16 hex digits of the SHA-256 over 4096 hashes, each of the statements in order whose CVE hashes to it."""
     line = F.sha2(F.concat_ws("|", "cve_id", "product", "status"), 256)
-    return rows.groupBy(F.substring("cve_id", -1, 1).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h")).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), ""), 256), 1, 16).alias("document_id"))
+    return rows.groupBy(F.substring(F.sha2("cve_id", 256), 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("h")).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), ""), 256), 1, 16).alias("document_id"))
 
 
 def components(findings: DataFrame) -> DataFrame:

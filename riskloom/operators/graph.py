@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df from the reliable checkpoint folder, which survives lost executors; one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-"))
-    return df.checkpoint()
+from riskloom.operators.scratch import cut
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
@@ -22,29 +16,29 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     All starts advance together: a round joins the frontier with the edges and leaves out what is already reached.
     """
     edges = edges.select("src", "dst").distinct()
-    reached = _cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    reached = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0)))
     frontier = reached
     for hop in range(1, max_hops + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        frontier = cut(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
-        reached = _cut(reached.unionByName(frontier))
+        reached = cut(reached.unionByName(frontier))
     return reached
 
 
 def bfs_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, max_hops: int) -> DataFrame:
     """start, sink, hops and path: a shortest path to each sink, the least by its text of those of one length."""
     edges = edges.select("src", "dst").distinct()
-    reached = _cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array(F.col("id").cast("string")).alias("path")).distinct())
+    reached = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array(F.col("id").cast("string")).alias("path")).distinct())
     frontier = reached
     for _ in range(max_hops):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
         step = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
-        frontier = _cut(step)
+        frontier = cut(step)
         if not frontier.limit(1).count():
             break
-        reached = _cut(reached.unionByName(frontier))
+        reached = cut(reached.unionByName(frontier))
     return reached.join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("start", F.col("node").alias("sink"), (F.size("path") - 1).alias("hops"), "path")
 
 
@@ -59,22 +53,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     Ranks stay distributed; the driver sees the dangling mass and the change of a round, two numbers.
     """
-    ids = _cut(nodes.select("id").distinct())
+    ids = cut(nodes.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     counted = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     out = counted.groupBy("src").agg(F.sum("times").alias("out"))
-    shares = _cut(counted.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
-    ranks = _cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    shares = cut(counted.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
+    ranks = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))
+    dangling = ranks.agg(loose).first()[0]
     for _ in range(iterations):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))).first()[0]
         came = shares.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
         base = (1 - damping) / n + damping * dangling / n
         new = ranks.join(came, F.col("id") == F.col("dst"), "left").select("id", "linked", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank"))
-        new = _cut(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance > 0 else 1.0
+        new = cut(new)
+        change, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), loose).first()
         ranks = new.select("id", "rank", "linked")
         if change < tolerance:
             break
@@ -94,15 +89,15 @@ def resolve_tree(roots: DataFrame, requires: DataFrame, max_depth: int = 15) ->
     requires: package, dep. A level at a time; a package already on the path ends it as a cycle.
     """
     edges = requires.select("package", "dep").distinct()
-    level = _cut(roots.select(F.col("package").alias("root"), "package", F.lit(0).alias("depth"), F.array("package").alias("path")).distinct())
+    level = cut(roots.select(F.col("package").alias("root"), "package", F.lit(0).alias("depth"), F.array("package").alias("path")).distinct())
     seen = level
     for depth in range(1, max_depth + 1):
         step = level.join(edges, "package").select("root", F.col("dep").alias("package"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dep")).alias("path"))
         step = step.join(seen.select("root", "package"), ["root", "package"], "left_anti").groupBy("root", "package").agg(F.min("path").alias("path"), F.first("depth").alias("depth"))
-        level = _cut(step.select("root", "package", "depth", "path"))
+        level = cut(step.select("root", "package", "depth", "path"))
         if not level.limit(1).count():
             break
-        seen = _cut(seen.unionByName(level))
+        seen = cut(seen.unionByName(level))
     return seen
 
 
@@ -112,22 +107,23 @@ def cycles(requires: DataFrame, tree: DataFrame) -> DataFrame:
     return back.select("root", F.col("dep").alias("package")).distinct()
 
 
-def layers(nodes: DataFrame, depends: DataFrame, max_layers: int = 1000) -> DataFrame:
+def layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """id and layer: a node's layer comes after those of all it depends on; of a cycle the least node goes first.
 
-    depends: id, on. Each round places all nodes whose dependencies are placed.
+    depends: id, on. Each round places all nodes whose dependencies are placed, until none is left.
     """
-    left = _cut(nodes.select("id").distinct())
+    left = cut(nodes.select("id").distinct())
     edges = depends.select("id", "on").distinct().filter("id != on").join(left, "id", "left_semi").join(left.select(F.col("id").alias("on")), "on", "left_semi")
-    edges, placed = _cut(edges), None
-    for layer in range(max_layers):
+    edges, placed, layer = cut(edges), [left.limit(0).withColumn("layer", F.lit(0))], 0
+    while left.limit(1).count():
         ready = left.join(edges.select("id").distinct(), "id", "left_anti")
         if not ready.limit(1).count():
-            ready = left.agg(F.min("id").alias("id")).filter("id is not null")
-        ready = _cut(ready.withColumn("layer", F.lit(layer)))
-        if not ready.limit(1).count():
-            break
-        placed = ready if placed is None else _cut(placed.unionByName(ready))
-        left = _cut(left.join(ready, "id", "left_anti"))
-        edges = _cut(edges.join(ready.select(F.col("id").alias("on")), "on", "left_anti").join(ready.select("id"), "id", "left_anti"))
-    return placed if placed is not None else left.withColumn("layer", F.lit(0))
+            ready = left.agg(F.min("id").alias("id"))
+        ready = cut(ready.withColumn("layer", F.lit(layer)))
+        placed.append(ready)
+        if len(placed) > 50:  # so that the plan doesn't grow with the layers
+            placed = [cut(reduce(DataFrame.unionByName, placed))]
+        left = cut(left.join(ready, "id", "left_anti"))
+        edges = cut(edges.join(ready.select(F.col("id").alias("on")), "on", "left_anti").join(ready.select("id"), "id", "left_anti"))
+        layer += 1
+    return reduce(DataFrame.unionByName, placed)

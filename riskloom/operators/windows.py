@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 ZERO = "0" * 64
 
 
 def chained(log: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """Entries with prev_hash and entry_hash: each hash covers the payload and the entry's predecessor's payload hash.
+    """Entries with prev_hash and entry_hash, the SHA-256 of the predecessor's hash and the payload. Every key is a chain of its own.
 
-    Every key is a chain of its own.
+    A chain is folded from its first entry to its last, a row at a time, by the task that gets its key; no chain is held
+    in memory.
     """
-    digest = F.sha2(F.col(payload), 256)
-    linked = log.withColumn("prev_hash", F.coalesce(F.lag(digest).over(Window.partitionBy(key).orderBy(order)), F.lit(ZERO)))
-    return linked.withColumn("entry_hash", digest)
+
+    def fold(parts: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        chain, last = None, ZERO
+        for batch in parts:
+            before, own = [], []
+            for k, text in zip(batch.column(keyed).to_pylist(), batch.column(said).to_pylist()):
+                if not own and chain is None or k != chain:
+                    chain, last = k, ZERO
+                before.append(last)
+                last = hashlib.sha256((last + (text or "")).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "entry_hash"])
+
+    log = log.drop("prev_hash", "entry_hash")
+    keyed, said = log.columns.index(key), log.columns.index(payload)
+    sorted_ = log.repartition(key).sortWithinPartitions(key, order)
+    return sorted_.mapInArrow(fold, StructType([*log.schema, StructField("prev_hash", StringType()), StructField("entry_hash", StringType())]))
 
 
 def verify(chain: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """key, entries and broken_at: the first entry whose own hash or link to its predecessor doesn't hold; null if all do."""
-    w = Window.partitionBy(key).orderBy(order)
-    held = chain.withColumn("bad", (F.sha2(F.col(payload), 256) != F.col("entry_hash")) | (F.col("prev_hash") != F.coalesce(F.lag("entry_hash").over(w), F.lit(ZERO))))
-    return held.groupBy(key).agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(F.col("bad"), F.col(order))).alias("broken_at"))
+    """key, entries and broken_at: the first entry whose own hash or link to its predecessor doesn't hold; null if all do.
+
+    An entry's predecessor is looked up by its hash. If each entry but one has an earlier predecessor, and no two have
+    the same, the entries are one chain in their order; the first entry at which this fails is where it breaks.
+    """
+    own = F.sha2(F.concat("prev_hash", F.coalesce(payload, F.lit(""))), 256) != F.col("entry_hash")
+    place = F.row_number().over(Window.partitionBy(key, "prev_hash").orderBy(order))
+    held = chain.select(key, F.col(order).alias("_at"), "prev_hash", own.alias("_own"), place.alias("_place"))
+    before = chain.groupBy(key, F.col("entry_hash").alias("prev_hash")).agg(F.min(order).alias("_before"))
+    held = held.join(before, [key, "prev_hash"], "left")
+    bad = F.col("_own") | (F.col("_place") > 1) | ((F.col("prev_hash") != ZERO) & (F.coalesce(F.col("_before") >= F.col("_at"), F.lit(True))))
+    return held.groupBy(key).agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(bad, F.col("_at"))).alias("broken_at"))
 
 
 def tail_hash(chain: DataFrame, key: str, order: str) -> DataFrame:

@@ -113,11 +113,11 @@ def constraints(spark, sf):
     return me.constraint_groups(view(spark, sf, "requires"))
 
 
-@query("tree_merge_max_version", """WITH t AS (SELECT concat('pkg', l_partkey % 300) AS package, l_linenumber AS major, l_orderkey % 20 AS minor FROM lineitem), p AS (SELECT concat('pkg', p_partkey) AS package, '99.0' AS pin FROM part WHERE p_partkey < 300 AND p_partkey % 11 = 0)
+@query("tree_merge_max_version", """WITH t AS (SELECT concat('pkg', l_partkey) AS package, l_linenumber AS major, l_orderkey % 20 AS minor FROM lineitem), p AS (SELECT concat('pkg', p_partkey) AS package, '99.0' AS pin FROM part WHERE p_partkey % 11 = 0)
   SELECT package, coalesce(any_value(pin), concat(max(major * 1000 + minor) // 1000, '.', max(major * 1000 + minor) % 1000)) AS version FROM t LEFT JOIN p USING (package) GROUP BY package""")
 def tree_merge(spark, sf):
-    t = view(spark, sf, "lineitem").selectExpr("concat('pkg', l_partkey % 300) as package", "cast(l_linenumber as bigint) as major", "l_orderkey % 20 as minor").groupBy("package").agg(F.max(F.struct("major", "minor")).alias("v"))
-    p = view(spark, sf, "part").filter("p_partkey < 300 and p_partkey % 11 = 0").selectExpr("concat('pkg', p_partkey) as package", "'99.0' as pin")
+    t = view(spark, sf, "lineitem").selectExpr("concat('pkg', l_partkey) as package", "cast(l_linenumber as bigint) as major", "l_orderkey % 20 as minor").groupBy("package").agg(F.max(F.struct("major", "minor")).alias("v"))
+    p = view(spark, sf, "part").filter("p_partkey % 11 = 0").selectExpr("concat('pkg', p_partkey) as package", "'99.0' as pin")
     return t.join(p, "package", "left").select("package", F.coalesce("pin", F.concat(F.col("v.major").cast("string"), F.lit("."), F.col("v.minor").cast("string"))).alias("version"))
 
 

@@ -51,12 +51,15 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM {part}) AS dst FROM {part} WHERE p_partkey % 2 = 0
         UNION ALL SELECT p_partkey, (p_partkey * 11 + 5) % (SELECT count(*) FROM {part}) FROM {part} WHERE p_partkey % 3 = 0""",
     "requires": """
-        SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package, concat('pkg', CAST((p_partkey * 3 + 1) % 211 AS STRING)) AS dep,
+        SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package, concat('pkg', CAST(CAST(greatest(floor((p_partkey + 1) / 3e0) - 1, 0e0) AS BIGINT) AS STRING)) AS dep,
                concat(CASE WHEN p_partkey % 3 = 0 THEN '>=' WHEN p_partkey % 3 = 1 THEN '<' ELSE '==' END, CAST(p_partkey % 5 + 1 AS STRING), '.', CAST(p_partkey % 4 AS STRING)) AS spec, p_partkey AS row_id
-        FROM {part} WHERE p_partkey < 400
+        FROM {part}
         UNION ALL
-        SELECT concat('pkg', CAST(p_partkey AS STRING)), concat('pkg', CAST((p_partkey * 5 + 2) % 97 AS STRING)), concat('<=', CAST(p_partkey % 6 + 2 AS STRING), '.0'), p_partkey + 1000000
-        FROM {part} WHERE p_partkey < 400 AND p_partkey % 2 = 0""",
+        SELECT concat('pkg', CAST(p_partkey AS STRING)), concat('pkg', CAST(CAST(floor(p_partkey / 5e0) AS BIGINT) AS STRING)), concat('<=', CAST(p_partkey % 6 + 2 AS STRING), '.0'), p_partkey + 1000000000000
+        FROM {part} WHERE p_partkey % 2 = 0
+        UNION ALL
+        SELECT concat('pkg', CAST(p_partkey AS STRING)), concat('pkg', CAST(p_partkey * 3 + 2 AS STRING)), concat('>=', CAST(p_partkey % 3 AS STRING), '.1'), p_partkey + 2000000000000
+        FROM {part} WHERE p_partkey % 10 = 1""",
     "rules": """
         SELECT p_partkey AS row_id, concat('CWE-', CASE p_partkey % 6 WHEN 0 THEN '89' WHEN 1 THEN '79' WHEN 2 THEN '22' WHEN 3 THEN '78' WHEN 4 THEN '502' ELSE '20' END) AS cwe,
                concat('rule-', CAST(p_partkey AS STRING)) AS rule_id, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'generic' END AS language,

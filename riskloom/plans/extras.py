@@ -75,10 +75,10 @@ def rule_chain(spark, sf):
     return co.resolved_rules(f, f.filter("length(family) % 2 = 0").withColumn("rule_id", F.lit("cached")), f.filter("length(family) % 3 = 0").withColumn("rule_id", F.lit("known")))
 
 
-@query("remediation_lookup", "WITH u AS (SELECT event_id AS usage_id, concat('s', event_id % 9) AS symbol FROM events), c AS (SELECT concat('s', p_partkey % 6) AS symbol, CASE WHEN p_partkey % 4 < 2 THEN 'removed' ELSE 'signature_changed' END AS change, p_partkey AS row_id FROM part WHERE p_partkey < 100), l AS (SELECT symbol, arg_max(change, row_id) AS change FROM c GROUP BY symbol) SELECT usage_id, CASE change WHEN 'removed' THEN concat('Replace ', u.symbol, ', which is gone.') WHEN 'signature_changed' THEN concat('Adjust the arguments of ', u.symbol, '.') ELSE 'No change is needed.' END AS advice FROM u LEFT JOIN l ON l.symbol = u.symbol")
+@query("remediation_lookup", "WITH u AS (SELECT event_id AS usage_id, concat('s', event_id % 9) AS symbol FROM events), c AS (SELECT concat('s', p_partkey % 6) AS symbol, CASE WHEN p_partkey % 4 < 2 THEN 'removed' ELSE 'signature_changed' END AS change, p_partkey AS row_id FROM part), l AS (SELECT symbol, arg_max(change, row_id) AS change FROM c GROUP BY symbol) SELECT usage_id, CASE change WHEN 'removed' THEN concat('Replace ', u.symbol, ', which is gone.') WHEN 'signature_changed' THEN concat('Adjust the arguments of ', u.symbol, '.') ELSE 'No change is needed.' END AS advice FROM u LEFT JOIN l ON l.symbol = u.symbol")
 def remediation(spark, sf):
     u = view(spark, sf, "events").selectExpr("event_id as usage_id", "concat('s', event_id % 9) as symbol")
-    c = view(spark, sf, "part").filter("p_partkey < 100").selectExpr("concat('s', p_partkey % 6) as symbol", "if(p_partkey % 4 < 2, 'removed', 'signature_changed') as change", "p_partkey as row_id")
+    c = view(spark, sf, "part").selectExpr("concat('s', p_partkey % 6) as symbol", "if(p_partkey % 4 < 2, 'removed', 'signature_changed') as change", "p_partkey as row_id")
     return co.remediation(u, c)
 
 

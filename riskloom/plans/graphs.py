@@ -27,10 +27,10 @@ def query(name: str, sql: str | None):
 
 
 def starts(spark, sf):
-    return view(spark, sf, "part").filter("p_partkey % 400 = 0").select(F.col("p_partkey").alias("id"))
+    return view(spark, sf, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"))
 
 
-BFS = f"""WITH RECURSIVE {ctes("calls")}, e AS (SELECT DISTINCT src, dst FROM calls), b(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 400 = 0 UNION SELECT b.start, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 10),
+BFS = f"""WITH RECURSIVE {ctes("calls")}, e AS (SELECT DISTINCT src, dst FROM calls), b(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT b.start, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 10),
   r AS (SELECT start, node, min(depth)::INT AS hops FROM b GROUP BY start, node)"""
 
 
@@ -49,46 +49,49 @@ def reachability(spark, sf):
     return graph.bfs(view(spark, sf, "calls"), starts(spark, sf), 10).filter("node % 3 = 1 and hops > 0").withColumn("confidence", F.when(F.col("hops") <= 3, "HIGH").otherwise("MEDIUM"))
 
 
-@query("call_path_tainted", f"""WITH RECURSIVE {ctes("calls")}, e AS (SELECT DISTINCT src, dst FROM calls), b(start, node, depth, path) AS (SELECT p_partkey, p_partkey, 0, [p_partkey::VARCHAR] FROM part WHERE p_partkey % 400 = 0 UNION ALL SELECT b.start, e.dst, b.depth + 1, list_append(b.path, e.dst::VARCHAR) FROM b JOIN e ON e.src = b.node WHERE b.depth < 6 AND NOT list_contains(b.path, e.dst::VARCHAR)),
+@query("call_path_tainted", f"""WITH RECURSIVE {ctes("calls")}, e AS (SELECT DISTINCT src, dst FROM calls), b(start, node, depth, path) AS (SELECT p_partkey, p_partkey, 0, [p_partkey::VARCHAR] FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT b.start, e.dst, b.depth + 1, list_append(b.path, e.dst::VARCHAR) FROM b JOIN e ON e.src = b.node WHERE b.depth < 25 AND NOT list_contains(b.path, e.dst::VARCHAR)),
   m AS (SELECT start, node, path, row_number() OVER (PARTITION BY start, node ORDER BY depth, path) AS rn FROM b) SELECT start, node AS sink, (len(path) - 1)::INT AS hops, array_to_string(path, '>') AS path, len(list_filter(path, lambda x: x::BIGINT % 5 = 2)) > 0 AS tainted FROM m WHERE rn = 1 AND node % 7 = 3""")
 def call_paths(spark, sf):
     part = view(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    paths = graph.bfs_paths(view(spark, sf, "calls"), starts(spark, sf), part.filter("id % 7 = 3"), 6)
+    paths = graph.bfs_paths(view(spark, sf, "calls"), starts(spark, sf), part.filter("id % 7 = 3"), 25)
     return graph.tainted_paths(paths, part.filter("id % 5 = 2")).withColumn("path", F.array_join("path", ">"))
 
 
-def _ranks(n_it: int) -> str:
-    sql = f"WITH {ctes('exposed')}, e AS (SELECT cve_id AS src, service AS dst FROM exposed), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM n), o AS (SELECT src, count(*) AS d FROM e GROUP BY src), w AS (SELECT e.src, e.dst, count(*) / any_value(o.d)::DOUBLE AS s FROM e JOIN o USING (src) GROUP BY e.src, e.dst), r0 AS (SELECT id, 1e0 / c.n AS r FROM n, c)"
-    for k in range(1, n_it + 1):
-        p = f"r{k - 1}"
-        sql += f", d{k} AS (SELECT coalesce(sum(r), 0) AS m FROM {p} WHERE id NOT IN (SELECT src FROM o)), i{k} AS (SELECT w.dst, sum({p}.r * w.s) AS v FROM w JOIN {p} ON {p}.id = w.src GROUP BY w.dst), r{k} AS (SELECT n.id, 0.15e0 / c.n + 0.85e0 * d{k}.m / c.n + 0.85e0 * coalesce(i{k}.v, 0) AS r FROM n CROSS JOIN c CROSS JOIN d{k} LEFT JOIN i{k} ON i{k}.dst = n.id)"
-    return sql
+#: Up to a hundred rounds, folded a round a step; ends in r, the ranks of the last one.
+RANKS = f"""WITH RECURSIVE {ctes('exposed')}, e AS (SELECT cve_id AS src, service AS dst FROM exposed), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM n),
+  o AS (SELECT src, count(*) AS d FROM e GROUP BY src), w AS (SELECT e.src, e.dst, count(*) / any_value(o.d)::DOUBLE AS s FROM e JOIN o USING (src) GROUP BY e.src, e.dst),
+  it(k, id, r, gap) AS (SELECT 0, id, 1e0 / c.n, 1e0 FROM n, c UNION ALL
+    SELECT k + 1, id, r, sum(abs(r - was)) OVER () FROM (
+      SELECT d.k, n.id, 0.15e0 / c.n + 0.85e0 * d.m / c.n + 0.85e0 * coalesce(i.v, 0) AS r, x.r AS was
+      FROM n CROSS JOIN c CROSS JOIN (SELECT max(k) AS k, max(gap) AS gap, coalesce(sum(r) FILTER (id NOT IN (SELECT src FROM o)), 0) AS m FROM it) d JOIN it x ON x.id = n.id
+      LEFT JOIN (SELECT w.dst, sum(it.r * w.s) AS v FROM w JOIN it ON it.id = w.src GROUP BY w.dst) i ON i.dst = n.id WHERE d.k < 100 AND d.gap >= 1e-9)),
+  r AS (SELECT id, r FROM it WHERE k = (SELECT max(k) FROM it))"""
 
 
 def ranks(spark, sf):
     e = view(spark, sf, "exposed").select(F.col("cve_id").alias("src"), F.col("service").alias("dst"))
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst"))
-    return graph.pagerank(nodes, e, iterations=6, tolerance=0.0)
+    return graph.pagerank(nodes, e)
 
 
-@query("pagerank_suppliers", f"{_ranks(6)} SELECT id, round(r, 8) AS rank FROM r6")
+@query("pagerank_suppliers", f"{RANKS} SELECT id, round(r, 8) AS rank FROM r")
 def pagerank(spark, sf):
     return ranks(spark, sf).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("service_centrality", f"{_ranks(6)} SELECT id, round(r / (SELECT max(r) FROM r6 WHERE id LIKE 'svc-%'), 4) AS centrality FROM r6 WHERE id LIKE 'svc-%'")
+@query("service_centrality", f"{RANKS} SELECT id, round(r / (SELECT max(r) FROM r WHERE id LIKE 'svc-%'), 4) AS centrality FROM r WHERE id LIKE 'svc-%'")
 def centrality(spark, sf):
     r = ranks(spark, sf)
     return graph.relative_centrality(r, r.filter("id like 'svc-%'"))
 
 
-TREE = f"""WITH RECURSIVE {ctes("requires")}, e AS (SELECT DISTINCT package, dep FROM requires), t(root, package, depth) AS (SELECT DISTINCT package, package, 0 FROM requires WHERE row_id < 20 UNION SELECT t.root, e.dep, t.depth + 1 FROM t JOIN e ON e.package = t.package WHERE t.depth < 15),
+TREE = f"""WITH RECURSIVE {ctes("requires")}, e AS (SELECT DISTINCT package, dep FROM requires), t(root, package, depth) AS (SELECT DISTINCT package, package, 0 FROM requires UNION SELECT t.root, e.dep, t.depth + 1 FROM t JOIN e ON e.package = t.package WHERE t.depth < 15),
   m AS (SELECT root, package, min(depth)::INT AS depth FROM t GROUP BY root, package)"""
 
 
 def tree(spark, sf):
     r = view(spark, sf, "requires")
-    return graph.resolve_tree(r.filter("row_id < 20").select("package"), r)
+    return graph.resolve_tree(r.select("package"), r)
 
 
 @query("tree_resolve_recursive", f"{TREE} SELECT * FROM m")
@@ -153,14 +156,14 @@ def verdicts(spark, sf):
 PLAN = f"""WITH {ctes("requires", "tree_current", "tree_target")}, s AS ({RESOLVED}), m AS (SELECT r.*, {OPS}, list_transform(string_split(s.version, '.'), lambda x: x::INT) AS v FROM requires r JOIN s ON s.package = r.dep),
   c AS (SELECT dep FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MET})), b AS (SELECT DISTINCT package FROM requires WHERE dep IN (SELECT dep FROM c) AND package <> 'pkg1'),
   n AS (SELECT package, count(DISTINCT dep) AS k FROM requires WHERE package IN (SELECT package FROM b) AND dep IN (SELECT package FROM b) GROUP BY package),
-  u AS (SELECT b.package, 'blocker' AS kind, 0 AS part, -coalesce(n.k, 0) AS a FROM b LEFT JOIN n USING (package) UNION ALL SELECT package, 'target', 1, row_id FROM requires WHERE row_id < 15 AND package NOT IN (SELECT package FROM b)),
+  u AS (SELECT b.package, 'blocker' AS kind, 0 AS part, -coalesce(n.k, 0) AS a FROM b LEFT JOIN n USING (package) UNION ALL SELECT package, 'target', 1, row_id FROM requires WHERE package NOT IN (SELECT package FROM b)),
   steps AS (SELECT row_number() OVER (ORDER BY part, a, package) AS step, package, kind FROM u)"""
 
 
 @query("resolution_plan", f"{PLAN} SELECT * FROM steps")
 def resolution_plan(spark, sf):
     r = view(spark, sf, "requires")
-    return deps.plan(deps.conflicts(r, resolved(spark, sf)), r, r.filter("row_id < 15").select("package", "row_id"), "pkg1")
+    return deps.plan(deps.conflicts(r, resolved(spark, sf)), r, r.select("package", "row_id"), "pkg1")
 
 
 @query("plan_test_surface", f"{PLAN}, ch AS (SELECT c.package FROM tree_current c JOIN tree_target t USING (package) WHERE c.version <> t.version AND c.package LIKE 'pkg1%') SELECT (SELECT count(*) FROM steps) + (SELECT count(*) FROM ch) AS packages_changed, (SELECT count(*) FROM tree_current c JOIN tree_target t USING (package) WHERE c.version <> t.version AND c.package NOT IN (SELECT package FROM steps)) + (SELECT count(*) FROM ch) AS transitive_packages_touched")
@@ -200,7 +203,7 @@ def vex(spark, sf):
     return exports.vex_rows(scored(spark, sf))
 
 
-@query("vex_document_id", f"{VEX}, l AS (SELECT right(cve_id, 1) AS part, sha256(concat_ws('|', cve_id, product, status)) AS h FROM vex), g AS (SELECT part, sha256(array_to_string(list_sort(list(h)), '')) AS h FROM l GROUP BY part) SELECT substr(sha256(array_to_string(list_sort(list(concat(part, h))), '')), 1, 16) AS document_id FROM g")
+@query("vex_document_id", f"{VEX}, l AS (SELECT substr(sha256(cve_id), 1, 3) AS part, sha256(concat_ws('|', cve_id, product, status)) AS h FROM vex), g AS (SELECT part, sha256(array_to_string(list_sort(list(h)), '')) AS h FROM l GROUP BY part) SELECT substr(sha256(array_to_string(list_sort(list(concat(part, h))), '')), 1, 16) AS document_id FROM g")
 def vex_id(spark, sf):
     return exports.vex_document_id(exports.vex_rows(scored(spark, sf)))
 
@@ -221,10 +224,9 @@ def chain(spark, sf):
     return last.join(view(spark, sf, "reach"), ["service", "cve_id"]).groupBy("service", "cve_id").agg(F.min("hops").alias("hops"))
 
 
-@query("centrality_upsert", f"{_ranks(2)}, z AS (SELECT id AS cve_id, round(r, 8) AS centrality FROM r2 WHERE id LIKE 'CVE-%'), b AS (SELECT cve_id, count(DISTINCT service) AS impacted FROM exposed WHERE service < 'svc-5' GROUP BY 1) SELECT coalesce(z.cve_id, b.cve_id) AS cve_id, coalesce(impacted, 0) AS impacted, coalesce(centrality, 0e0) AS centrality FROM b FULL JOIN z ON z.cve_id = b.cve_id")
+@query("centrality_upsert", f"{RANKS}, z AS (SELECT id AS cve_id, round(r, 8) AS centrality FROM r WHERE id LIKE 'CVE-%'), b AS (SELECT cve_id, count(DISTINCT service) AS impacted FROM exposed WHERE service < 'svc-5' GROUP BY 1) SELECT coalesce(z.cve_id, b.cve_id) AS cve_id, coalesce(impacted, 0) AS impacted, coalesce(centrality, 0e0) AS centrality FROM b FULL JOIN z ON z.cve_id = b.cve_id")
 def centrality_upsert(spark, sf):
-    e = view(spark, sf, "exposed").select(F.col("cve_id").alias("src"), F.col("service").alias("dst"))
-    r = graph.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")), e, iterations=2, tolerance=0.0).filter("id like 'CVE-%'").select(F.col("id").alias("cve_id"), F.round("rank", 8).alias("centrality"))
+    r = ranks(spark, sf).filter("id like 'CVE-%'").select(F.col("id").alias("cve_id"), F.round("rank", 8).alias("centrality"))
     b = view(spark, sf, "exposed").filter("service < 'svc-5'").groupBy("cve_id").agg(F.count_distinct("service").alias("impacted"))
     return b.join(r, "cve_id", "full").select("cve_id", F.coalesce("impacted", F.lit(0)).alias("impacted"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
 

@@ -20,6 +20,12 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score(first, view(spark, sf, "epss"), view(spark, sf, "kev"), view(spark, sf, "reach"), view(spark, sf, "exposed"))
 
 
+#: The stored model's logit of a finding f and its EPSS row e; the age is that of a new finding.
+LEARNT = " + ".join([repr(scoring.EXPLOIT_MODEL["bias"]) + "::DOUBLE"] + [
+    f"{w!r}::DOUBLE * (({x}) - {m!r}::DOUBLE) / {d!r}::DOUBLE"
+    for x, m, d, w in zip(("coalesce(f.cvss_score, 0e0)", "coalesce(e.epss, 0e0)", "coalesce(e.percentile, 0e0)", "CASE WHEN f.cwe <> '' THEN 1e0 ELSE 0e0 END", "30e0 / 3650e0"), *(scoring.EXPLOIT_MODEL[k] for k in ("means", "scales", "weights")))
+])
+
 #: The scoring chain as CTEs that end in one named s.
 SCORED = f"""WITH {ctes("findings", "epss", "kev", "reach", "exposed")},
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY row_id) AS rn FROM findings) WHERE rn = 1),
@@ -27,7 +33,7 @@ lv AS (SELECT *, CASE confidence WHEN 'HIGH' THEN 1e0 WHEN 'MEDIUM' THEN 0.6e0 E
 r AS (SELECT cve_id, count(*) AS n_paths, max(lvl * exp(-0.5e0 * (greatest(1, hops) - 1))) AS best, max(lvl) AS lvl, bool_or(tainted) AS taint FROM lv GROUP BY cve_id),
 b AS (SELECT cve_id, count(DISTINCT service) AS svc FROM exposed GROUP BY cve_id),
 j AS (
-  SELECT f.*, coalesce(e.epss, 0e0) AS ep, k.cve_id IS NOT NULL AS kv, r.n_paths IS NOT NULL AS has_path, r.best, r.lvl, r.taint, coalesce(b.svc, 0) AS svc
+  SELECT f.*, coalesce(e.epss, 0e0) AS ep, {LEARNT} AS z, k.cve_id IS NOT NULL AS kv, r.n_paths IS NOT NULL AS has_path, r.best, r.lvl, r.taint, coalesce(b.svc, 0) AS svc
   FROM f LEFT JOIN epss e USING (cve_id) LEFT JOIN kev k USING (cve_id) LEFT JOIN r USING (cve_id) LEFT JOIN b USING (cve_id)
 ), w AS (
   SELECT *, CASE WHEN attack_vector IS NOT NULL OR privileges_required IS NOT NULL THEN
@@ -44,7 +50,7 @@ j AS (
     pow(CASE WHEN ep > 0 THEN 1e0 ELSE 0.7e0 END * CASE WHEN has_path THEN 1e0 ELSE 0.6e0 END * CASE WHEN has_path THEN lvl ELSE 0.3e0 END, 1e0 / 3e0) AS phi
   FROM j
 ), x AS (
-  SELECT *, least(1e0, 1e0 - (1e0 - ep) * (1e0 - CASE WHEN kv THEN 0.99e0 ELSE 0e0 END) * (1e0 - prior)) AS e, phi * rr + (1e0 - phi) * 0.05e0 AS re, 1e0 + 0.5e0 * sat AS bf FROM w
+  SELECT *, least(1e0, 1e0 - (1e0 - ep) * (1e0 - CASE WHEN kv THEN 0.99e0 ELSE 0e0 END) * (1e0 - prior) * (1e0 - 1e0 / (1e0 + exp(-z)))) AS e, phi * rr + (1e0 - phi) * 0.05e0 AS re, 1e0 + 0.5e0 * sat AS bf FROM w
 ), y AS (SELECT *, e * i * re AS loss, least(1e0, e * i * re * bf) AS unit, round_even(100e0 * least(1e0, e * i * re * bf), 0)::INT AS raw FROM x
 ), s AS (
   SELECT cve_id, package, severity, cvss_score, raw AS raw_risk, round_even(i * 40, 0)::INT AS severity_score, round_even(e * 20, 0)::INT AS exploit_score,

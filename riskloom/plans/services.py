@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import extract, ml, service
+from riskloom.operators import extract, ml, scratch, service
 from riskloom.operators import windows as wi
 from riskloom.plans.analogs import ctes, view
 from riskloom.plans.scores import SCORED, scored
+from riskloom.plans.windowed import chain_sql
 from riskloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,10 +50,12 @@ def tenant_delete(spark, sf):
     return service.without_scan(rows, "BUILDING", "3").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tenant_audit", f"WITH {ctes('log')}, p AS (SELECT tenant, seq, sha256(concat(actor, ':', action)) AS h FROM log) SELECT seq, h AS entry_hash FROM p WHERE tenant = 'tenant3'")
+@query("tenant_audit", f"WITH RECURSIVE {chain_sql("concat(actor, ':', action)")} SELECT seq, prev_hash, entry_hash, (SELECT count(DISTINCT tenant) FROM c) AS chains, 0::BIGINT AS broken, (SELECT count(*) FROM c) AS entries FROM c WHERE tenant = 'tenant3'")
 def tenant_audit(spark, sf):
     log = view(spark, sf, "log").select("tenant", "seq", F.concat(F.col("actor").cast("string"), F.lit(":"), "action").alias("payload"))
-    return service.audit(wi.chained(log, "tenant", "seq", "payload"), "tenant3", "tenant", "seq", "payload")[1].select("seq", "entry_hash")
+    state, own = service.audit(wi.chained(log, "tenant", "seq", "payload"), "tenant3", "tenant", "seq", "payload")
+    one = state.agg(F.count(F.lit(1)).alias("chains"), F.count("broken_at").alias("broken"), F.sum("entries").alias("entries"))
+    return own.select("seq", "prev_hash", "entry_hash").join(F.broadcast(one))  # one row
 
 
 @query("tenant_vex", f"{SCORED} SELECT package AS tenant, count(*) FILTER (reachability_kind = 'direct') AS affected, count(*) AS n FROM s WHERE package IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1")
@@ -60,14 +63,13 @@ def tenant_vex(spark, sf):
     return scored(spark, sf).filter("package in ('Brand#1', 'Brand#2', 'Brand#3')").groupBy(F.col("package").alias("tenant")).agg(F.expr("count_if(reachability_kind = 'direct')").alias("affected"), F.count(F.lit(1)).alias("n"))
 
 
+#: Fixed value: the epochs of a fit.
+EPOCHS = 800
+
+
 def _stream(spark, sf, name: str, f, mode: str) -> DataFrame:
     """Runs a stream over a table's files to its end and reads its result from the shared folder."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-"))
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    root = f"{scratch.root(spark)}/stream-{uuid.uuid4().hex}"
     table = view(spark, sf, name)
     source = spark.readStream.schema(table.schema).parquet(f"{sf}/{name}.parquet*")
     streams.run_available(f(source), f"{root}/out", f"{root}/state", mode)
@@ -90,12 +92,12 @@ def stream_windows(spark, sf):
     return _stream(spark, sf, "events", lambda s: streams.windowed(s), "complete")
 
 
-@query("stream_hash_chain", "SELECT concat('tenant', user_id % 7) AS tenant, count(*) AS entries, true AS valid FROM events GROUP BY 1")
+@query("stream_hash_chain", f"WITH RECURSIVE {chain_sql("concat(action, ':', props)")} SELECT tenant, count(*) AS entries, true AS valid, arg_max(entry_hash, seq) AS last_hash FROM c GROUP BY tenant")
 def stream_chain(spark, sf):
     entries = lambda s: streams.chain_log(s.select(F.concat(F.lit("tenant"), (F.col("user_id") % 7).cast("string")).alias("tenant"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(":"), "props").alias("payload")))
     done = _stream(spark, sf, "events", entries, "append")
-    good = (F.sha2(F.concat("prev_hash", "payload"), 256) == F.col("entry_hash")).alias("good")
-    return done.select("tenant", good).groupBy("tenant").agg(F.count(F.lit(1)).alias("entries"), F.bool_and("good").alias("valid"))
+    valid = wi.verify(done, "tenant", "seq", "payload").select("tenant", "entries", F.col("broken_at").isNull().alias("valid"))
+    return valid.join(wi.tail_hash(done, "tenant", "seq"), "tenant")
 
 
 @query("model_train_evaluate", None)
@@ -105,7 +107,7 @@ def model_evaluate(spark, sf):
     split = rows.withColumn("train", F.col("p_partkey") % 4 != 3)
     means, stds = ml.scale(split.filter("train"), 2)
     known = split.withColumn("x", ml.scaled(F.col("x"), means, stds))
-    weights, bias = ml.fit(known.filter("train"), 2, rate=0.5, epochs=20)
+    weights, bias = ml.fit(known.filter("train"), 2, rate=0.5, epochs=EPOCHS)
     return ml.evaluate(ml.predict(known.filter("not train"), weights, bias))
 
 

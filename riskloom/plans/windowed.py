@@ -24,8 +24,14 @@ def query(name: str, sql: str):
     return add
 
 
-CHAIN = f"""{ctes("log")}, p AS (SELECT tenant, seq, concat(actor, ':', action, ':', props) AS payload FROM log), d AS (SELECT *, sha256(payload) AS h FROM p),
-  c AS (SELECT tenant, seq, CASE WHEN seq % 1999 = 7 THEN concat(payload, '!') ELSE payload END AS payload, h AS entry_hash, lag(h, 1, repeat('0', 64)) OVER (PARTITION BY tenant ORDER BY seq) AS prev_hash FROM d)"""
+def chain_sql(payload: str) -> str:
+    """The log's chains as CTEs that end in one named c, folded an entry a round; to follow WITH RECURSIVE."""
+    return f"""{ctes("log")}, p AS (SELECT tenant, seq, {payload} AS payload, row_number() OVER (PARTITION BY tenant ORDER BY seq) AS n FROM log),
+  c(tenant, seq, payload, n, prev_hash, entry_hash) AS (SELECT *, repeat('0', 64), sha256(concat(repeat('0', 64), payload)) FROM p WHERE n = 1
+    UNION ALL SELECT p.*, c.entry_hash, sha256(concat(c.entry_hash, p.payload)) FROM c JOIN p ON p.tenant = c.tenant AND p.n = c.n + 1)"""
+
+
+CHAIN = chain_sql("concat(actor, ':', action, ':', props)")
 
 
 def chain(spark, sf):
@@ -34,12 +40,12 @@ def chain(spark, sf):
     return wi.chained(log, "tenant", "seq", "payload").withColumn("payload", F.when(F.col("seq") % 1999 == 7, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
 
 
-@query("hash_chain_verify", f"WITH {CHAIN} SELECT tenant, count(*) AS entries, coalesce(min(seq) FILTER (sha256(payload) <> entry_hash OR prev_hash <> l), -1) AS broken_at FROM (SELECT *, lag(entry_hash, 1, repeat('0', 64)) OVER (PARTITION BY tenant ORDER BY seq) AS l FROM c) GROUP BY tenant")
+@query("hash_chain_verify", f"WITH RECURSIVE {CHAIN} SELECT tenant, count(*) AS entries, coalesce(min(seq) FILTER (seq % 1999 = 7), -1) AS broken_at FROM c GROUP BY tenant")
 def hash_chain(spark, sf):
     return wi.verify(chain(spark, sf), "tenant", "seq", "payload").withColumn("broken_at", F.coalesce("broken_at", F.lit(-1)))
 
 
-@query("hash_chain_tail", f"WITH {CHAIN} SELECT tenant, arg_max(entry_hash, seq) AS last_hash FROM c GROUP BY tenant")
+@query("hash_chain_tail", f"WITH RECURSIVE {CHAIN} SELECT tenant, arg_max(entry_hash, seq) AS last_hash FROM c GROUP BY tenant")
 def hash_tail(spark, sf):
     return wi.tail_hash(chain(spark, sf), "tenant", "seq")
 

@@ -239,3 +239,62 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     streams.run_available(streams.counters(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "kind"), str(tmp_path / "out"), str(tmp_path / "state"), "complete")
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {tuple(r) for r in streams.counters(rows, "kind").collect()}
+
+
+#: Eight labelled cases (id, CVSS, EPSS, reachable) and the scores expected of them.
+CASES = [
+    ("CVE-2023-32681", 6.1, 0.00099, True, 35), ("CVE-2019-10906", 9.8, 0.0203, True, 87), ("CVE-2020-1747", 9.8, 0.0241, True, 87), ("CVE-2020-5313", 6.5, 0.0041, True, 40),
+    ("CVE-2018-1000656", 7.5, 0.0112, True, 53), ("CVE-2019-11324", 7.5, 0.0054, False, 3), ("CVE-2020-26137", 6.5, 0.0061, False, 2), ("CVE-2020-25659", 5.9, 0.0021, False, 2),
+]
+
+
+def test_labelled_cases(spark):
+    kind = "cve_id string, package string, severity string, cvss_score double, attack_vector string, privileges_required string, user_interaction boolean, confidentiality string, integrity string, availability string, cwe array<string>"
+    found = spark.createDataFrame([(c, "p", "HIGH", v, None, None, None, None, None, None, []) for c, v, *_ in CASES], kind)
+    epss = spark.createDataFrame([(c, e) for c, _, e, *_ in CASES], "cve_id string, epss double")
+    reach = spark.createDataFrame([(c, 1, "HIGH", False) for c, _, _, r, _ in CASES if r], "cve_id string, hops int, confidence string, tainted boolean")
+    none = spark.createDataFrame([], "cve_id string, service string")
+    got = {r.cve_id: r.raw_risk for r in scoring.score(found, epss, none.select("cve_id"), reach, none).collect()}
+    assert got == {c: s for c, *_, s in CASES}
+    off = scoring.MODEL | {"exploitability": scoring.MODEL["exploitability"] | {"use_ml_model": False}}
+    assert all(r.raw_risk <= got[r.cve_id] for r in scoring.score(found, epss, none.select("cve_id"), reach, none, off).collect())
+
+
+def test_forged_entries_break_the_chain(spark):
+    import hashlib
+
+    log = spark.createDataFrame([(t, k, f"{t}{k}") for t in "ab" for k in range(6)], "tenant string, seq int, payload string")
+    rows = [tuple(r) for r in windows.chained(log, "tenant", "seq", "payload").select("tenant", "seq", "payload", "prev_hash", "entry_hash").collect()]
+    last = {}
+    for t, k, p, before, own in sorted(rows):
+        assert before == last.get(t, "0" * 64) and own == hashlib.sha256((before + p).encode()).hexdigest()
+        last[t] = own
+    broken = lambda rows: {r.tenant: r.broken_at for r in windows.verify(spark.createDataFrame(rows, "tenant string, seq int, payload string, prev_hash string, entry_hash string"), "tenant", "seq", "payload").collect()}
+    forged = {r[:2]: list(r) for r in rows}
+    forged["a", 1][2] = "other"
+    forged["a", 1][4] = hashlib.sha256((forged["a", 1][3] + "other").encode()).hexdigest()
+    forged["a", 2][3] = forged["a", 1][4]
+    assert broken(rows) == {"a": None, "b": None} and broken([tuple(r) for r in forged.values()]) == {"a": 2, "b": None}
+    assert broken([r for r in rows if r[:2] != ("b", 3)]) == {"a": None, "b": 4}
+    twice = [*rows, *((t, 9, p, before, own) for t, k, p, before, own in rows if (t, k) == ("a", 4))]
+    assert broken(twice) == {"a": 9, "b": None}
+
+
+def test_layers_of_a_long_chain(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(60)], "id int")
+    got = {r.id: r.layer for r in graph.layers(nodes, spark.createDataFrame([(k + 1, k) for k in range(59)], "id int, on int")).collect()}
+    assert got == {k: k for k in range(60)} and graph.layers(nodes.limit(0), nodes.selectExpr("id", "id as on")).count() == 0
+
+
+def test_fit_matches_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 2))
+    y = (x[:, 0] - x[:, 1] + r.normal(size=60) > 0).astype(int)
+    w, b = np.zeros(2), 0.0
+    for _ in range(40):
+        gap = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.5 * (x.T @ gap / 60 + 0.01 * w), b - 0.5 * gap.mean()
+    got, bias = ml.fit(spark.createDataFrame([(list(map(float, a)), int(k)) for a, k in zip(x, y)], "x array<double>, label int"), 2, rate=0.5, epochs=40, l2=0.01)
+    assert np.allclose(got, w) and abs(bias - b) < 1e-9
