@@ -13,7 +13,7 @@ Features of a text are shares that need no vocabulary: symbols, capitals, repeat
 words, digits, punctuation, word and line lengths, and so on, with their squares.
 
 The model is fitted on a bounded sample: at most 12,000 positives and 12,000 unlabelled rows, the first by the MD5 of
-their ids. Every document is scored whole.
+their ids; of rows that repeat an id the one of the least features counts. Every document is scored whole.
 
 Defined cases: null and empty texts have all features zero and get the model's score of that; repeated rows are scored
 alike; without positives all scores are 0; null labels are no positives; extra columns are ignored.
@@ -152,8 +152,8 @@ def training(docs: DataFrame, labels: DataFrame) -> tuple[list, list]:
     some = docs.select(F.col("doc_id").alias("s_id")).filter("s_id is not null").distinct().orderBy(F.desc(first)).limit(UNLABELLED)
 
     def of(ids: DataFrame) -> list:
-        # 12,000 ids at most
-        got = _featured(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"), "left_semi")).orderBy("doc_id", "x").select("x").toArrow()
+        # 12,000 ids at most, and one row of each
+        got = _featured(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"), "left_semi")).groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
         return got.column("x").to_pylist()
 
     return of(positive), of(some)

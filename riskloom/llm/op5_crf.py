@@ -10,7 +10,9 @@ token is toxic comes from the sum of -log(1 - marginal), and two numbers fitted
 the score. Tokens with a marginal of one half or more are the offending spans, given as character offsets.
 
 The model is fitted on a bounded sample: at most 800 toxic and 2000 other training documents, the first by the MD5 of
-their ids, of at most 8,000 characters each. Every document is scored whole.
+their ids, of at most 8,000 characters each (of rows that repeat an id the least text). All of these choose the marking
+features and the score's two numbers; the field's weights are fitted on the first 600 of either kind (FIT_DOCS). Every
+document is scored whole.
 
 Defined cases: null and empty texts have no tokens and get the score of a document without toxic tokens; repeated rows
 are scored alike; without toxic or without other training documents all scores are the share of toxic ones (0 without
@@ -262,7 +264,7 @@ def training(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     # twice as many as needed, as some have no document or a very long one
     picked = [known.filter(F.col("toxic") == k).orderBy(first).limit(2 * n) for k, n in ((1, TOXIC_DOCS), (0, OTHER_DOCS))]
     ids = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).filter(F.length("text") <= MAX_CHARS).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).filter(F.length("text") <= MAX_CHARS).groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.*")
     got = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).toArrow()
     texts, labels_ = got.column("text").to_pylist(), got.column("toxic").to_pylist()
     kept, left = [], {1: TOXIC_DOCS, 0: OTHER_DOCS}
@@ -305,4 +307,4 @@ def tagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("spans")
+    return tagged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

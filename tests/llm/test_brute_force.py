@@ -170,35 +170,21 @@ def test_long_texts_span_chunks(spark, corpus):
     assert all(math.isclose(whole[d], again[d], rel_tol=1e-9) for d in whole)
 
 
-def test_line_runs(spark, corpus):
-    found = {d: op7_lines.line_hashes(t.encode()) for d, t, _ in corpus}
-    first: dict = {}
-    for d in sorted(found):
-        for k, h in op7_lines.winnow(found[d][0]):
-            first.setdefault(h, (d, k))
-    want = {}
-    for d, (lines, numbers, total) in found.items():
-        gone = set()
-        for k, h in op7_lines.winnow(lines):
-            fd, fk = first[h]
-            if (fd, fk) != (d, k):
-                a, b = op7_lines.extend(lines, found[fd][0], k, fk, fd == d)
-                gone |= set(range(numbers[a], numbers[b - 1] + 1))
-        want[d] = gone
-    got = {r.doc: {k for x in r.runs for k in range(x.start, x.end)} for r in op7_lines.removed(frame(spark, corpus)).collect()}
+@pytest.mark.parametrize("hot", [2**12, 4, 1])
+def test_repeated_lines(spark, corpus, hot):
+    seen, want = set(), {}
+    for d, t, _ in sorted(corpus):
+        want[d] = set()
+        for k, line in enumerate(t.split("\n")):
+            words = tuple(line.split())
+            if words in seen:
+                want[d].add(k)
+            elif words:
+                seen.add(words)
+    docs = frame(spark, corpus)
+    got = {r.doc: {k for x in r.runs for k in range(x.start, x.end)} for r in op7_lines.removed(docs, hot).collect()}
     assert got == want and any(want.values())
-    # every run of four lines or more that an earlier text has is found, and no first copy of a line goes
-    seen: dict = {}
-    for d in sorted(found):
-        lines, numbers, _ = found[d]
-        for k in range(len(lines) - 3):
-            if tuple(lines[k : k + 4]) in seen:
-                assert numbers[k + 1] in want[d] or numbers[k + 2] in want[d]
-        for k in range(len(lines) - 3):
-            seen.setdefault(tuple(lines[k : k + 4]), d)
-    kept = {x for d, (lines, numbers, _) in found.items() for x, k in zip(lines, numbers) if k not in want[d]}
-    assert kept == {x for lines, _, _ in found.values() for x in lines}
-    texts = {r.doc_id: r.text for r in op7_lines.dedup(frame(spark, corpus)).collect()}
+    texts = {r.doc_id: r.text for r in op7_lines.dedup(docs).collect()}
     assert all(texts[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]) for d, t, _ in corpus)
 
 

@@ -64,6 +64,18 @@ def test_rules_of_odd_texts(odd):
     assert r[1].fails & 1 and not r[9].fails & 1
 
 
+def test_ablations_count_bits(odd):
+    rows = [r.fails for r in op2_rules.ledger(odd).collect()]
+    for policy, mask in op2_rules.POLICIES.items():
+        got = {r.rule: (r.failed, r.failed_alone, r.kept_without, r.n) for r in op2_rules.ablations(op2_rules.ledger(odd), policy).collect()}
+        assert got == {op2_rules.RULES[k]: (sum(f >> k & 1 for f in rows), sum(f & mask == 1 << k for f in rows), sum(f & mask & ~(1 << k) == 0 for f in rows), len(rows)) for k in range(6) if mask >> k & 1}
+
+
+def test_lines_of_odd_rows(odd):
+    got = {(r.doc_id, r.text) for r in op7_lines.dedup(odd).collect()}
+    assert (6, "A b\n\nc d") in got and (8, "") in got and (1, None) in got and (7, "same text here with five words") in got
+
+
 def test_keep_one_of_ties(odd):
     kept = [r.doc_id for r in op8_simhash.keep_one(odd).collect()]
     assert kept.count(7) == 1 and 8 not in kept
