@@ -36,7 +36,8 @@ WORDS, MATCHED = 2, 4
 #: Windows of the benchmark that are broadcast at most, of about 200 bytes each.
 MAX_BROADCAST = 500_000
 NAME, NUMBER, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
-NAMES = r"(^|[^\p{L}])(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*)"
+#: A capital that no letter precedes, and what follows; the capital is looked for first, as most places have none.
+NAMES = r"\p{Lu}(?<!\p{L}\p{Lu})[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*"
 NUMBERS = r"[0-9][0-9.,:/]*[0-9]|[0-9]"
 #: Unit words that are replaced right after a number.
 UNITS = "kilometers|kilometres|kilograms|centimeters|centimetres|millimeters|millimetres|meters|metres|grams|liters|litres|pounds|ounces|inches|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|percent|miles|feet|yards|degrees|km|kg|cm|mm|mg|ml|ms|lb|oz|ft|in|mi|gb|mb|kb|usd|eur|m|g|l|s|h"
@@ -45,7 +46,7 @@ UNITS = "kilometers|kilometres|kilograms|centimeters|centimetres|millimeters|mil
 def valued(text: Column) -> Column:
     """The array of a text's tokens; a placeholder stands on either side of the value it replaces."""
     plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + NUMBER + UNIT, "   ")
-    named = F.regexp_replace(plain, F.lit(NAMES), F.lit(f"$1{NAME}$2{NAME}"))
+    named = F.regexp_replace(plain, F.lit(NAMES), F.lit(f"{NAME}$0{NAME}"))
     numbered = F.regexp_replace(named, F.lit(NUMBERS), F.lit(f"{NUMBER}$0{NUMBER}"))
     united = F.regexp_replace(F.lower(numbered), F.lit(rf"{NUMBER} *({UNITS})([^\p{{L}}]|$)"), F.lit(f"{NUMBER}{UNIT}$1{UNIT}$2"))
     return F.regexp_extract_all(united, F.lit(rf"[{NAME}-{UNIT}][^{NAME}-{UNIT}]+[{NAME}-{UNIT}]|\p{{L}}+"), F.lit(0))
@@ -57,6 +58,14 @@ VALUES = f"transform({{0}}, x -> if(startswith(x, '{NAME}'), concat('{NAME}', su
 PLAIN = f"size(filter({{0}}, x -> not (x >= '{NAME}' and x < '{AFTER}')))"
 
 
+#: SQL: the hashes of an array's templates, and that of the tokens of such hashes from a place on.
+HASHES = f"transform({{0}}, x -> xxhash64(if(x >= '{NAME}' and x < '{AFTER}', left(x, 1), x)))"
+
+
+def _hash(hashes: str, at: str, width: int) -> str:
+    return f"xxhash64({', '.join(f'{hashes}[{at} + {k}]' for k in range(width))})"
+
+
 def template(text: Column) -> Column:
     """The array of a text's template tokens."""
     return F.transform(valued(text), lambda x: F.when((x >= NAME) & (x < AFTER), F.left(x, F.lit(1))).otherwise(x))
@@ -70,7 +79,7 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """item_id, at, words, raw, hash and item_windows: the windows of each item that can match, at their offsets from 0, and how many distinct ones the item has."""
     tokens = items.select("item_id", valued(F.col("text")).alias("r")).filter(F.size("r") >= width)
     cut = tokens.select("item_id", F.expr(f"posexplode(transform(sequence(0, size(r) - {width}), i -> slice(r, i + 1, {width})))").alias("at", "raw"))
-    cut = cut.filter(F.expr(PLAIN.format("raw")) >= WORDS).distinct().withColumn("words", F.expr(TEMPLATE.format("raw"))).withColumn("hash", F.xxhash64("words"))
+    cut = cut.filter(F.expr(PLAIN.format("raw")) >= WORDS).distinct().withColumns({"words": F.expr(TEMPLATE.format("raw")), "h": F.expr(HASHES.format("raw"))}).withColumn("hash", F.expr(_hash("h", "0", width))).drop("h")
     sums = cut.groupBy("item_id").agg(F.count_distinct("hash").alias("item_windows"))
     return cut.join(sums, "item_id")
 
@@ -99,9 +108,9 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width:
     rows = docs.select("doc_id", _crc().alias("crc"), valued(F.col("text")).alias("r"))
 
     # where a document has a window of some item, and whether it is a short item; hash and place only
-    hashes = f"if(size(t) < {width}, array(xxhash64(t)), transform(sequence(0, size(t) - {width}), i -> xxhash64(slice(t, i + 1, {width}))))"
-    hashed = rows.withColumn("t", F.expr(TEMPLATE.format("r"))).select("doc_id", "crc", (F.size("t") < width).alias("whole"), F.posexplode(F.expr(hashes)).alias("at", "hash"))
-    wanted = windows.select("hash", F.lit(False).alias("whole")).unionByName(short.select(F.expr(f"xxhash64({TEMPLATE.format('r')})").alias("hash"), F.lit(True).alias("whole"))).distinct()
+    hashes = f"if(size(h) < {width}, array(xxhash64(h)), transform(sequence(0, size(h) - {width}), i -> {_hash('h', 'i', width)}))"
+    hashed = rows.select("doc_id", "crc", F.expr(HASHES.format("r")).alias("h")).select("doc_id", "crc", (F.size("h") < width).alias("whole"), F.posexplode(F.expr(hashes)).alias("at", "hash"))
+    wanted = windows.select("hash", F.lit(False).alias("whole")).unionByName(short.select(F.expr(f"xxhash64({HASHES.format('r')})").alias("hash"), F.lit(True).alias("whole"))).distinct()
     both = F.broadcast if _few(wanted) else lambda df: df
     found = written(hashed.join(both(wanted), ["hash", "whole"], "left_semi").distinct(), "found")
 
