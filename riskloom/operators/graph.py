@@ -107,23 +107,28 @@ def cycles(requires: DataFrame, tree: DataFrame) -> DataFrame:
     return back.select("root", F.col("dep").alias("package")).distinct()
 
 
-def layers(nodes: DataFrame, depends: DataFrame) -> DataFrame:
-    """id and layer: a node's layer comes after those of all it depends on; of a cycle the least node goes first.
+def layers(nodes: DataFrame, depends: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """id and layer, and the group's columns: a node's layer comes after those of all it depends on; of a cycle the least node goes first.
 
-    depends: id, on. Each round places all nodes whose dependencies are placed, until none is left.
+    depends: id, on. Each round places all nodes whose dependencies are placed, until none is left; groups are ordered
+    apart from each other, all in the same rounds.
     """
-    left = cut(nodes.select("id").distinct())
-    edges = depends.select("id", "on").distinct().filter("id != on").join(left, "id", "left_semi").join(left.select(F.col("id").alias("on")), "on", "left_semi")
+    keys, on = [*group, "id"], [*group, "on"]
+    left = cut(nodes.select(*keys).distinct())
+    edges = depends.select(*keys, "on").distinct().filter("id != on").join(left, keys, "left_semi").join(left.withColumnRenamed("id", "on"), on, "left_semi")
     edges, placed, layer = cut(edges), [left.limit(0).withColumn("layer", F.lit(0))], 0
     while left.limit(1).count():
-        ready = left.join(edges.select("id").distinct(), "id", "left_anti")
-        if not ready.limit(1).count():
+        ready = left.join(edges.select(*keys).distinct(), keys, "left_anti")
+        if group:
+            stuck = left.join(ready.select(*group).distinct(), list(group), "left_anti")
+            ready = ready.unionByName(stuck.groupBy(*group).agg(F.min("id").alias("id")))
+        elif not ready.limit(1).count():
             ready = left.agg(F.min("id").alias("id"))
         ready = cut(ready.withColumn("layer", F.lit(layer)))
         placed.append(ready)
         if len(placed) > 50:  # so that the plan doesn't grow with the layers
             placed = [cut(reduce(DataFrame.unionByName, placed))]
-        left = cut(left.join(ready, "id", "left_anti"))
-        edges = cut(edges.join(ready.select(F.col("id").alias("on")), "on", "left_anti").join(ready.select("id"), "id", "left_anti"))
+        left = cut(left.join(ready, keys, "left_anti"))
+        edges = cut(edges.join(ready.select(*group, F.col("id").alias("on")), on, "left_anti").join(ready.select(*keys), keys, "left_anti"))
         layer += 1
     return reduce(DataFrame.unionByName, placed)

@@ -136,12 +136,3 @@ def candidates(spark, sf):
     v = view(spark, sf, "requires").select("dep", F.explode(tx.version_literals(F.col("spec"))).alias("v")).distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(ve.release_key(F.col("v")).alias("k"), "v"))), lambda x: x["v"])
     return v.groupBy("dep").agg(F.array_join(ordered, ",").alias("candidates"))
-
-
-@query("cascade_chain_ordered", f"WITH {ctes('tree_current', 'tree_target', 'requires')}, b AS (SELECT package, c.version AS from_version, t.version AS to_version FROM tree_current c JOIN tree_target t USING (package) WHERE c.version <> t.version AND package <> 'pkg7') SELECT b.*, coalesce(p.parent, 'pkg7') AS forced_by FROM b LEFT JOIN (SELECT dep AS package, min(package) AS parent FROM requires GROUP BY dep) p USING (package)")
-def cascade(spark, sf):
-    from riskloom.operators.joins import tree_diff
-
-    b = tree_diff(view(spark, sf, "tree_current"), view(spark, sf, "tree_target")).filter("change = 'bumped' and package != 'pkg7'").drop("change")
-    p = view(spark, sf, "requires").groupBy(F.col("dep").alias("package")).agg(F.min("package").alias("parent"))
-    return b.join(p, "package", "left").select("package", "from_version", "to_version", F.coalesce("parent", F.lit("pkg7")).alias("forced_by"))
