@@ -63,3 +63,12 @@ def remediation(usage: DataFrame, changes: DataFrame) -> DataFrame:
     last = changes.groupBy("symbol").agg(F.max_by("change", "row_id").alias("change"))
     advice = F.when(F.col("change") == "removed", F.concat(F.lit("Replace "), "symbol", F.lit(", which is gone."))).when(F.col("change") == "signature_changed", F.concat(F.lit("Adjust the arguments of "), "symbol", F.lit("."))).otherwise("No change is needed.")
     return usage.join(last, "symbol", "left").select("usage_id", advice.alias("advice"))
+
+
+def symbol_rules(resolved: DataFrame, sinks: DataFrame, language: str) -> DataFrame:
+    """resolved rules (family, rule_id, source) with patterns; families with known sinks (family, pattern) get a rule of these instead."""
+    own = sinks.filter("pattern != ''").groupBy("family").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
+    both = resolved.join(own, "family", "full")
+    known, none = F.col("patterns").isNotNull(), F.array().cast("array<string>")
+    rule = F.when(known, F.concat(F.lit("symbol-"), "family", F.lit(f"-{language}"))).otherwise(F.col("rule_id"))
+    return both.select("family", rule.alias("rule_id"), F.when(known, "symbol").otherwise(F.col("source")).alias("source"), F.coalesce("patterns", none).alias("patterns"))

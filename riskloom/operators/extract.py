@@ -113,6 +113,60 @@ def extract_refs(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(parse, SOURCE_REFS)
 
 
+ENTRY_POINTS = "path string, name string, framework string, route string, method string"
+
+
+def entry_points_of(path: str | None, text: str | None) -> list[tuple]:
+    """(name, framework, route, method) of functions that decorators, or the URL patterns of a urls.py, make entry points.
+
+    A function's first telling decorator counts, the last function of a name, and decorators before URL patterns, of which
+    the first that names a view counts.
+    """
+    import ast
+
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError):
+        return []
+    literal = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else None
+    found = {}
+    for fn in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
+        for d in fn.decorator_list:
+            call = isinstance(d, ast.Call)
+            target = d.func if call else d
+            member, last = isinstance(target, ast.Attribute), getattr(target, "attr", getattr(target, "id", ""))
+            if member and last in ("task", "shared_task"):
+                info = ("celery", None, None)
+            elif call and member and last in ("command", "group"):
+                info = ("click", None, None)
+            elif call and (last == "route" or member and last in ("get", "post", "put", "delete", "patch", "head", "options")):
+                listed = [literal(e) for k in d.keywords if k.arg == "methods" for e in getattr(k.value, "elts", [k.value])] if last == "route" else [last.upper()]
+                info = ("flask" if last == "route" else "fastapi", literal(d.args[0]) if d.args else None, next(filter(None, listed), "GET"))
+            else:
+                continue
+            found[fn.name] = info
+            break
+    if (path or "").replace("\\", "/").endswith("urls.py"):
+        for c in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and _dotted(n.func).rsplit(".", 1)[-1] == "path" and len(n.args) > 1):
+            view = _dotted(c.args[1]).rsplit(".", 1)[-1]
+            if view:
+                found.setdefault(view, ("django", literal(c.args[0]), "GET"))
+    return [(name, *info) for name, info in found.items()]
+
+
+def extract_entry_points(sources: DataFrame) -> DataFrame:
+    """Rows of entry_points_of for each source (path, text)."""
+
+    def parse(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in parts:
+            rows = [(p, *r) for p, t in zip(pdf.path, pdf.text) for r in entry_points_of(p, t)]
+            yield pd.DataFrame(rows, columns=["path", "name", "framework", "route", "method"])
+
+    return sources.select("path", "text").mapInPandas(parse, ENTRY_POINTS)
+
+
 SIGNATURES = "path string, module string, symbol string, kind string, params array<string>, n_defaults int"
 
 

@@ -27,8 +27,8 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     return reached
 
 
-def bfs_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, max_hops: int) -> DataFrame:
-    """start, sink, hops and path: a shortest path to each sink, the least by its text of those of one length."""
+def bfs_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame | None, max_hops: int) -> DataFrame:
+    """start, sink, hops and path: a shortest path to each sink, or to each node where no sinks are given, the least by its text of those of one length."""
     edges = edges.select("src", "dst").distinct()
     reached = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array(F.col("id").cast("string")).alias("path")).distinct())
     frontier = reached
@@ -39,7 +39,41 @@ def bfs_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, max_hops: i
         if not frontier.limit(1).count():
             break
         reached = cut(reached.unionByName(frontier))
-    return reached.join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("start", F.col("node").alias("sink"), (F.size("path") - 1).alias("hops"), "path")
+    if sinks is not None:
+        reached = reached.join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    return reached.select("start", F.col("node").alias("sink"), (F.size("path") - 1).alias("hops"), "path")
+
+
+def paths_to_symbols(edges: DataFrame, starts: DataFrame, symbols: DataFrame, max_hops: int = 25) -> DataFrame:
+    """start, symbol, hops, path: a shortest path from each start to an outside function (ext::name) that a symbol names.
+
+    A name and a symbol (column symbol) match if they are equal or either ends in the other after a dot, so they share
+    their last segment, which is joined on. Paths don't lead through outside functions; max_hops counts the edges before
+    the last one.
+    """
+    outside = F.col("dst").startswith("ext::")
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    name = edges.filter(outside).select(F.col("src").alias("node"), F.col("dst"), F.expr("substr(dst, 6)").alias("name")).distinct()
+    wanted = symbols.select(F.ltrim(F.col("symbol"), F.lit(".")).alias("symbol")).distinct()
+    ends = (F.col("name") == F.col("symbol")) | F.col("name").endswith(F.concat(F.lit("."), "symbol")) | F.col("symbol").endswith(F.concat(F.lit("."), "name"))
+    sinks = name.withColumn("last", last(F.col("name"))).join(wanted.withColumn("last", last(F.col("symbol"))), "last").filter(ends).groupBy("node", "symbol").agg(F.min("dst").alias("dst"))
+    reached = bfs_paths(edges.filter(~outside), starts, None, max_hops)
+    whole = reached.join(sinks, F.col("sink") == F.col("node")).select("start", "symbol", F.array_append("path", F.col("dst")).alias("path"))
+    best = whole.groupBy("start", "symbol").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b"))
+    return best.select("start", "symbol", (F.col("b.n") - 1).alias("hops"), F.col("b.path").alias("path"))
+
+
+def dependency_chain(services: DataFrame, exposes: DataFrame, vulnerable: DataFrame, calls: DataFrame, max_hops: int = 100) -> DataFrame:
+    """service, cve_id, hops, path: a shortest path from a service's entry to each function that a CVE lies in.
+
+    services: id, name, seq; exposes: src, dst, seq; vulnerable: cve_id, id. A name's entry is the first function exposed
+    by the last service of that name that exposes any.
+    """
+    first = exposes.groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.struct("seq", "dst")).alias("entry"))
+    entry = cut(services.join(first, "id").groupBy("name").agg(F.max_by("entry", F.struct("seq", "id")).alias("entry")))
+    paths = bfs_paths(calls, entry.select(F.col("entry").alias("id")), vulnerable, max_hops)
+    found = paths.join(vulnerable.select("cve_id", F.col("id").alias("sink")).distinct(), "sink").join(entry, F.col("start") == F.col("entry"))
+    return found.select(F.col("name").alias("service"), "cve_id", "hops", "path")
 
 
 def tainted_paths(paths: DataFrame, tainted: DataFrame) -> DataFrame:

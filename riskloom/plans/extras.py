@@ -75,6 +75,13 @@ def rule_chain(spark, sf):
     return co.resolved_rules(f, f.filter("length(family) % 2 = 0").withColumn("rule_id", F.lit("cached")), f.filter("length(family) % 3 = 0").withColumn("rule_id", F.lit("known")))
 
 
+@query("patch_rule_override", f"{CLUSTERED}, {ctes('symbols')}, f AS (SELECT DISTINCT family FROM c), p AS (SELECT family, array_to_string(list_sort(list(DISTINCT concat(s.fqn, '(...)'))), ',') AS patterns FROM c JOIN symbols s ON s.cve_id = c.cve_id WHERE s.change_type = 'REMOVED' AND s.seq % 3 = 0 GROUP BY family) SELECT f.family, CASE WHEN p.family IS NOT NULL THEN concat('symbol-', f.family, '-python') WHEN length(f.family) % 2 = 0 THEN 'cached' WHEN length(f.family) % 3 = 0 THEN 'known' ELSE '' END AS rule_id, CASE WHEN p.family IS NOT NULL THEN 'symbol' WHEN length(f.family) % 2 = 0 THEN 'cache' WHEN length(f.family) % 3 = 0 THEN 'registry' ELSE 'none' END AS source, coalesce(p.patterns, '') AS patterns FROM f LEFT JOIN p USING (family)")
+def rule_override(spark, sf):
+    known = view(spark, sf, "symbols").filter("change_type = 'REMOVED' and seq % 3 = 0").select("cve_id", F.concat("fqn", F.lit("(...)")).alias("pattern"))
+    sinks = clustered(spark, sf).select("family", "cve_id").distinct().join(known, "cve_id").select("family", "pattern")
+    return co.symbol_rules(rule_chain(spark, sf), sinks, "python").withColumn("patterns", F.array_join("patterns", ","))
+
+
 @query("remediation_lookup", "WITH u AS (SELECT event_id AS usage_id, concat('s', event_id % 9) AS symbol FROM events), c AS (SELECT concat('s', p_partkey % 6) AS symbol, CASE WHEN p_partkey % 4 < 2 THEN 'removed' ELSE 'signature_changed' END AS change, p_partkey AS row_id FROM part), l AS (SELECT symbol, arg_max(change, row_id) AS change FROM c GROUP BY symbol) SELECT usage_id, CASE change WHEN 'removed' THEN concat('Replace ', u.symbol, ', which is gone.') WHEN 'signature_changed' THEN concat('Adjust the arguments of ', u.symbol, '.') ELSE 'No change is needed.' END AS advice FROM u LEFT JOIN l ON l.symbol = u.symbol")
 def remediation(spark, sf):
     u = view(spark, sf, "events").selectExpr("event_id as usage_id", "concat('s', event_id % 9) as symbol")

@@ -218,10 +218,36 @@ def ratings(spark, sf):
     return exports.ratings(scored(spark, sf))
 
 
-@query("dependency_chain", f"WITH {ctes('exposed', 'reach')}, l AS (SELECT service, max(cve_id) AS cve_id FROM exposed GROUP BY service) SELECT l.service, l.cve_id, min(r.hops) AS hops FROM l LEFT JOIN reach r ON r.cve_id = l.cve_id AND r.service = l.service GROUP BY ALL HAVING min(r.hops) IS NOT NULL")
+#: In SQL that Spark and DuckDB read alike.
+SERVICES = "SELECT s_suppkey AS id, concat('svc', CAST(CAST(floor(s_suppkey / 3e0) AS BIGINT) AS STRING)) AS name, s_suppkey AS seq FROM {supplier}"
+EXPOSES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, l_orderkey AS seq FROM {lineitem} WHERE l_suppkey % 4 <> 2"
+VULNERABLE = "SELECT concat('CVE-', CAST(p_partkey % 100 AS STRING)) AS cve_id, p_partkey AS id FROM {part} WHERE p_partkey % 5 = 0"
+
+
+@query("dependency_chain", f"""WITH RECURSIVE {ctes("calls")}, sv AS ({SERVICES}), ex AS ({EXPOSES}), vu AS ({VULNERABLE}), one AS (SELECT src, arg_min(dst, (seq, dst)) AS entry FROM ex GROUP BY src),
+  en AS (SELECT name, arg_max(entry, seq) AS entry FROM sv JOIN one ON one.src = sv.id GROUP BY name), e AS (SELECT DISTINCT src, dst FROM calls),
+  b(start, node, depth, path) AS (SELECT DISTINCT entry, entry, 0, [entry::VARCHAR] FROM en UNION ALL SELECT b.start, e.dst, b.depth + 1, list_append(b.path, e.dst::VARCHAR) FROM b JOIN e ON e.src = b.node WHERE NOT list_contains(b.path, e.dst::VARCHAR)),
+  m AS (SELECT start, node, path, row_number() OVER (PARTITION BY start, node ORDER BY depth, path) AS rn FROM b)
+  SELECT DISTINCT en.name AS service, vu.cve_id, (len(m.path) - 1)::INT AS hops, array_to_string(m.path, '>') AS path FROM en JOIN m ON m.start = en.entry AND m.rn = 1 JOIN vu ON vu.id = m.node""".replace("{supplier}", "supplier").replace("{lineitem}", "lineitem").replace("{part}", "part"))
 def chain(spark, sf):
-    last = view(spark, sf, "exposed").groupBy("service").agg(F.max("cve_id").alias("cve_id"))
-    return last.join(view(spark, sf, "reach"), ["service", "cve_id"]).groupBy("service", "cve_id").agg(F.min("hops").alias("hops"))
+    table = lambda q, t: spark.sql(q, **{t: view(spark, sf, t)})
+    found = graph.dependency_chain(table(SERVICES, "supplier"), table(EXPOSES, "lineitem"), table(VULNERABLE, "part"), view(spark, sf, "calls"))
+    return found.withColumn("path", F.array_join("path", ">"))
+
+
+OUTSIDE = "SELECT concat('m.f', CAST(src AS STRING)) AS src, concat('m.f', CAST(dst AS STRING)) AS dst FROM {calls} UNION ALL SELECT concat('m.f', CAST(p_partkey AS STRING)), concat('ext::lib.mod', CAST(p_partkey % 3 AS STRING), '.fn', CAST(p_partkey % 5 AS STRING)) FROM {part} WHERE p_partkey % 4 = 1"
+SYMBOLS = ("fn0", "mod1.fn2", "pkg.lib.mod2.fn3", "lib.mod0.fn4", "d2.fn3")
+
+
+@query("sink_suffix_paths", f"""WITH RECURSIVE {ctes("calls")}, e AS (SELECT DISTINCT * FROM ({OUTSIDE.replace("{calls}", "calls").replace("{part}", "part")})), t AS (SELECT unnest({list(SYMBOLS)}) AS symbol),
+  b(start, node, path) AS (SELECT concat('m.f', p_partkey), concat('m.f', p_partkey), [concat('m.f', p_partkey)] FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT b.start, e.dst, list_append(b.path, e.dst) FROM b JOIN e ON e.src = b.node WHERE len(b.path) <= 26 AND NOT list_contains(b.path, e.dst)),
+  m AS (SELECT b.start, t.symbol, b.path, row_number() OVER (PARTITION BY b.start, t.symbol ORDER BY len(b.path), b.path) AS rn FROM b JOIN t ON b.node LIKE 'ext::%' AND (substr(b.node, 6) = t.symbol OR ends_with(substr(b.node, 6), '.' || t.symbol) OR ends_with(t.symbol, '.' || substr(b.node, 6))))
+  SELECT start, symbol, (len(path) - 1)::INT AS hops, array_to_string(path, '>') AS path FROM m WHERE rn = 1""")
+def sink_paths(spark, sf):
+    edges = spark.sql(OUTSIDE, calls=view(spark, sf, "calls"), part=view(spark, sf, "part"))
+    symbols = spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+    found = graph.paths_to_symbols(edges, starts(spark, sf).select(F.concat(F.lit("m.f"), "id").alias("id")), symbols)
+    return found.withColumn("path", F.array_join("path", ">"))
 
 
 @query("centrality_upsert", f"{RANKS}, z AS (SELECT id AS cve_id, round(r, 8) AS centrality FROM r WHERE id LIKE 'CVE-%'), b AS (SELECT cve_id, count(DISTINCT service) AS impacted FROM exposed WHERE service < 'svc-5' GROUP BY 1) SELECT coalesce(z.cve_id, b.cve_id) AS cve_id, coalesce(impacted, 0) AS impacted, coalesce(centrality, 0e0) AS centrality FROM b FULL JOIN z ON z.cve_id = b.cve_id")
