@@ -16,11 +16,16 @@ def root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a written table, which survives lost executors; Spark removes it when it ends."""
-    spark = df.sparkSession
-    path = f"{root(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def folder(spark: SparkSession, kind: str = "cut") -> str:
+    """A new path under the shared folder; Spark removes it when it ends."""
+    path = f"{root(spark)}/{kind}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a written table, which survives lost executors."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

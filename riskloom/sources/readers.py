@@ -68,8 +68,8 @@ def direct_dependencies(graphs: DataFrame) -> DataFrame:
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     """cve, note (200 characters at most) and cvss of advisories; a score that isn't a number counts 0."""
     rows = read_json(spark, path, sc.ADVISORY).select(F.explode("vulns").alias("v"))
-    cve = F.coalesce(F.filter("v.aliases", lambda a: a.startswith("CVE-"))[0], F.col("v.id"))
-    score = F.filter("v.severity", lambda s: s["type"] == "CVSS_V3")[0]["score"].try_cast("double")
+    cve = F.coalesce(F.get(F.filter("v.aliases", lambda a: a.startswith("CVE-")), F.lit(0)), F.col("v.id"))
+    score = F.get(F.filter("v.severity", lambda s: s["type"] == "CVSS_V3"), F.lit(0))["score"].try_cast("double")
     return rows.select(cve.alias("cve"), F.substring(F.coalesce("v.summary", "v.details", F.lit("")), 1, 200).alias("note"), F.coalesce(score, F.lit(0.0)).alias("cvss"))
 
 
