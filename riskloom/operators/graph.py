@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.scratch import cut
+from riskloom.operators.scratch import Grown, cut
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
@@ -16,29 +14,25 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     All starts advance together: a round joins the frontier with the edges and leaves out what is already reached.
     """
     edges = edges.select("src", "dst").distinct()
-    reached = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0)))
-    frontier = reached
+    reached = Grown(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0)))
     for hop in range(1, max_hops + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        step = reached.last.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        frontier = reached.add(step.join(reached.all().select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
-        reached = cut(reached.unionByName(frontier))
-    return reached
+    return reached.all()
 
 
 def bfs_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame | None, max_hops: int) -> DataFrame:
     """start, sink, hops and path: a shortest path to each sink, or to each node where no sinks are given, the least by its text of those of one length."""
     edges = edges.select("src", "dst").distinct()
-    reached = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array(F.col("id").cast("string")).alias("path")).distinct())
-    frontier = reached
+    found = Grown(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array(F.col("id").cast("string")).alias("path")).distinct())
     for _ in range(max_hops):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
-        step = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
-        frontier = cut(step)
-        if not frontier.limit(1).count():
+        step = found.last.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst").cast("string")).alias("path"))
+        step = step.join(found.all().select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path"))
+        if not found.add(step).limit(1).count():
             break
-        reached = cut(reached.unionByName(frontier))
+    reached = found.all()
     if sinks is not None:
         reached = reached.join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     return reached.select("start", F.col("node").alias("sink"), (F.size("path") - 1).alias("hops"), "path")
@@ -123,16 +117,13 @@ def resolve_tree(roots: DataFrame, requires: DataFrame, max_depth: int = 15) ->
     requires: package, dep. A level at a time; a package already on the path ends it as a cycle.
     """
     edges = requires.select("package", "dep").distinct()
-    level = cut(roots.select(F.col("package").alias("root"), "package", F.lit(0).alias("depth"), F.array("package").alias("path")).distinct())
-    seen = level
+    seen = Grown(roots.select(F.col("package").alias("root"), "package", F.lit(0).alias("depth"), F.array("package").alias("path")).distinct())
     for depth in range(1, max_depth + 1):
-        step = level.join(edges, "package").select("root", F.col("dep").alias("package"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dep")).alias("path"))
-        step = step.join(seen.select("root", "package"), ["root", "package"], "left_anti").groupBy("root", "package").agg(F.min("path").alias("path"), F.first("depth").alias("depth"))
-        level = cut(step.select("root", "package", "depth", "path"))
-        if not level.limit(1).count():
+        step = seen.last.join(edges, "package").select("root", F.col("dep").alias("package"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dep")).alias("path"))
+        step = step.join(seen.all().select("root", "package"), ["root", "package"], "left_anti").groupBy("root", "package").agg(F.min("path").alias("path"), F.first("depth").alias("depth"))
+        if not seen.add(step).limit(1).count():
             break
-        seen = cut(seen.unionByName(level))
-    return seen
+    return seen.all()
 
 
 def cycles(requires: DataFrame, tree: DataFrame) -> DataFrame:
@@ -150,7 +141,7 @@ def layers(nodes: DataFrame, depends: DataFrame, group: tuple[str, ...] = ()) ->
     keys, on = [*group, "id"], [*group, "on"]
     left = cut(nodes.select(*keys).distinct())
     edges = depends.select(*keys, "on").distinct().filter("id != on").join(left, keys, "left_semi").join(left.withColumnRenamed("id", "on"), on, "left_semi")
-    edges, placed, layer = cut(edges), [left.limit(0).withColumn("layer", F.lit(0))], 0
+    edges, placed, layer = cut(edges), Grown(left.limit(0).withColumn("layer", F.lit(0))), 0
     while left.limit(1).count():
         ready = left.join(edges.select(*keys).distinct(), keys, "left_anti")
         if group:
@@ -158,11 +149,8 @@ def layers(nodes: DataFrame, depends: DataFrame, group: tuple[str, ...] = ()) ->
             ready = ready.unionByName(stuck.groupBy(*group).agg(F.min("id").alias("id")))
         elif not ready.limit(1).count():
             ready = left.agg(F.min("id").alias("id"))
-        ready = cut(ready.withColumn("layer", F.lit(layer)))
-        placed.append(ready)
-        if len(placed) > 50:  # so that the plan doesn't grow with the layers
-            placed = [cut(reduce(DataFrame.unionByName, placed))]
+        ready = placed.add(ready.withColumn("layer", F.lit(layer)))
         left = cut(left.join(ready, keys, "left_anti"))
         edges = cut(edges.join(ready.select(*group, F.col("id").alias("on")), on, "left_anti").join(ready.select(*keys), keys, "left_anti"))
         layer += 1
-    return reduce(DataFrame.unionByName, placed)
+    return placed.all()

@@ -40,13 +40,15 @@ def strips(ranges: DataFrame, width: float) -> DataFrame:
 def match_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolved names with the symbols they call: exactly, else by short name if the name ends in it after a dot.
 
-    Both steps are equality joins, on the whole name and on its last segment.
+    Both steps are equality joins of the distinct names, on the whole name and on its last segment; the hits meet what
+    their names match at the end. A hit has one name.
     """
-    named = hits.withColumn("last", F.element_at(F.split("fqn", r"\."), -1))
-    exact = named.join(symbols.select(F.col("fqn").alias("s_fqn"), F.col("cve_id").alias("s_cve")), F.col("fqn") == F.col("s_fqn")).select("hit_id", "s_cve", F.lit("exact").alias("how"))
-    rest = named.join(symbols.select(F.col("fqn").alias("s_fqn")).distinct(), F.col("fqn") == F.col("s_fqn"), "left_anti")
-    short = rest.filter(F.col("fqn").contains(".")).join(symbols.select("short_name", F.col("cve_id").alias("s_cve")), F.col("last") == F.col("short_name")).select("hit_id", "s_cve", F.lit("short").alias("how"))
-    return exact.unionByName(short).distinct()
+    names = hits.select("fqn").distinct().withColumn("last", F.element_at(F.split("fqn", r"\."), -1))
+    whole = symbols.select("fqn", F.col("cve_id").alias("s_cve")).distinct()
+    short = symbols.select(F.col("short_name").alias("last"), F.col("cve_id").alias("s_cve")).distinct()
+    exact = names.join(whole, "fqn").select("fqn", "s_cve", F.lit("exact").alias("how"))
+    rest = names.filter(F.col("fqn").contains(".")).join(whole, "fqn", "left_anti").join(short, "last").select("fqn", "s_cve", F.lit("short").alias("how"))
+    return hits.select("hit_id", "fqn").distinct().join(exact.unionByName(rest), "fqn").select("hit_id", "s_cve", "how")
 
 
 def merge_evidence(graph: DataFrame, symbol_rows: DataFrame) -> DataFrame:

@@ -29,3 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that a loop adds to: each round's rows are written once, beside those of the rounds before."""
+
+    def __init__(self, first: DataFrame):
+        self.path, self.schema, self.rounds, self.spark = folder(first.sparkSession), first.schema, 0, first.sparkSession
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes a round's rows and returns them as read back."""
+        path = f"{self.path}/{self.rounds}"
+        df.select(*self.schema.names).write.parquet(path)
+        self.rounds += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{k}" for k in range(self.rounds)))

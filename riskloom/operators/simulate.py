@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.versions import compare_key, satisfies
 from riskloom.operators import deps
 from riskloom.operators.graph import layers
-from riskloom.operators.scratch import cut
+from riskloom.operators.scratch import Grown, cut
 
 NODE = ["project", "package"]
 
@@ -26,14 +26,12 @@ def trees(pins: DataFrame, direct: DataFrame, max_depth: int = 15) -> tuple[Data
     """
     release = [*NODE, "version"]
     below = direct.select(F.col("parent").alias("package"), F.col("parent_version").alias("version"), "dep", "spec", "dep_version").distinct()
-    reached = cut(pins.select(*release).distinct())
-    frontier = reached
+    held = Grown(pins.select(*release).distinct())
     for _ in range(max_depth):
-        step = frontier.join(below, ["package", "version"]).select("project", F.col("dep").alias("package"), F.col("dep_version").alias("version")).distinct()
-        frontier = cut(step.join(reached, release, "left_anti"))
-        if not frontier.limit(1).count():
+        step = held.last.join(below, ["package", "version"]).select("project", F.col("dep").alias("package"), F.col("dep_version").alias("version")).distinct()
+        if not held.add(step.join(held.all(), release, "left_anti")).limit(1).count():
             break
-        reached = cut(reached.unionByName(frontier))
+    reached = held.all()
     newest = F.struct(compare_key(F.col("version")), "version")
     found = reached.groupBy(*NODE).agg(F.max_by("version", newest).alias("found"))
     pinned = pins.groupBy(*NODE).agg(F.max_by("version", newest).alias("pin"))
