@@ -16,6 +16,9 @@ from riskloom.llm.op7_lines import op7_lines
 from riskloom.llm.op8_simhash import op8_simhash
 from riskloom.llm.op9_tokens import op9_tokens
 from riskloom.llm.op10_mixing import OP10_SQL, op10_mixing
+from riskloom.llm.op11_wand import OP11_SQL, op11_wand
+from riskloom.llm.op12_audit import OP12_SQL, op12_audit
+from riskloom.llm.op13_topk import OP13_SQL, op13_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
+    "op11_wand": op11_wand,
+    "op12_audit": op12_audit,
+    "op13_topk": op13_topk,
 }
-SQL: dict[str, str] = {"op2_rules": OP2_SQL, "op3_slots": OP3_SQL, "op6_templates": OP6_SQL, "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op2_rules": OP2_SQL, "op3_slots": OP3_SQL, "op6_templates": OP6_SQL, "op10_mixing": OP10_SQL, "op11_wand": OP11_SQL, "op12_audit": OP12_SQL, "op13_topk": OP13_SQL}
