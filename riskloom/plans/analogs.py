@@ -52,7 +52,8 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT p_partkey, (p_partkey * 11 + 5) % (SELECT count(*) FROM {part}) FROM {part} WHERE p_partkey % 3 = 0""",
     "requires": """
         SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package, concat('pkg', CAST(CAST(greatest(floor((p_partkey + 1) / 3e0) - 1, 0e0) AS BIGINT) AS STRING)) AS dep,
-               concat(CASE WHEN p_partkey % 3 = 0 THEN '>=' WHEN p_partkey % 3 = 1 THEN '<' ELSE '==' END, CAST(p_partkey % 5 + 1 AS STRING), '.', CAST(p_partkey % 4 AS STRING)) AS spec, p_partkey AS row_id
+               concat(CASE p_partkey % 9 WHEN 0 THEN '>=' WHEN 1 THEN '<' WHEN 2 THEN '~=' WHEN 3 THEN '!=' WHEN 4 THEN '>' WHEN 5 THEN '<=' WHEN 7 THEN '!=' ELSE '==' END, CAST(p_partkey % 5 + 1 AS STRING),
+                      CASE WHEN p_partkey % 9 >= 7 THEN '.*' ELSE concat('.', CAST(p_partkey % 4 AS STRING)) END, CASE WHEN p_partkey % 9 < 7 AND p_partkey % 7 = 2 THEN 'rc1' ELSE '' END) AS spec, p_partkey AS row_id
         FROM {part}
         UNION ALL
         SELECT concat('pkg', CAST(p_partkey AS STRING)), concat('pkg', CAST(CAST(floor(p_partkey / 5e0) AS BIGINT) AS STRING)), concat('<=', CAST(p_partkey % 6 + 2 AS STRING), '.0'), p_partkey + 1000000000000
@@ -95,3 +96,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     """The views as common table expressions, to follow WITH."""
     return ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in names)
+
+
+#: DuckDB SQL: a clause of requires as op, b (its version) and wild, and whether the version v meets it. Versions are [major, minor, 0], or [major, minor, -1] for a pre-release.
+CLAUSE = (
+    "regexp_extract(spec, '^(~=|[=<>!]+)', 1) AS op, spec LIKE '%.*' AS wild,"
+    " [regexp_extract(spec, '^[~=<>!]+([0-9]+)', 1)::INT, coalesce(try_cast(regexp_extract(spec, '\\.([0-9]+)', 1) AS INT), 0), CASE WHEN spec LIKE '%rc1' THEN -1 ELSE 0 END] AS b"
+)
+MEETS = (
+    "CASE WHEN wild THEN (v[1] = b[1]) = (op = '==') WHEN op = '>=' THEN v >= b WHEN op = '<=' THEN v <= b WHEN op = '==' THEN v = b WHEN op = '!=' THEN v <> b WHEN op = '>' THEN v > b"
+    " WHEN op = '~=' THEN v >= b AND v[1] = b[1] ELSE v < b AND NOT (b[3] = 0 AND v[1:2] = b[1:2]) END"
+)
+
+
+def numbers(version: str) -> str:
+    """DuckDB SQL: a version's text as such a list."""
+    return f"[string_split({version}, '.')[1]::INT, regexp_extract({version}, '\\.([0-9]+)', 1)::INT, CASE WHEN {version} LIKE '%rc1' THEN -1 ELSE 0 END]"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as tx
 from riskloom.functions import versions as ve
 from riskloom.operators import commits as co
-from riskloom.plans.analogs import ctes, view
+from riskloom.plans.analogs import CLAUSE, MEETS, ctes, numbers, view
 from riskloom.plans.scores import CLUSTERED, SCORED, clustered, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,10 @@ def query(name: str, sql: str):
     return add
 
 
-@query("satisfied_versions_filter", f"""WITH {ctes("requires")}, s AS (SELECT row_id, regexp_extract(spec, '^(>=|<=|==|<)', 1) AS op, list_transform(string_split(regexp_extract(spec, '([0-9][0-9.]*)$', 1), '.'), lambda x: x::INT) AS b FROM requires),
-  v AS (SELECT s.*, unnest(['1.0', '2.0', '3.1', '10.2']) AS c FROM s), k AS (SELECT *, list_transform(string_split(c, '.'), lambda x: x::INT) AS v FROM v)
-  SELECT row_id, coalesce(string_agg(c, ',' ORDER BY v) FILTER (CASE op WHEN '>=' THEN v >= b WHEN '<=' THEN v <= b WHEN '==' THEN v = b ELSE v < b END), '') AS versions FROM k GROUP BY row_id""")
+@query("satisfied_versions_filter", f"""WITH {ctes("requires")}, s AS (SELECT row_id, {CLAUSE} FROM requires), c AS (SELECT s.*, unnest(['1.0', '2.0rc1', '2.0', '3.1', '10.2']) AS c FROM s), k AS (SELECT *, {numbers("c")} AS v FROM c)
+  SELECT row_id, coalesce(string_agg(c, ',' ORDER BY v) FILTER ({MEETS}), '') AS versions FROM k GROUP BY row_id""")
 def satisfied_sample(spark, sf):
-    sample = F.array(*map(F.lit, ("1.0", "2.0", "3.1", "10.2")))
+    sample = F.array(*map(F.lit, ("1.0", "2.0rc1", "2.0", "3.1", "10.2")))
     return view(spark, sf, "requires").select("row_id", F.array_join(F.filter(sample, lambda v: ve.satisfies(v, F.col("spec"))), ",").alias("versions"))
 
 

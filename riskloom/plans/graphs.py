@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import deps, exports, graph
 from riskloom.operators import joins as jn
-from riskloom.plans.analogs import ctes, view
+from riskloom.plans.analogs import CLAUSE, MEETS, ctes, numbers, view
 from riskloom.plans.scores import SCORED, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,25 +123,23 @@ def topo(spark, sf):
     return graph.layers(nodes, on)
 
 
-OPS = "regexp_extract(spec, '^(>=|<=|==|<)', 1) AS op, list_transform(string_split(regexp_extract(spec, '([0-9][0-9.]*)$', 1), '.'), lambda x: x::INT) AS b"
-MET = "CASE op WHEN '>=' THEN v >= b WHEN '<=' THEN v <= b WHEN '==' THEN v = b ELSE v < b END"
-RESOLVED = "SELECT DISTINCT dep AS package, concat(substr(dep, 4)::INT % 5 + 1, '.', substr(dep, 4)::INT % 4) AS version FROM requires"
+RESOLVED = "SELECT DISTINCT dep AS package, concat(substr(dep, 4)::INT % 5 + 1, '.', substr(dep, 4)::INT % 4, CASE WHEN substr(dep, 4)::INT % 6 = 4 THEN 'rc1' ELSE '' END) AS version FROM requires"
 
 
 def resolved(spark, sf):
     k = F.substring("dep", 4, 9).cast("int")
-    return view(spark, sf, "requires").select(F.col("dep").alias("package"), F.concat((k % 5 + 1).cast("string"), F.lit("."), (k % 4).cast("string")).alias("version")).distinct()
+    return view(spark, sf, "requires").select(F.col("dep").alias("package"), F.concat((k % 5 + 1).cast("string"), F.lit("."), (k % 4).cast("string"), F.when(k % 6 == 4, "rc1").otherwise("")).alias("version")).distinct()
 
 
-@query("conflict_detection", f"""WITH {ctes("requires")}, s AS ({RESOLVED}), m AS (SELECT r.*, {OPS}, s.version, list_transform(string_split(s.version, '.'), lambda x: x::INT) AS v FROM requires r JOIN s ON s.package = r.dep)
-  SELECT dep, count(DISTINCT package) AS n, max(version) AS version, true AS would_break FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MET})""")
+@query("conflict_detection", f"""WITH {ctes("requires")}, s AS ({RESOLVED}), m AS (SELECT r.*, {CLAUSE}, s.version, {numbers('s.version')} AS v FROM requires r JOIN s ON s.package = r.dep)
+  SELECT dep, count(DISTINCT package) AS n, max(version) AS version, true AS would_break FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MEETS})""")
 def conflict_detection(spark, sf):
     return deps.conflicts(view(spark, sf, "requires"), resolved(spark, sf))
 
 
 @query("bump_attribution", f"""WITH {ctes("requires")}, s AS ({RESOLVED}), n AS (SELECT package, version AS from_version, concat(string_split(version, '.')[1]::INT + 1, '.0') AS to_version FROM s),
-  m AS (SELECT r.dep, r.package AS parent, {OPS}, list_transform(string_split(n.to_version, '.'), lambda x: x::INT) AS tv, list_transform(string_split(n.from_version, '.'), lambda x: x::INT) AS fv FROM requires r JOIN n ON n.package = r.dep),
-  k AS (SELECT dep, parent, CASE WHEN parent = 'pkg7' THEN 0 WHEN {MET.replace("v ", "tv ")} AND NOT {MET.replace("v ", "fv ")} THEN 1 ELSE 2 END AS rank FROM m)
+  m AS (SELECT r.dep, r.package AS parent, {CLAUSE}, {numbers('n.to_version')} AS tv, {numbers('n.from_version')} AS fv FROM requires r JOIN n ON n.package = r.dep),
+  k AS (SELECT dep, parent, CASE WHEN parent = 'pkg7' THEN 0 WHEN {re.sub(r"\bv\b", "tv", MEETS)} AND NOT {re.sub(r"\bv\b", "fv", MEETS)} THEN 1 ELSE 2 END AS rank FROM m)
   SELECT dep AS package, parent AS forced_by FROM (SELECT *, row_number() OVER (PARTITION BY dep ORDER BY rank, parent) AS rn FROM k) WHERE rn = 1""")
 def attribution(spark, sf):
     n = resolved(spark, sf).select("package", F.col("version").alias("from_version"), F.concat((F.split("version", r"\.")[0].cast("int") + 1).cast("string"), F.lit(".0")).alias("to_version"))
@@ -153,8 +152,8 @@ def verdicts(spark, sf):
     return view(spark, sf, "part").select(k.alias("id"), deps.verdict(k % 7 == 0, k % 5 == 0, k % 2 == 0, k % 3 == 0).alias("verdict"))
 
 
-PLAN = f"""WITH {ctes("requires", "tree_current", "tree_target")}, s AS ({RESOLVED}), m AS (SELECT r.*, {OPS}, list_transform(string_split(s.version, '.'), lambda x: x::INT) AS v FROM requires r JOIN s ON s.package = r.dep),
-  c AS (SELECT dep FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MET})), b AS (SELECT DISTINCT package FROM requires WHERE dep IN (SELECT dep FROM c) AND package <> 'pkg1'),
+PLAN = f"""WITH {ctes("requires", "tree_current", "tree_target")}, s AS ({RESOLVED}), m AS (SELECT r.*, {CLAUSE}, {numbers('s.version')} AS v FROM requires r JOIN s ON s.package = r.dep),
+  c AS (SELECT dep FROM m GROUP BY dep HAVING count(DISTINCT package) >= 2 AND NOT bool_and({MEETS})), b AS (SELECT DISTINCT package FROM requires WHERE dep IN (SELECT dep FROM c) AND package <> 'pkg1'),
   n AS (SELECT package, count(DISTINCT dep) AS k FROM requires WHERE package IN (SELECT package FROM b) AND dep IN (SELECT package FROM b) GROUP BY package),
   u AS (SELECT b.package, 'blocker' AS kind, 0 AS part, -coalesce(n.k, 0) AS a FROM b LEFT JOIN n USING (package) UNION ALL SELECT package, 'target', 1, row_id FROM requires WHERE package NOT IN (SELECT package FROM b)),
   steps AS (SELECT row_number() OVER (ORDER BY part, a, package) AS step, package, kind FROM u)"""

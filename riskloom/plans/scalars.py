@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
 from riskloom.functions import versions as ve
-from riskloom.plans.analogs import ctes, view
+from riskloom.plans.analogs import CLAUSE, MEETS, ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,21 +87,21 @@ def version_sort(spark, sf):
     return view(spark, sf, "findings").withColumn("k", k).groupBy("package").agg(F.max_by("installed_version", "k").alias("newest"), F.min_by("installed_version", "k").alias("oldest"))
 
 
-@query("specifier_satisfied", f"""WITH {ctes("requires")}, s AS (SELECT row_id, spec, regexp_extract(spec, '^(>=|<=|==|<)', 1) AS op, list_transform(string_split(regexp_extract(spec, '([0-9][0-9.]*)$', 1), '.'), lambda x: x::INT) AS b, [(row_id % 6)::INT, (row_id % 3)::INT] AS v FROM requires)
-  SELECT row_id, CASE op WHEN '>=' THEN v >= b WHEN '<=' THEN v <= b WHEN '==' THEN v = b ELSE v < b END AS satisfied FROM s""")
+@query("specifier_satisfied", f"""WITH {ctes("requires")}, s AS (SELECT row_id, spec, {CLAUSE}, [(row_id % 6)::INT, (row_id % 3)::INT, CASE WHEN row_id % 4 = 1 THEN -1 ELSE 0 END] AS v FROM requires) SELECT row_id, {MEETS} AS satisfied FROM s""")
 def satisfied(spark, sf):
-    v = F.concat((F.col("row_id") % 6).cast("string"), F.lit("."), (F.col("row_id") % 3).cast("string"))
+    v = F.concat((F.col("row_id") % 6).cast("string"), F.lit("."), (F.col("row_id") % 3).cast("string"), F.when(F.col("row_id") % 4 == 1, "rc1").otherwise(""))
     return view(spark, sf, "requires").select("row_id", ve.satisfies(v, F.col("spec")).alias("satisfied"))
 
 
-@query("python_requires_compatible", f"""WITH {ctes("requires")}, s AS (SELECT row_id, regexp_extract(spec, '^(>=|<=|==|<)', 1) AS op, list_transform(string_split(regexp_extract(spec, '([0-9][0-9.]*)$', 1), '.'), lambda x: x::INT) AS b FROM requires)
-  SELECT row_id, CASE op WHEN '>=' THEN [3, 9] >= b WHEN '<=' THEN [3, 9] <= b WHEN '==' THEN [3, 9] = b ELSE [3, 9] < b END AS compatible FROM s""")
+RUNS = f"{CLAUSE}, [3, 9, 0] AS v"
+
+
+@query("python_requires_compatible", f"""WITH {ctes("requires")}, s AS (SELECT row_id, {RUNS} FROM requires) SELECT row_id, {MEETS} AS compatible FROM s""")
 def python_requires(spark, sf):
-    return view(spark, sf, "requires").select("row_id", ve.pep440_satisfies()(F.lit("3.9"), F.col("spec")).alias("compatible"))
+    return view(spark, sf, "requires").select("row_id", ve.satisfies(F.lit("3.9"), F.col("spec")).alias("compatible"))
 
 
-@query("runtime_conflicts", f"""WITH {ctes("requires")}, s AS (SELECT DISTINCT package, spec, regexp_extract(spec, '^(>=|<=|==|<)', 1) AS op, list_transform(string_split(regexp_extract(spec, '([0-9][0-9.]*)$', 1), '.'), lambda x: x::INT) AS b FROM requires WHERE row_id % 3 = 0 AND package IN (SELECT dep FROM requires))
-  SELECT package, spec FROM s WHERE NOT CASE op WHEN '>=' THEN [3, 9] >= b WHEN '<=' THEN [3, 9] <= b WHEN '==' THEN [3, 9] = b ELSE [3, 9] < b END""")
+@query("runtime_conflicts", f"""WITH {ctes("requires")}, s AS (SELECT DISTINCT package, spec, {RUNS} FROM requires WHERE row_id % 3 = 0 AND package IN (SELECT dep FROM requires)) SELECT package, spec FROM s WHERE NOT {MEETS}""")
 def runtime_conflicts(spark, sf):
     r = view(spark, sf, "requires")
     return r.filter("row_id % 3 = 0").join(r.select(F.col("dep").alias("package")).distinct(), "package", "left_semi").filter(~ve.satisfies(F.lit("3.9"), F.col("spec"))).select("package", "spec").distinct()

@@ -14,9 +14,9 @@ SQL: dict[str, str] = {}
 #: In SQL that Spark and DuckDB read alike.
 PINS = "SELECT concat('app', CAST(CAST(floor(p_partkey / 8e0) AS BIGINT) AS STRING)) AS project, concat('pkg', CAST(p_partkey AS STRING)) AS package, '1.0' AS version FROM {part} WHERE p_partkey % 8 < 7"
 UPGRADES = "SELECT concat('app', CAST(CAST(floor(p_partkey / 8e0) AS BIGINT) AS STRING)) AS project, concat('pkg', CAST(p_partkey AS STRING)) AS package, '2.0' AS target_version, p_partkey % 8 AS position FROM {part} WHERE p_partkey % 24 = 0 OR p_partkey % 24 = 9 OR p_partkey % 40 = 5"
-RELEASES = "SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package, concat(CAST(v AS STRING), '.0') AS version, CASE WHEN v = 2 AND p_partkey % 37 = 0 THEN '>=3.12' ELSE '>=3.8' END AS python_requires FROM {part} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2) w WHERE p_partkey % 53 > 0"
+RELEASES = "SELECT concat('pkg', CAST(p_partkey AS STRING)) AS package, concat(CAST(v AS STRING), '.0') AS version, CASE WHEN v = 2 AND p_partkey % 74 = 0 THEN '!=3.11.*' WHEN v = 2 AND p_partkey % 37 = 0 THEN '>=3.12' ELSE '~=3.8' END AS python_requires FROM {part} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2) w WHERE p_partkey % 53 > 0"
 DIRECT = """SELECT concat('pkg', CAST(p_partkey AS STRING)) AS parent, concat(CAST(v AS STRING), '.0') AS parent_version, concat('pkg', CAST(p_partkey - p_partkey % 8 + CAST(floor((p_partkey % 8) / 3e0) AS BIGINT) AS STRING)) AS dep,
-    CASE WHEN v = 2 AND p_partkey % 3 = 0 THEN '>=2.0' WHEN p_partkey % 11 = 1 THEN '<2.0' ELSE '>=1.0' END AS spec, concat(CAST(v AS STRING), '.0') AS dep_version
+    CASE WHEN v = 2 AND p_partkey % 3 = 0 THEN CASE p_partkey % 4 WHEN 0 THEN '>=2.0' WHEN 1 THEN '~=2.0' WHEN 2 THEN '==2.*' ELSE '>1.5, >2.0rc1' END WHEN p_partkey % 11 = 1 THEN CASE p_partkey % 2 WHEN 0 THEN '<2.0' ELSE '!=2.*' END ELSE '>=1.0' END AS spec, concat(CAST(v AS STRING), '.0') AS dep_version
   FROM {part} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2) w WHERE p_partkey % 8 > 0
   UNION ALL SELECT concat('pkg', CAST(p_partkey AS STRING)), concat(CAST(v AS STRING), '.0'), concat('pkg', CAST(CAST(floor(p_partkey / 5e0) AS BIGINT) AS STRING)), CASE WHEN v = 2 THEN '>=2.0' ELSE '>=1.0' END, concat(CAST(v AS STRING), '.0')
   FROM {part} CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2) w WHERE p_partkey % 8 = 0 AND p_partkey > 0"""
@@ -36,7 +36,7 @@ def simulated(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def met(version: str) -> str:
-    return f"(CASE spec WHEN '>=2.0' THEN {version} >= '2.0' WHEN '<2.0' THEN {version} < '2.0' ELSE {version} >= '1.0' END)"
+    return f"(CASE WHEN spec IN ('>=2.0', '~=2.0', '==2.*', '>1.5, >2.0rc1') THEN {version} >= '2.0' WHEN spec IN ('<2.0', '!=2.*') THEN {version} < '2.0' ELSE {version} >= '1.0' END)"
 
 
 def tree(name: str, pins: str) -> str:
@@ -60,7 +60,7 @@ SIMULATED = f"""WITH RECURSIVE pins AS ({PINS}), ups AS ({UPGRADES}), releases A
 
 
 @query("upgrade_simulation", f"""{SIMULATED}, apps AS (SELECT project FROM pins UNION SELECT project FROM ups), bad AS (SELECT DISTINCT project, package FROM (SELECT * FROM pins UNION ALL SELECT * FROM later) WHERE (package, version) NOT IN (SELECT package, version FROM releases)),
-  wide AS (SELECT project, package FROM pins UNION SELECT * FROM prim UNION SELECT project, package FROM diff WHERE a IS NOT NULL AND b IS NOT NULL), run AS (SELECT n.* FROM n_t n JOIN wide USING (project, package) JOIN releases r ON r.package = n.package AND r.version = n.version WHERE r.python_requires = '>=3.12'),
+  wide AS (SELECT project, package FROM pins UNION SELECT * FROM prim UNION SELECT project, package FROM diff WHERE a IS NOT NULL AND b IS NOT NULL), run AS (SELECT n.* FROM n_t n JOIN wide USING (project, package) JOIN releases r ON r.package = n.package AND r.version = n.version WHERE r.python_requires <> '~=3.8'),
   k AS (SELECT project, (SELECT count(*) FROM diff d WHERE d.project = p.project AND a IS NOT NULL AND b IS NOT NULL) AS bumped, (SELECT count(*) FROM diff d WHERE d.project = p.project AND a IS NULL) AS added, (SELECT count(*) FROM diff d WHERE d.project = p.project AND b IS NULL) AS removed,
     (SELECT count(*) FROM clash x WHERE x.project = p.project) AS conflicts, (SELECT count(*) FROM moved x WHERE x.project = p.project) AS chain, (SELECT count(*) FROM steps x WHERE x.project = p.project) AS steps,
     (SELECT count(*) FROM bad x WHERE x.project = p.project) AS unresolved, (SELECT count(*) FROM run x WHERE x.project = p.project) AS runtime_conflicts FROM apps p)

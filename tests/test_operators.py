@@ -109,7 +109,7 @@ def test_versions(spark):
     df = spark.createDataFrame([("1.10.0", ">=1.9,<2"), ("2.0", "<2.0.0"), ("1.4", "!=1.4.0"), ("1.0", "")], "v string, s string")
     assert [r[0] for r in df.select(versions.satisfies(F.col("v"), F.col("s"))).collect()] == [True, False, False, True]
     full = spark.createDataFrame([("1.4.5", "~=1.4.2"), ("2.0rc1", "<2.0"), ("x", ">=1")], "v string, s string")
-    assert [r[0] for r in full.select(versions.pep440_satisfies()("v", "s")).collect()] == [True, False, True]
+    assert [r[0] for r in full.select(versions.satisfies(F.col("v"), F.col("s"))).collect()] == [True, False, True]
 
 
 def test_source_references(spark):
