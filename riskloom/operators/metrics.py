@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import canonical as js
+from riskloom.operators.windows import digests
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.round(F.when(b == 0, F.lit(0.0)).otherwise(a / b), 4)
@@ -64,10 +67,21 @@ def constraint_groups(requires: DataFrame) -> DataFrame:
     return requires.groupBy("dep").agg(F.array_join(F.array_sort(F.collect_set(F.concat("package", F.lit(" "), "spec"))), "; ").alias("constraints"), F.count_distinct("package").alias("n")).filter("n >= 2")
 
 
-def structural_hash(symbols: DataFrame, *by: str) -> DataFrame:
-    """The first 16 hex digits of the SHA-256 of a group's sorted names and change types."""
-    canonical = F.array_join(F.array_sort(F.collect_set(F.concat("fqn", F.lit(":"), "change_type"))), "|")
-    return symbols.groupBy(*by).agg(F.substring(F.sha2(canonical, 256), 1, 16).alias("structural_hash"))
+def structural_hash(symbols: DataFrame, by: str) -> DataFrame:
+    """by and structural_hash: the first 16 hex digits of the SHA-256 of the JSON text of a group's names and change types.
+
+    The text is {"classes": {name: change type, ...}, "fqns": [name, ...]} in order of the names, of which the last change
+    type by seq counts. It is written as rows and folded, so a group may hold any number of names.
+    """
+    last = symbols.filter("fqn != ''").groupBy(by, "fqn").agg(F.max_by("change_type", "seq").alias("change_type"))
+    first = last.groupBy(by).agg(F.min("fqn").alias("first")).withColumnRenamed(by, "_by")
+    named = last.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn("between", F.when(F.col("fqn") == F.col("first"), "").otherwise(", "))
+    name = js.string(F.col("fqn"))
+    row = lambda df, part, fqn, text: df.select(by, F.lit(part).alias("part"), fqn.alias("fqn"), text.alias("text"))
+    mark = lambda part, text: row(first.withColumnRenamed("_by", by), part, F.lit(""), F.lit(text))
+    rows = mark(0, '{"classes": {').unionByName(row(named, 1, F.col("fqn"), F.concat("between", name, F.lit(": "), js.string(F.col("change_type"))))).unionByName(mark(2, '}, "fqns": ['))
+    rows = rows.unionByName(row(named, 3, F.col("fqn"), F.concat("between", name))).unionByName(mark(4, "]}"))
+    return digests(rows, by, ["part", "fqn"], "text", 16).withColumnRenamed("digest", "structural_hash")
 
 
 def scale_fit(rows: DataFrame, columns: list[str]) -> DataFrame:

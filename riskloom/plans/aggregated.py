@@ -121,7 +121,8 @@ def tree_merge(spark, sf):
     return t.join(p, "package", "left").select("package", F.coalesce("pin", F.concat(F.col("v.major").cast("string"), F.lit("."), F.col("v.minor").cast("string"))).alias("version"))
 
 
-@query("structural_hash", f"WITH {ctes('symbols')} SELECT package, substr(sha256(array_to_string(list_sort(list(DISTINCT concat(fqn, ':', change_type))), '|')), 1, 16) AS structural_hash FROM symbols GROUP BY package")
+@query("structural_hash", f"""WITH {ctes('symbols')}, l AS (SELECT package, fqn, arg_max(change_type, seq) AS t FROM symbols GROUP BY package, fqn), j AS (SELECT package, string_agg(concat('"', fqn, '": "', t, '"'), ', ' ORDER BY fqn) AS c, string_agg(concat('"', fqn, '"'), ', ' ORDER BY fqn) AS f FROM l GROUP BY package)
+  SELECT package, substr(sha256(concat('{{"classes": {{', c, '}}, "fqns": [', f, ']}}')), 1, 16) AS structural_hash FROM j""")
 def structural(spark, sf):
     return me.structural_hash(view(spark, sf, "symbols"), "package")
 

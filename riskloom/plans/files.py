@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions import canonical as js
 from riskloom.operators import windows as wi
 from riskloom.operators.commits import of_findings
 from riskloom.operators.scratch import folder
@@ -135,14 +136,27 @@ def corpus_head(spark, sf):
     return readers.corpus_metadata(spark, path).groupBy("version").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("audit_files", f"WITH {ctes('log')} SELECT tenant, count(*) AS entries, -1 AS broken_at FROM log GROUP BY tenant")
+#: DuckDB SQL: an audit entry's text before and after its predecessor's hash, as Python's json module writes it.
+HEAD = """concat('{"action":"', action, '","actor":"', actor, '","details":{"note":"', CASE WHEN seq % 3 = 0 THEN 'caf\\u00e9 \\ud83d\\ude00 \\"q\\"\\n' ELSE 'plain' END, '","seq":"', seq, '"},"prev_hash":"')"""
+TAIL = """concat('","tenant":"', tenant, '","timestamp":"', seq, '"}')"""
+
+
+def audit_entries(spark, sf) -> DataFrame:
+    note = F.when(F.col("seq") % 3 == 0, 'café 😀 "q"\n').otherwise("plain")
+    log = view(spark, sf, "log").select("seq", F.col("seq").cast("string").alias("timestamp"), "tenant", F.col("actor").cast("string").alias("actor"), "action", F.create_map(F.lit("seq"), F.col("seq").cast("string"), F.lit("note"), note).alias("details"))
+    return log
+
+
+@query("audit_files", f"""WITH RECURSIVE {ctes('log')}, p AS (SELECT tenant, row_number() OVER (PARTITION BY tenant ORDER BY seq) AS n, {HEAD} AS a, {TAIL} AS b FROM log),
+  c(tenant, n, h) AS (SELECT tenant, n, sha256(concat(repeat('0', 64), a, repeat('0', 64), b)) FROM p WHERE n = 1 UNION ALL SELECT p.tenant, p.n, sha256(concat(c.h, a, c.h, b)) FROM c JOIN p ON p.tenant = c.tenant AND p.n = c.n + 1)
+  SELECT tenant, count(*) AS entries, -1 AS broken_at, arg_max(h, n) AS last_hash FROM c GROUP BY tenant""")
 def audit_files(spark, sf):
-    log = view(spark, sf, "log").select("tenant", F.col("seq").cast("string").alias("timestamp"), F.col("actor").cast("string").alias("actor"), "action", F.create_map(F.lit("value"), F.col("value").cast("string")).alias("details"), "seq")
-    said = F.concat_ws("|", "timestamp", "actor", "action", F.col("details")["value"])
+    said = js.audit_payload(*map(F.col, ("timestamp", "tenant", "actor", "action", "details")))
     path = folder(spark, "files")
-    writers.append_audit(wi.chained(log.withColumn("payload", said), "tenant", "seq", "payload").drop("payload", "seq"), path)
+    writers.append_audit(wi.chained(audit_entries(spark, sf).withColumn("payload", said), "tenant", "seq", "payload").drop("payload", "seq"), path)
     read = readers.read_audit(spark, path).withColumn("payload", said).withColumn("seq", F.col("timestamp").cast("bigint"))
-    return wi.verify(read, "tenant", "seq", "payload").select("tenant", "entries", F.coalesce("broken_at", F.lit(-1)).alias("broken_at"))
+    state = wi.verify(read, "tenant", "seq", "payload").select("tenant", "entries", F.coalesce("broken_at", F.lit(-1)).alias("broken_at"))
+    return state.join(wi.tail_hash(read, "tenant", "seq"), "tenant")
 
 
 @query("snapshot_files", f"WITH {ctes('exposed')} SELECT 'exposes' AS kind, service AS src, cve_id AS dst FROM exposed")

@@ -36,13 +36,22 @@ CHAIN = chain_sql("concat(actor, ':', action, ':', props)")
 
 def chain(spark, sf):
     log = view(spark, sf, "log").select("tenant", "seq", F.concat(F.col("actor").cast("string"), F.lit(":"), "action", F.lit(":"), "props").alias("payload"))
-    # some entries are altered after they were chained
-    return wi.chained(log, "tenant", "seq", "payload").withColumn("payload", F.when(F.col("seq") % 1999 == 7, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return wi.chained(log, "tenant", "seq", "payload")
 
 
-@query("hash_chain_verify", f"WITH RECURSIVE {CHAIN} SELECT tenant, count(*) AS entries, coalesce(min(seq) FILTER (seq % 1999 = 7), -1) AS broken_at FROM c GROUP BY tenant")
+#: How a log is tampered with after it was chained, each in a tenant of its own: in SQL that Spark and DuckDB read alike.
+TAMPERED = """SELECT tenant, CASE WHEN tenant = 'tenant1' AND seq % 1999 IN (8, 9) THEN seq + 100000000 ELSE seq END AS seq,
+    CASE WHEN tenant = 'tenant0' AND seq % 1999 = 7 OR tenant = 'tenant2' AND seq % 997 = 5 THEN 'forged' ELSE payload END AS payload,
+    CASE WHEN tenant IN ('tenant2', 'tenant3') AND seq % 997 = 5 THEN NULL WHEN tenant = 'tenant6' AND seq % 1499 = 11 THEN repeat('0', 64) ELSE prev_hash END AS prev_hash,
+    CASE WHEN tenant = 'tenant4' AND seq % 1499 = 3 THEN NULL ELSE entry_hash END AS entry_hash
+  FROM {c} WHERE NOT (tenant = 'tenant5' AND seq % 1201 = 2)"""
+
+
+@query("hash_chain_verify", f"""WITH RECURSIVE {CHAIN}, t AS ({TAMPERED.replace("{c}", "c")}), l AS (SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY tenant ORDER BY seq), CASE WHEN row_number() OVER (PARTITION BY tenant ORDER BY seq) = 1 THEN repeat('0', 64) END) AS due FROM t)
+  SELECT tenant, count(*) AS entries, coalesce(min(seq) FILTER (prev_hash IS DISTINCT FROM due OR entry_hash IS DISTINCT FROM sha256(concat(prev_hash, payload))), -1) AS broken_at FROM l GROUP BY tenant""")
 def hash_chain(spark, sf):
-    return wi.verify(chain(spark, sf), "tenant", "seq", "payload").withColumn("broken_at", F.coalesce("broken_at", F.lit(-1)))
+    tampered = spark.sql(TAMPERED, c=chain(spark, sf))
+    return wi.verify(tampered, "tenant", "seq", "payload").withColumn("broken_at", F.coalesce("broken_at", F.lit(-1)))
 
 
 @query("hash_chain_tail", f"WITH RECURSIVE {CHAIN} SELECT tenant, arg_max(entry_hash, seq) AS last_hash FROM c GROUP BY tenant")
