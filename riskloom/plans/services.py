@@ -100,6 +100,30 @@ def stream_chain(spark, sf):
     return valid.join(wi.tail_hash(done, "tenant", "seq"), "tenant")
 
 
+@query("stream_scans_due", """WITH RECURSIVE e AS (SELECT event_type AS key, ts FROM events), s(key, ts) AS (SELECT key, min(ts) FROM e GROUP BY key UNION ALL SELECT s.key, (SELECT min(e.ts) FROM e WHERE e.key = s.key AND e.ts >= s.ts + INTERVAL 3 DAY) FROM s WHERE s.ts IS NOT NULL)
+  SELECT key, ts FROM s WHERE ts IS NOT NULL""")
+def stream_scans(spark, sf):
+    with streams.rocks(spark):
+        due = _stream(spark, sf, "events", lambda s: streams.scans_due(s.select(F.col("event_type").alias("key"), "ts"), 3 * 86_400), "append")
+    return due.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_audit_append", f"""WITH RECURSIVE {chain_sql("concat(action, ':', props)")} SELECT tenant, count(*) AS entries, true AS valid, arg_max(entry_hash, seq) AS last_hash FROM c GROUP BY tenant""")
+def stream_append(spark, sf):
+    """The log in three files, read in three batches; the last batch is run once more, as after a failure."""
+    root = f"{scratch.root(spark)}/stream-{uuid.uuid4().hex}"
+    log = view(spark, sf, "log").select("tenant", "seq", F.concat("action", F.lit(":"), "props").alias("payload"))
+    total = log.agg(F.max("seq")).first()[0] or 0
+    for part in range(3):
+        log.filter((F.col("seq") * 3 / (total + 1)).cast("int") == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streams.append_log(source, f"{root}/log", f"{root}/state")
+    streams.append_batch(log.filter((F.col("seq") * 3 / (total + 1)).cast("int") == 2), 2, f"{root}/log")
+    done = streams.read_log(spark, f"{root}/log")
+    valid = wi.verify(done, "tenant", "seq", "payload").select("tenant", "entries", F.col("broken_at").isNull().alias("valid"))
+    return valid.join(wi.tail_hash(done, "tenant", "seq"), "tenant")
+
+
 @query("model_train_evaluate", None)
 def model_evaluate(spark, sf):
     """A logistic model of size and price for parts, trained on three quarters in order of key, evaluated on the rest."""
