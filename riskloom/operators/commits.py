@@ -19,10 +19,14 @@ def of_ranges(rows: DataFrame) -> DataFrame:
     return fixed.select("cve_id", F.concat(F.regexp_replace("repo", r"(\.git)?/*$", ""), F.lit("/commit/"), "e.fixed").alias("url"))
 
 
-def of_findings(findings: DataFrame, cve: str, package: str | None = None) -> DataFrame:
-    """Commit URLs that findings of a CVE, and of a package in any case, carry."""
+def of_findings(findings: DataFrame, cve: str, package: str | DataFrame | None = None) -> DataFrame:
+    """Commit URLs that findings of a CVE, and of a package in any case, carry. package: a name, or rows of package."""
     mine = findings.filter(F.col("cve_id") == cve)
-    mine = mine if package is None else mine.filter(F.lower("package") == package.lower())
+    if isinstance(package, DataFrame):
+        wanted = package.select(F.lower("package").alias("_package")).distinct()
+        mine = mine.join(wanted, F.lower("package") == F.col("_package"), "left_semi")
+    elif package is not None:
+        mine = mine.filter(F.lower("package") == package.lower())
     return mine.select("cve_id", F.explode("commit_urls").alias("url"))
 
 

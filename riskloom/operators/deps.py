@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskloom.functions.versions import satisfies
+from riskloom.operators.scratch import numbered
 
 
 def conflicts(requires: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -43,13 +43,13 @@ def plan(conflicting: DataFrame, requires: DataFrame, targets: DataFrame, primar
     """step, package, kind: the packages that constrain conflicting dependencies, then the targets in input order.
 
     Of the former, those that require the most of the others come first, then by name; the primary target is none of
-    them. A plan has as many rows as one upgrade has steps, so numbering them in one task is no burden.
+    them.
     """
     blockers = requires.join(conflicting.select("dep"), "dep", "left_semi").select("package").distinct().filter(F.col("package") != primary)
     inner = requires.join(blockers, "package", "left_semi").join(blockers.select(F.col("package").alias("dep")), "dep", "left_semi").groupBy("package").agg(F.count_distinct("dep").alias("n"))
     first = blockers.join(inner, "package", "left").select("package", F.lit("blocker").alias("kind"), F.lit(0).alias("part"), (-F.coalesce("n", F.lit(0))).cast("bigint").alias("a"))
     then = targets.join(blockers, "package", "left_anti").select("package", F.lit("target").alias("kind"), F.lit(1).alias("part"), F.col("row_id").cast("bigint").alias("a"))
-    return first.unionByName(then).select(F.row_number().over(Window.orderBy("part", "a", "package")).alias("step"), "package", "kind")
+    return numbered(first.unionByName(then), "step", F.col("part"), F.col("a"), F.col("package")).select("step", "package", "kind")
 
 
 def test_surface(steps: DataFrame, chain: DataFrame, current: DataFrame, target: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _entry(decorators) -> tuple[str, str] | None:
             method = last.upper() if last != "route" else "GET"
             for k in call.keywords:
                 if k.arg == "methods" and isinstance(k.value, ast.List) and k.value.elts and isinstance(k.value.elts[0], ast.Constant):
-                    method = str(k.value.elts[0].value)
+                    method = str(k.value.elts[0].value).upper()
             return str(route), method
         if last in ("task", "shared_task", "command", "group"):
             return f"{last}:", ""
@@ -113,14 +113,15 @@ def extract_refs(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").mapInPandas(parse, SOURCE_REFS)
 
 
-ENTRY_POINTS = "path string, name string, framework string, route string, method string"
+DECORATORS = "path string, kind string, name string, place int, nth int, called boolean, member boolean, last string, literal string, methods array<string>"
 
 
-def entry_points_of(path: str | None, text: str | None) -> list[tuple]:
-    """(name, framework, route, method) of functions that decorators, or the URL patterns of a urls.py, make entry points.
+def decorators_of(text: str | None) -> list[tuple]:
+    """Facts of a source's decorators and of its calls of path with two arguments or more, in order of the source.
 
-    A function's first telling decorator counts, the last function of a name, and decorators before URL patterns, of which
-    the first that names a view counts.
+    Of a decorator: the function's name and place, which of its decorators it is, whether it is called and a member of
+    something, its last name, first literal text and the literal texts of methods=. Of a call of path: the last name of
+    its second argument as name, and the first literal.
     """
     import ast
 
@@ -128,43 +129,56 @@ def entry_points_of(path: str | None, text: str | None) -> list[tuple]:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return []
-    literal = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else None
-    found = {}
-    for fn in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
-        for d in fn.decorator_list:
-            call = isinstance(d, ast.Call)
-            target = d.func if call else d
-            member, last = isinstance(target, ast.Attribute), getattr(target, "attr", getattr(target, "id", ""))
-            if member and last in ("task", "shared_task"):
-                info = ("celery", None, None)
-            elif call and member and last in ("command", "group"):
-                info = ("click", None, None)
-            elif call and (last == "route" or member and last in ("get", "post", "put", "delete", "patch", "head", "options")):
-                listed = [literal(e) for k in d.keywords if k.arg == "methods" for e in getattr(k.value, "elts", [k.value])] if last == "route" else [last.upper()]
-                info = ("flask" if last == "route" else "fastapi", literal(d.args[0]) if d.args else None, next(filter(None, listed), "GET"))
-            else:
-                continue
-            found[fn.name] = info
-            break
-    if (path or "").replace("\\", "/").endswith("urls.py"):
-        for c in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and _dotted(n.func).rsplit(".", 1)[-1] == "path" and len(n.args) > 1):
-            view = _dotted(c.args[1]).rsplit(".", 1)[-1]
-            if view:
-                found.setdefault(view, ("django", literal(c.args[0]), "GET"))
-    return [(name, *info) for name, info in found.items()]
+    said = lambda n: n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else None
+    out = []
+    for place, node in enumerate(ast.walk(tree)):
+        for nth, d in enumerate(getattr(node, "decorator_list", ()) if not isinstance(node, ast.ClassDef) else ()):
+            call = d if isinstance(d, ast.Call) else None
+            target = call.func if call else d
+            listed = [said(e) for k in call.keywords if k.arg == "methods" for e in getattr(k.value, "elts", [k.value])] if call else []
+            literal = said(call.args[0]) if call and call.args else None
+            out.append(("decorator", node.name, place, nth, call is not None, isinstance(target, ast.Attribute), getattr(target, "attr", getattr(target, "id", "")), literal, [x for x in listed if x]))
+        if isinstance(node, ast.Call) and len(node.args) > 1 and _dotted(node.func).rsplit(".", 1)[-1] == "path":
+            out.append(("url", _dotted(node.args[1]).rsplit(".", 1)[-1], place, 0, True, False, "path", said(node.args[0]), []))
+    return out
 
 
-def extract_entry_points(sources: DataFrame) -> DataFrame:
-    """Rows of entry_points_of for each source (path, text)."""
+def extract_decorators(sources: DataFrame) -> DataFrame:
+    """Rows of decorators_of for each source (path, text)."""
 
     def parse(parts: Iterator) -> Iterator:
         import pandas as pd
 
+        names = [f.split(" ")[0] for f in DECORATORS.split(", ")]
         for pdf in parts:
-            rows = [(p, *r) for p, t in zip(pdf.path, pdf.text) for r in entry_points_of(p, t)]
-            yield pd.DataFrame(rows, columns=["path", "name", "framework", "route", "method"])
+            yield pd.DataFrame([(p, *r) for p, t in zip(pdf.path, pdf.text) for r in decorators_of(t)], columns=names)
+
+    return sources.select("path", "text").mapInPandas(parse, DECORATORS)
+
 
-    return sources.select("path", "text").mapInPandas(parse, ENTRY_POINTS)
+#: Decorators that make a function an entry point: last name, whether it must be called, whether a member, framework.
+TELLING = (
+    ("route", True, False, "flask"), *((verb, True, True, "fastapi") for verb in ("get", "post", "put", "delete", "patch", "head", "options")), ("task", False, True, "celery"), ("shared_task", False, True, "celery"),
+    ("command", True, True, "click"), ("group", True, True, "click"),
+)
+
+
+def extract_entry_points(sources: DataFrame) -> DataFrame:
+    """path, name, framework, route, method of functions that decorators, or the URL patterns of a urls.py, make entry points.
+
+    A function's first telling decorator counts, the last function of a name, and decorators before URL patterns, of which
+    the first that names a view counts. Methods are in capitals; a route without any is a GET.
+    """
+    facts = extract_decorators(sources)
+    telling = facts.sparkSession.createDataFrame(list(TELLING), "last string, must_call boolean, must_own boolean, framework string")
+    told = facts.filter("kind = 'decorator'").join(F.broadcast(telling), "last").filter("(called or not must_call) and (member or not must_own)")
+    web = F.col("framework").isin("flask", "fastapi")
+    method = F.when(F.col("framework") == "flask", F.coalesce(F.upper(F.get("methods", F.lit(0))), F.lit("GET"))).when(web, F.upper("last"))
+    info = F.struct("framework", F.when(web, F.col("literal")).alias("route"), method.alias("method"))
+    marked = told.groupBy("path", "name").agg(F.max_by(info, F.struct("place", -F.col("nth"))).alias("x")).select("path", "name", "x.*")
+    urls = facts.filter("kind = 'url' and name != ''").filter(F.endswith(F.replace("path", F.lit("\\"), F.lit("/")), F.lit("urls.py")))
+    views = urls.groupBy("path", "name").agg(F.min_by("literal", "place").alias("route")).join(marked, ["path", "name"], "left_anti")
+    return marked.unionByName(views.select("path", "name", F.lit("django").alias("framework"), "route", F.lit("GET").alias("method")))
 
 
 SIGNATURES = "path string, module string, symbol string, kind string, params array<string>, n_defaults int"

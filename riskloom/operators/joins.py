@@ -21,20 +21,63 @@ def changes_by_cve(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return s.join(r, "cve", "full").select("cve", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_refs", F.lit(0)).alias("n_refs"))
 
 
-def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, point_id: str) -> DataFrame:
-    """Of each point the range of its key that holds it and starts last; ties go to the first range.
+def dyadic(low: Column, high: Column) -> Column:
+    """The fewest aligned strips that make up the whole numbers from low to high: an array of (level, slot), a strip being 2**level wide and slot its number.
 
-    Points and ranges meet by an equality of the key with the interval as a residual; keys with very many ranges can be
-    cut into equal strips first (see strips).
+    At a level the strips inside begin at a and end before e; those that no wider strip inside holds are a, if it is odd,
+    and the last one, if e is odd. There are at most two a level, and as many levels as the range's length has digits.
     """
-    held = points.join(ranges, key).filter(F.col(at).between(F.col("low"), F.col("high")))
-    best = held.groupBy(point_id).agg(F.max_by("range_id", F.struct(F.col("low"), -F.col("range_id"))).alias("range_id"))
-    return points.select(point_id).join(best, point_id, "left")
+    end = high + 1
+
+    def at(level: Column) -> Column:
+        wide = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        a, e = F.call_function("shiftright", low + wide - 1, level), F.call_function("shiftright", end, level)
+        strip = lambda n: F.struct(level.alias("level"), n.alias("slot"))
+        first = F.when((a < e) & (a.bitwiseAND(1) == 1), strip(a))
+        last = F.when((a < e) & (e.bitwiseAND(1) == 1), strip(e - 1))
+        return F.array_compact(F.array_distinct(F.array(first, last)))
 
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(F.greatest(end - low, F.lit(1))))), at))
 
-def strips(ranges: DataFrame, width: float) -> DataFrame:
-    """ranges with one row for each strip of this width that they touch, as equality key strip."""
-    return ranges.withColumn("strip", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+
+def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, point_id: str) -> DataFrame:
+    """Of each point the range of its key that holds it and starts last; ties go to the first range.
+
+    Ranges are cut into aligned strips, of which each keeps its best range alone; a point looks up the strip that holds
+    it at each of its key's levels. All joins are equalities and a point meets one row a level at most, however many ranges hold it.
+    """
+    whole = lambda c: F.col(c).cast("long")
+    cut = ranges.filter("low <= high").select(key, "range_id", whole("low").alias("_low"), whole("high").alias("_high")).withColumn("x", F.explode(dyadic(F.col("_low"), F.col("_high"))))
+    best = F.struct(F.col("_low"), -F.col("range_id"))
+    strips = cut.groupBy(key, "x.level", "x.slot").agg(F.max_by(F.struct(F.col("_low").alias("low"), "range_id"), best).alias("r"))
+    levels = strips.groupBy(key).agg(F.collect_set("level").alias("levels"))
+    held = points.join(levels, key).select(point_id, key, whole(at).alias("_at"), F.explode("levels").alias("level")).withColumn("slot", F.call_function("shiftright", F.col("_at"), F.col("level")))
+    found = held.join(strips, [key, "level", "slot"]).groupBy(point_id).agg(F.max_by("r.range_id", F.struct(F.col("r.low"), -F.col("r.range_id"))).alias("range_id"))
+    return points.select(point_id).join(found, point_id, "left")
+
+
+def as_of(requests: DataFrame, snapshots: DataFrame, key: str, seconds: int, strip: int = 86_400) -> DataFrame:
+    """requests (key, asked_at and others) with fetched_at, snapshot and state: the newest snapshot that was there when it was asked for.
+
+    state is fresh if the snapshot is less than so many seconds old, stale if it is older, missing if there is none; its
+    snapshot then is null. snapshots: key, fetched_at, snapshot; of those fetched at one time the greatest counts. Time is cut into
+    strips: within a strip of a key the last snapshot is carried along, and what no snapshot of its strip precedes takes
+    the last one of the strips before, of which each key has one row. So a key with very many rows is many groups.
+    """
+    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (strip * 1_000_000)).cast("long")
+    kept = F.struct("fetched_at", "snapshot")
+    newest = snapshots.filter("fetched_at is not null").groupBy(key, "fetched_at").agg(F.max("snapshot").alias("snapshot"))
+    there = newest.select(F.col(key).alias("_key"), number("fetched_at").alias("_strip"), F.col("fetched_at").alias("_at"), F.lit(0).alias("_kind"), kept.alias("_s"), F.lit(None).cast(requests.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_r"))
+    asked = requests.select(F.col(key).alias("_key"), number("asked_at").alias("_strip"), F.col("asked_at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(there.schema["_s"].dataType).alias("_s"), F.struct(*requests.columns).alias("_r"))
+    before = Window.partitionBy("_key", "_strip").orderBy("_at", "_kind")
+    met = there.unionByName(asked).withColumn("_own", F.last("_s", True).over(before)).filter("_kind = 1")
+    ends = there.groupBy("_key", "_strip").agg(F.max_by("_s", "_at").alias("_end")).unionByName(asked.select("_key", "_strip").distinct().withColumn("_end", F.lit(None).cast(there.schema["_s"].dataType)))
+    earlier = Window.partitionBy("_key").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.groupBy("_key", "_strip").agg(F.max("_end").alias("_end")).withColumn("_carried", F.last("_end", True).over(earlier)).select(F.col("_key").alias("_k"), F.col("_strip").alias("_n"), "_carried")
+    found = met.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_strip") == F.col("_n")), "left").withColumn("_s", F.coalesce("_own", "_carried"))
+    age = F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("_s")["fetched_at"].cast("timestamp"))
+    state = F.when(F.col("_s").isNull(), "missing").when(age < seconds * 1_000_000, "fresh").otherwise("stale")
+    return found.select("_r.*", F.col("_s")["fetched_at"].alias("fetched_at"), F.col("_s")["snapshot"].alias("snapshot"), state.alias("state"))
 
 
 def match_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def root(spark: SparkSession) -> str:
@@ -31,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a column that numbers its rows from 1 in this order, which should tell all rows apart.
+
+    Rows are range-sorted and written; the rows of each partition are counted, and a row's number is its place in its
+    partition after those before it. No task sees more than a partition.
+    """
+    place = F.monotonically_increasing_id()
+    held = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND((1 << 33) - 1)}))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
 class Grown:
     """A table that a loop adds to: each round's rows are written once, beside those of the rounds before."""
 

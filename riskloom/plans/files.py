@@ -60,7 +60,7 @@ def raw_scan_files(spark, sf):
 @query("commit_urls_of_cve", f"WITH {ctes('findings')} SELECT cve_id, concat('https://github.com/o/r/commit/', row_id) AS url FROM findings WHERE cve_id = 'CVE-3' AND lower(package) = (SELECT lower(package) FROM findings WHERE row_id = 3)")
 def commit_urls(spark, sf):
     rows = view(spark, sf, "findings").withColumn("commit_urls", F.array(F.concat(F.lit("https://github.com/o/r/commit/"), F.col("row_id").cast("string"))))
-    return of_findings(rows, "CVE-3", rows.filter("row_id = 3").first()["package"].upper())
+    return of_findings(rows, "CVE-3", rows.filter("row_id = 3").select(F.upper("package").alias("package")))
 
 
 @query("epss_files", f"WITH {ctes('epss')} SELECT * FROM epss")
@@ -185,6 +185,15 @@ def patch_cache(spark, sf):
     return spark.read.parquet(path).select("cve_id", "status")
 
 
+@query("patch_lookup", "SELECT concat('CVE-', p_partkey) AS cve_id, CASE WHEN p_partkey % 5 = 0 THEN 'not_fetched' WHEN p_partkey % 3 = 0 THEN 'no_patch_found' ELSE 'ok' END AS status, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 3 > 0 THEN concat('c', p_partkey) END AS patch_commit FROM part WHERE p_partkey % 2 = 0")
+def patch_lookup(spark, sf):
+    part, path = view(spark, sf, "part"), folder(spark, "files")
+    found = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("c"), F.col("p_partkey").cast("string")))
+    writers.write_patches(part.filter("p_partkey % 5 > 0").select(F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"), F.when(F.col("p_partkey") % 3 == 0, "no_patch_found").otherwise("ok").alias("status"), found.alias("patch_commit")), path)
+    asked = part.filter("p_partkey % 2 = 0").select(F.concat(F.when(F.col("p_partkey") % 4 == 0, "cve-").otherwise("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"))
+    return readers.lookup_patches(spark, path, asked.unionByName(asked))
+
+
 @query("scan_cache_tables", "SELECT p_partkey AS id, 2 AS n FROM part")
 def scan_cache(spark, sf):
     rows, path = view(spark, sf, "part").select(F.col("p_partkey").alias("id")), folder(spark, "files")

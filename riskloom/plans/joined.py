@@ -69,6 +69,15 @@ def function_edges(spark, sf):
     return found.select(fn.alias("fn"), F.concat(F.lit("CVE-"), (F.col("hit_id") % 300).cast("string")).alias("cve_id")).distinct()
 
 
+@query("snapshot_as_of", """WITH r AS (SELECT event_id, user_id, ts AS asked_at FROM events WHERE event_id % 2 = 0), s AS (SELECT user_id, ts AS fetched_at, max(concat('v', event_id)) AS snapshot FROM events WHERE event_id % 2 = 1 AND user_id % 5 > 0 GROUP BY 1, 2)
+  SELECT event_id, r.user_id, asked_at, fetched_at, snapshot, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN asked_at - fetched_at < INTERVAL 6 HOUR THEN 'fresh' ELSE 'stale' END AS state FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.asked_at >= s.fetched_at""")
+def snapshot_as_of(spark, sf):
+    events = view(spark, sf, "events")
+    requests = events.filter("event_id % 2 = 0").select("event_id", "user_id", F.col("ts").alias("asked_at"))
+    snapshots = events.filter("event_id % 2 = 1 and user_id % 5 > 0").select("user_id", F.col("ts").alias("fetched_at"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("snapshot"))
+    return jn.as_of(requests, snapshots, "user_id", 6 * 3600)
+
+
 @query("suffix_theta_join", f"""WITH {ctes("symbols", "refs")}, h AS (SELECT seq AS hit_id, CASE WHEN l % 3 = 0 THEN concat('brand', l % 25, '.mod', l % 12, '.fn', l % 31) ELSE fqn END AS fqn FROM (SELECT *, substr(cve_id, 5)::BIGINT AS l FROM refs)),
   e AS (SELECT DISTINCT hit_id, s.cve_id AS s_cve, 'exact' AS how FROM h JOIN symbols s ON s.fqn = h.fqn)
   SELECT * FROM e UNION ALL SELECT DISTINCT hit_id, s.cve_id, 'short' FROM h JOIN symbols s ON s.short_name = string_split(h.fqn, '.')[-1] WHERE contains(h.fqn, '.') AND h.fqn NOT IN (SELECT fqn FROM symbols)""")

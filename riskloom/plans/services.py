@@ -170,7 +170,7 @@ def entry_points(spark, sf):
 @query("entry_point_detect", """SELECT path, unnest(['f', 'g', 'job', 'cli']) AS name, unnest(['flask', 'fastapi', 'celery', 'click']) AS framework, unnest([concat('/r', k), concat('/i', k % 9), NULL, NULL]) AS route, unnest(['POST', 'PUT', NULL, NULL]) AS method FROM (SELECT p_partkey AS k, concat('app', p_partkey, '.py') AS path FROM part WHERE p_partkey % 2 = 0)
   UNION ALL SELECT concat('site', p_partkey, '/urls.py'), unnest([concat('list', p_partkey), 'home']), 'django', unnest([concat('items/', p_partkey), '']), 'GET' FROM part WHERE p_partkey % 2 = 1""")
 def entry_point_detect(spark, sf):
-    app = "concat('@app.route(\"/r', p_partkey, '\", methods=[\"POST\", \"GET\"])', char(10), 'def f(): pass', char(10), '@login', char(10), '@api.put(\"/i', p_partkey % 9, '\")', char(10), 'async def g(): pass', char(10), '@c.task', char(10), 'def job(): pass', char(10), '@cli.command()', char(10), 'def cli(): pass', char(10))"
+    app = "concat('@app.route(\"/r', p_partkey, '\", methods=[\"post\", \"GET\"])', char(10), 'def f(): pass', char(10), '@login', char(10), '@api.put(\"/i', p_partkey % 9, '\")', char(10), 'async def g(): pass', char(10), '@c.task', char(10), 'def job(): pass', char(10), '@cli.command()', char(10), 'def cli(): pass', char(10))"
     urls = "concat('urlpatterns = [path(\"items/', p_partkey, '\", views.list', p_partkey, '), path(\"\", home), path(\"again\", home), path(\"x\", V.as_view())]', char(10))"
     sources = view(spark, sf, "part").selectExpr("if(p_partkey % 2 = 0, concat('app', p_partkey, '.py'), concat('site', p_partkey, '/urls.py')) as path", f"if(p_partkey % 2 = 0, {app}, {urls}) as text")
     return extract.extract_entry_points(sources)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.operators import windows as wi
+from riskloom.operators.scratch import numbered
 from riskloom.plans.analogs import ctes, view
 from riskloom.plans.scores import SCORED, scored
 
@@ -86,13 +87,13 @@ def code_context(spark, sf):
 @query("conflict_ids", f"WITH {ctes('requires')}, g AS (SELECT dep, count(DISTINCT package) AS n FROM requires GROUP BY dep HAVING count(DISTINCT package) >= 2) SELECT concat('C', row_number() OVER (ORDER BY dep)) AS conflict_id, dep, n FROM g")
 def conflict_ids(spark, sf):
     g = view(spark, sf, "requires").groupBy("dep").agg(F.count_distinct("package").alias("n")).filter("n >= 2")
-    return g.withColumn("conflict_id", F.concat(F.lit("C"), F.row_number().over(Window.orderBy("dep")).cast("string")))  # conflicts of one tree
+    return numbered(g, "i", F.col("dep")).select(F.concat(F.lit("C"), F.col("i").cast("string")).alias("conflict_id"), "dep", "n")
 
 
 @query("plan_step_order", f"WITH {ctes('requires')}, c AS (SELECT dep, count(DISTINCT package) AS rank FROM requires GROUP BY dep) SELECT dep, row_number() OVER (ORDER BY rank DESC, dep) AS step FROM c")
 def step_order(spark, sf):
     c = view(spark, sf, "requires").groupBy("dep").agg(F.count_distinct("package").alias("rank"))
-    return c.select("dep", F.row_number().over(Window.orderBy(F.desc("rank"), "dep")).alias("step"))  # steps of one plan
+    return numbered(c, "step", F.desc("rank"), F.asc("dep")).select("dep", "step")
 
 
 @query("primary_symbol", f"WITH {ctes('symbols')} SELECT package, fqn FROM (SELECT package, fqn, row_number() OVER (PARTITION BY package ORDER BY contains('fn7 fn11', short_name) DESC, seq) AS rn FROM symbols) WHERE rn = 1")

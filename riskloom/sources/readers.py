@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.text import normalize_name
 from riskloom.sources import schemas as sc
+from riskloom.sources.writers import part_of
 
 PIN = r"^([A-Za-z0-9._-]+)(\[[^\]]*\])?\s*==\s*([^\s#;]+)"
 MAX_SOURCE_BYTES, NUL_WINDOW = 2_097_152, 8192
@@ -51,6 +52,22 @@ def read_patches(spark: SparkSession, folder: str) -> DataFrame:
     return read_json(spark, f"{folder}/CVE-*.json", sc.PATCH)
 
 
+def lookup_patch(spark: SparkSession, path: str, cve_id: str) -> DataFrame:
+    """What the patch cache of writers.write_patches holds for an id, in any case: one part is read. No row: it was never looked for."""
+    wanted = F.lit(cve_id.upper())
+    return spark.read.parquet(path).filter((F.col("part") == part_of(wanted)) & (F.col("cve_id") == wanted)).drop("part")
+
+
+def lookup_patches(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """cve_id (upper case) of each distinct id, and what the patch cache holds for it; status is not_fetched where it holds nothing.
+
+    Ids and cache meet by part and id, so that parts which no id lies in are pruned when the ids are few.
+    """
+    wanted = ids.select(F.upper("cve_id").alias("cve_id")).filter("cve_id is not null").distinct().withColumn("part", part_of(F.col("cve_id")))
+    found = wanted.join(spark.read.parquet(path), ["part", "cve_id"], "left").drop("part")
+    return found.withColumn("status", F.coalesce("status", F.lit("not_fetched")))
+
+
 def read_dependency_graphs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw graphs with the file they came from."""
     return spark.read.schema(sc.DEPENDENCY_GRAPH).json(folder, multiLine=True, recursiveFileLookup=True, mode="DROPMALFORMED").withColumn("file", F.input_file_name())

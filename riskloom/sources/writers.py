@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,21 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.dropDuplicates(["kind", "src", "dst"]).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
 
 
+#: Parts of a patch cache.
+PARTS = 64
+
+
+def part_of(cve_id: Column) -> Column:
+    """The part of a patch cache that holds an id."""
+    return F.abs(F.hash(cve_id)) % PARTS
+
+
 def write_patches(patches: DataFrame, path: str) -> None:
-    """A patch cache in parts by the id's hash, so that rewriting one id touches one part."""
-    patches.withColumn("part", F.abs(F.hash("cve_id")) % 64).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    """A patch cache in parts by the id's hash, so that rewriting one id touches one part.
+
+    That nothing was found for an id (status no_patch_found) is a row like any other.
+    """
+    patches.withColumn("part", part_of(F.col("cve_id"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def append_cache(results: DataFrame, path: str) -> None:

@@ -132,13 +132,11 @@ def scans_due(contents: DataFrame, seconds: int, late: str = "1 hour") -> DataFr
                     self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
                 self.last.update((last,))
                 self.handle.registerTimer(last // 1000 + seconds * 1000)
-            yield pd.DataFrame({"key": [key[0]] * len(due), "ts": pd.array(np.array(due, np.int64).astype("datetime64[us]"))})
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype=object), "ts": pd.array(np.array(due, np.int64).astype("datetime64[us]"))})
 
         def handleExpiredTimer(self, key, timers, expired) -> Iterator:
-            import pandas as pd
-
             self.last.clear()
-            yield pd.DataFrame({"key": pd.Series([], dtype=str), "ts": pd.Series([], dtype="datetime64[us]")})
+            return iter(())
 
         def close(self) -> None:
             pass

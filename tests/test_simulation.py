@@ -43,9 +43,12 @@ def test_symbols_match_by_suffix(spark):
 
 def test_entry_points(spark):
     text = "from v import *\n@app.route('/x')\ndef x(): pass\nurlpatterns = [path('x/', x), path('y/', views.y), re_path('z', z)]\n"
-    assert extract.entry_points_of("site\\urls.py", text) == [("x", "flask", "/x", "GET"), ("y", "django", "y/", "GET")]
-    assert extract.entry_points_of("other.py", text) == [("x", "flask", "/x", "GET")]
-    assert extract.entry_points_of("bad.py", "def (") == [] and extract.entry_points_of(None, None) == []
+    more = "@login\n@a.route('/q', methods=['post'])\n@a.get('/r')\ndef f(): pass\n@a.task\nclass K: pass\n@task\ndef g(): pass\n@w.delete(p)\ndef h(): pass\n@c.command\ndef i(): pass\n@a.route('/1')\ndef j(): pass\n@a.put('/2')\ndef j(): pass\n"
+    sources = [("site\\urls.py", text), ("other.py", text), ("bad.py", "def ("), ("none.py", None), ("more.py", more)]
+    rows = extract.extract_entry_points(spark.createDataFrame(sources, "path string, text string")).collect()
+    got = {p: sorted((r.name, r.framework, r.route, r.method) for r in rows if r.path == p) for p, _ in sources}
+    assert got["site\\urls.py"] == [("x", "flask", "/x", "GET"), ("y", "django", "y/", "GET")] and got["other.py"] == [("x", "flask", "/x", "GET")]
+    assert got["bad.py"] == [] == got["none.py"] and got["more.py"] == [("f", "flask", "/q", "POST"), ("h", "fastapi", None, "DELETE"), ("j", "fastapi", "/2", "PUT")]
 
 
 def test_known_sinks_override_rules(spark):
