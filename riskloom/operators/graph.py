@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom.operators.scratch import Grown, cut
@@ -79,7 +79,9 @@ def tainted_paths(paths: DataFrame, tainted: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """id and rank. Parallel edges count as often as they occur, edges with unknown ends not; the mass of nodes without edges out is spread evenly.
 
-    Ranks stay distributed; the driver sees the dangling mass and the change of a round, two numbers.
+    Ranks stay distributed; the driver sees the dangling mass and the change of a round, two numbers that are observed while
+    the round is written. The edges' shares are dealt by source once and kept there, so a round moves ranks and what they
+    send, never the edges; lost parts of them are dealt again from the written table.
     """
     ids = cut(nodes.select("id").distinct())
     n = ids.count()
@@ -88,19 +90,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     counted = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     out = counted.groupBy("src").agg(F.sum("times").alias("out"))
-    shares = cut(counted.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = cut(counted.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share"))).repartition(parts, "src").persist()
     ranks = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
-    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))
+    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("loose")
     dangling = ranks.agg(loose).first()[0]
     for _ in range(iterations):
         came = shares.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
         base = (1 - damping) / n + damping * dangling / n
         new = ranks.join(came, F.col("id") == F.col("dst"), "left").select("id", "linked", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank"))
-        new = cut(new)
-        change, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), loose).first()
-        ranks = new.select("id", "rank", "linked")
-        if change < tolerance:
+        seen = Observation()
+        ranks = cut(new.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), loose)).select("id", "rank", "linked")
+        dangling = seen.get["loose"]
+        if seen.get["change"] < tolerance:
             break
+    shares.unpersist()
     return ranks.select("id", "rank")
 
 

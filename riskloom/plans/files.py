@@ -185,6 +185,17 @@ def patch_cache(spark, sf):
     return spark.read.parquet(path).select("cve_id", "status")
 
 
+@query("read_patch_files", f"WITH {ctes('symbols')} SELECT cve_id, max(package) AS package, 'ok' AS status, count(*) AS n_symbols, min(fqn) AS least FROM symbols WHERE seq % 3 > 0 GROUP BY cve_id")
+def read_patch_files(spark, sf):
+    """A file of its own for each patch, of which those of a third of the ids are corrupt and skipped."""
+    s, path = view(spark, sf, "symbols"), folder(spark, "files")
+    named = s.groupBy("cve_id").agg(F.max("package").alias("package"), F.min("seq").alias("seq"), F.collect_list(F.struct(F.col("fqn").alias("fully_qualified_name"), "short_name")).alias("vulnerable_symbols"))
+    text = F.to_json(F.struct("cve_id", "package", F.lit("ok").alias("status"), "vulnerable_symbols"))
+    writers.write_patch_files(named.select("cve_id", F.when(F.col("seq") % 3 == 0, F.lit('{"cve_id": ')).otherwise(text).alias("text")), path)
+    read = readers.read_patches(spark, path)
+    return read.select("cve_id", "package", "status", F.size("vulnerable_symbols").cast("long").alias("n_symbols"), F.array_min(F.transform("vulnerable_symbols", lambda x: x["fully_qualified_name"])).alias("least"))
+
+
 @query("patch_lookup", "SELECT concat('CVE-', p_partkey) AS cve_id, CASE WHEN p_partkey % 5 = 0 THEN 'not_fetched' WHEN p_partkey % 3 = 0 THEN 'no_patch_found' ELSE 'ok' END AS status, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 3 > 0 THEN concat('c', p_partkey) END AS patch_commit FROM part WHERE p_partkey % 2 = 0")
 def patch_lookup(spark, sf):
     part, path = view(spark, sf, "part"), folder(spark, "files")

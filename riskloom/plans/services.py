@@ -44,6 +44,19 @@ def tenant_rows(spark, sf):
     return service.own(rows, "BUILDING").select("c_custkey", "c_acctbal")
 
 
+@query("tenant_submit_get", "SELECT c_custkey, c_acctbal, concat('scan', c_custkey % 10) AS scan_id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 10 = 3 UNION ALL SELECT c_custkey, c_acctbal, 'late' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 10 = 4")
+def tenant_submit(spark, sf):
+    """Two submissions into a store by tenant; a tenant's own scans are read, and a scan of another tenant is as if it weren't there."""
+    path = f"{scratch.root(spark)}/store-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("tenant"), F.concat(F.lit("scan"), (F.col("c_custkey") % 10).cast("string")).alias("scan_id"))
+    service.submit(path, rows)
+    service.submit(path, rows.filter("c_custkey % 10 = 4").withColumn("scan_id", F.lit("late")))
+    service.submit(path, rows.filter("tenant != 'BUILDING'").withColumn("scan_id", F.lit("theirs")))
+    held = spark.read.schema(rows.schema).parquet(path)
+    mine = [service.get(held, "BUILDING", scan) for scan in ("scan3", "late", "theirs")]
+    return mine[0].unionByName(mine[1]).unionByName(mine[2]).select("c_custkey", "c_acctbal", "scan_id")
+
+
 @query("tenant_delete", "SELECT c_mktsegment AS tenant, count(*) AS n FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_custkey % 10 = 3) GROUP BY 1")
 def tenant_delete(spark, sf):
     rows = view(spark, sf, "customer").select(F.col("c_mktsegment").alias("tenant"), (F.col("c_custkey") % 10).cast("string").alias("scan_id"))

@@ -35,6 +35,24 @@ def write_patches(patches: DataFrame, path: str) -> None:
     patches.withColumn("part", part_of(F.col("cve_id"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
+def write_patch_files(patches: DataFrame, path: str) -> None:
+    """A file of its own for each patch (cve_id, text), named CVE-....json after its id in capitals, as other tools read them.
+
+    The files are written from the tasks through the folder's own file system, each whole before it gets its name.
+    """
+    spark = patches.sparkSession
+    named = patches.select(F.replace(F.upper("cve_id"), F.lit("/"), F.lit("_")).alias("name"), F.col("text").alias("value"))
+    parts = f"{path}/_parts"
+    named.write.partitionBy("name").mode("overwrite").option("maxRecordsPerFile", 1).text(parts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in store.globStatus(hadoop(f"{parts}/name=*")):
+        name = folder.getPath().getName().split("=", 1)[1]
+        for file in store.globStatus(hadoop(f"{parts}/name={name}/part-*")):
+            store.rename(file.getPath(), hadoop(f"{path}/{name}.json"))
+    store.delete(hadoop(parts), True)
+
+
 def append_cache(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
 
