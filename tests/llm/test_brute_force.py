@@ -170,22 +170,45 @@ def test_long_texts_span_chunks(spark, corpus):
     assert all(math.isclose(whole[d], again[d], rel_tol=1e-9) for d in whole)
 
 
-@pytest.mark.parametrize("hot", [2**12, 4, 1])
-def test_repeated_lines(spark, corpus, hot):
-    seen, want = set(), {}
-    for d, t, _ in sorted(corpus):
-        want[d] = set()
-        for k, line in enumerate(t.split("\n")):
-            words = tuple(line.split())
-            if words in seen:
-                want[d].add(k)
-            elif words:
-                seen.add(words)
-    docs = frame(spark, corpus)
-    got = {r.doc: {k for x in r.runs for k in range(x.start, x.end)} for r in op7_lines.removed(docs, hot).collect()}
+def lines_to_delete(corpus, window=op7_lines.WINDOW, levels=op7_lines.LEVELS):
+    """The lines that are deleted from each text, by the rules of the module's docstring and by plain comparisons of lines."""
+    texts = {d: [(k, tuple(x.split())) for k, x in enumerate((t or "").split("\n")) if x.split()] for d, t, _ in sorted(corpus)}
+    rank = {w: op7_lines.line_hashes(" ".join(w).encode())[0][0] for x in texts.values() for _, w in x}
+    n = lambda x: sum(len(w) for _, w in x)
+    marks, out = [], {d: set() for d in texts}
+    for d, x in texts.items():
+        anchors = set()
+        for a in range(len(x)):
+            b = next((b for b in range(a, len(x) + 1) if n(x[a:b]) >= window), None)
+            if b is not None:
+                anchors.add(min(range(a, b), key=lambda k: (rank[x[k][1]], -k)))
+        for m in sorted(anchors):
+            for level in levels:
+                end = next((e for e in range(m, len(x) + 1) if n(x[m:e]) >= level), None)
+                begin = next((b for b in range(m, -1, -1) if n(x[b : m + 1]) >= level), None)
+                if end is not None and begin is not None:
+                    marks.append(((level, m - begin, tuple(w for _, w in x[begin:end])), d, m))
+    first = {}
+    for key, d, m in marks:
+        first.setdefault(key, (d, m))
+    for key, d, m in marks:
+        e, f = first[key]
+        if (d, m) != (e, f):
+            x, y = texts[d], texts[e]
+            a = next((k for k in range(min(m, f)) if x[m - k - 1][1] != y[f - k - 1][1]), min(m, f))
+            b = next((k for k in range(min(len(x) - m, len(y) - f)) if x[m + k][1] != y[f + k][1]), min(len(x) - m, len(y) - f))
+            out[d] |= {x[k][0] for k in range(m - a, m + b)}
+    return out
+
+
+@pytest.mark.parametrize("hot, window, levels", [(2**12, 16, (10, 40)), (4, 16, (10, 40)), (1, 5, (3,)), (4, 40, (6, 20, 60))])
+def test_repeated_runs(spark, corpus, hot, window, levels):
+    want, docs = lines_to_delete(corpus, window, levels), frame(spark, corpus)
+    got = {r.doc: {k for x in r.runs for k in range(x.start, x.end)} for r in op7_lines.removed(docs, hot, window, levels).collect()}
     assert got == want and any(want.values())
-    texts = {r.doc_id: r.text for r in op7_lines.dedup(docs).collect()}
-    assert all(texts[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]) for d, t, _ in corpus)
+    if (window, levels) == (op7_lines.WINDOW, op7_lines.LEVELS):
+        texts = {r.doc_id: r.text for r in op7_lines.dedup(docs).collect()}
+        assert all(texts[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]) for d, t, _ in corpus)
 
 
 def test_token_counts(spark, corpus):
