@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_schema, buckets_of, documents, id_crc, pack, spans, unpack, written
+from riskloom.llm.common import arrow_schema, buckets_of, dealt, documents, id_crc, pack, spans, unpack, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the root's probabilities against a state's own counts.
@@ -285,7 +285,7 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
                 steps = [(k, chunk, *v) for k, v in out.items()]
                 if steps:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*steps), schema)), pa.nulls(len(steps), facts.type)], schema=schema)
-                own = (chunk % buckets, chunk, 0, 0, b"", b"")
+                own = (dealt(chunk, buckets), chunk, 0, 0, b"", b"")
                 yield pa.RecordBatch.from_arrays([*(pa.array([c], f.type) for c, f in zip(own, schema)), facts], schema=schema)
                 chunk += 1
 

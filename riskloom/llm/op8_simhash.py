@@ -171,10 +171,10 @@ def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = rooted
     """
     rows = grouped(docs).groupBy("root", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "crc").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct("doc", "crc", "n")).alias("k"))
-    on = ["_kept_doc", "_kept_crc"]
+    on = ["kept_doc", "kept_crc"]
     kept = written(first.select(F.col("k.doc").alias(on[0]), F.col("k.crc").alias(on[1]), "k.n"), "kept").hint("merge")
-    # the documents that stay grow with the input, so they are merged at every size and never broadcast
-    keys = docs.withColumns({on[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), on[1]: text_crc()})
-    alone = keys.join(kept.filter("n = 1"), on, "left_semi").select(*docs.columns)
-    again = keys.join(kept.filter("n > 1"), on, "left_semi").groupBy(*on).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # the documents that stay grow with the input, so they are merged at every size and never broadcast; a row's own columns lie in a struct, whatever their names
+    keys = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(on[0]), text_crc().alias(on[1]))
+    alone = keys.join(kept.filter("n = 1"), on, "left_semi").select("row.*")
+    again = keys.join(kept.filter("n > 1"), on, "left_semi").groupBy(*on).agg(F.min("row").alias("row")).select("row.*")
     return alone.unionByName(again)

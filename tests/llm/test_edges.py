@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import op1_backoff, op2_rules, op3_slots, op4_pu, op5_crf, op6_templates, op7_lines, op8_simhash, op9_tokens, op10_mixing
+from riskloom.llm import common, op1_backoff, op2_rules, op3_slots, op4_pu, op5_crf, op6_templates, op7_lines, op8_simhash, op9_tokens, op10_mixing
 from tests.llm.conftest import ODD, frame
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -167,3 +167,20 @@ def test_mix_is_the_same_again(spark):
     docs = frame(spark, [(k, "a b " * (k % 9), f"s{k % 4}") for k in range(300)])
     rows = lambda d: sorted(r.doc_id for r in op10_mixing.mixed(d).collect())
     assert rows(docs) == rows(docs.repartition(7))
+
+
+def test_keep_one_leaves_columns_as_they_are(spark):
+    rows = [(k, "the same few words of a text", "s", 100 + k, 200 + k, 300 + k) for k in (3, 1, 2)] + [(4, "another text altogether", "s", 104, 204, 304)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept_doc long, kept_crc long, row long")
+    kept = op8_simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == sorted({rows[1], rows[3]})
+
+
+def test_facts_are_dealt_evenly():
+    """Chunks are numbered from partition << 32 on; their facts must not meet in the few buckets of the lower digits."""
+    for buckets in (64, 1024, 1000):
+        held = [0] * buckets
+        for partition in range(1000):
+            for k in range(12):
+                held[common.dealt(partition << 32 | k, buckets)] += 1
+        assert min(held) > 0 and max(held) < 4 * 12_000 / buckets + 12
