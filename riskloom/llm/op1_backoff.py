@@ -326,8 +326,8 @@ def scored(docs: DataFrame, head: int = HEAD, cached: int = CACHED, mu: float =
         return pa.Table.from_pydict({f.name: columns[f.name] for f in arrow_schema(SCORED)})
 
     # docs are read from files, so a chunk that is lost is made again from the same texts in the same order
-    dealt = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, MET)
-    return dealt.groupBy("chunk").applyInArrow(texts, SCORED)
+    counted = rows.mapInArrow(batches, PACKED).groupBy("bucket").applyInArrow(bucket, MET)
+    return counted.groupBy("chunk").applyInArrow(texts, SCORED)
 
 
 def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
