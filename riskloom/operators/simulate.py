@@ -102,31 +102,53 @@ def steps(conflicting: DataFrame, before: DataFrame, after: DataFrame, upgrades:
     return first.unionByName(rest.select(*NODE, F.lit("target").alias("kind"), F.lit(1).alias("part"), "place"))
 
 
-def simulate(pins: DataFrame, upgrades: DataFrame, direct: DataFrame, releases: DataFrame, python_version: str) -> dict[str, DataFrame]:
-    """The simulation's parts: current, target, tree_diff, conflicts, chain, steps, unresolved, runtime_conflicts, and summary, a row for each project.
+PARTS = ("current", "target", "tree_diff", "conflicts", "chain", "steps", "unresolved", "runtime_conflicts", "summary")
 
-    A project's status is degraded if a pin of either tree isn't among the releases.
+
+def simulate(pins: DataFrame, upgrades: DataFrame, direct: DataFrame, releases: DataFrame, python_version: str, wanted: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
+    """The wanted ones of the simulation's parts: current, target, tree_diff, conflicts, chain, steps, unresolved, runtime_conflicts, and summary, a row for each project.
+
+    A project's status is degraded if a pin of either tree isn't among the releases. What the wanted parts don't need isn't computed.
     """
     pins, upgrades = pins.select(*NODE, "version"), upgrades.select(*NODE, "target_version", "position")
+    need = lambda *names: bool({"summary", *names} & {*wanted})
     primary = cut(upgrades.groupBy("project").agg(F.min_by("package", F.struct("position", "package")).alias("package")))
     later = cut(upgraded_pins(pins, upgrades, direct))
-    (current, before), (target, after) = trees(pins, direct), trees(later, direct)
+    # both trees of all projects grow in the same rounds
+    side = lambda df, k: df.select(F.struct(F.lit(k).alias("tree"), F.col("project").alias("name")).alias("project"), "package", "version")
+    nodes, edges = trees(side(pins, 0).unionByName(side(later, 1)), direct)
+    of = lambda df, k: df.filter(F.col("project")["tree"] == k).withColumn("project", F.col("project")["name"])
+    (current, before), (target, after) = ((of(nodes, k), of(edges, k)) for k in (0, 1))
+    out = {"current": current, "target": target}
     diff = cut(changes(current, target))
     bumped, asked = diff.filter("change = 'bumped'"), upgrades.select(*NODE)
-    clash = cut(conflicts(target, after, asked.unionByName(diff.filter("change != 'removed'").select(*NODE))))
-    forced = cut(chain(bumped, before, after, primary))
-    plan = cut(steps(clash, before, after, upgrades, primary))
-    unresolved = cut(pins.unionByName(later).distinct().join(releases.select("package", "version"), ["package", "version"], "left_anti").select(*NODE).distinct())
-    scope = pins.select(*NODE).unionByName(primary.select(*NODE)).unionByName(bumped.select(*NODE)).distinct()
-    spec = releases.groupBy("package", "version").agg(F.max("python_requires").alias("python_requires"))
-    runtime = cut(target.join(scope, NODE, "left_semi").join(spec, ["package", "version"]).filter(~satisfies(F.lit(python_version), F.col("python_requires"))).select(*NODE, "version", "python_requires"))
+    out["tree_diff"] = diff
+    if need("conflicts", "steps"):
+        out["conflicts"] = cut(conflicts(target, after, asked.unionByName(diff.filter("change != 'removed'").select(*NODE))))
+    if need("chain"):
+        out["chain"] = cut(chain(bumped, before, after, primary))
+    if need("steps"):
+        out["steps"] = cut(steps(out["conflicts"], before, after, upgrades, primary))
+    if need("unresolved"):
+        out["unresolved"] = cut(pins.unionByName(later).distinct().join(releases.select("package", "version"), ["package", "version"], "left_anti").select(*NODE).distinct())
+    if need("runtime_conflicts"):
+        scope = pins.select(*NODE).unionByName(primary.select(*NODE)).unionByName(bumped.select(*NODE)).distinct()
+        spec = releases.groupBy("package", "version").agg(F.max("python_requires").alias("python_requires"))
+        run = target.join(scope, NODE, "left_semi").join(spec, ["package", "version"]).filter(~satisfies(F.lit(python_version), F.col("python_requires")))
+        out["runtime_conflicts"] = cut(run.select(*NODE, "version", "python_requires"))
+    if need():
+        out["summary"] = _summary(pins, upgrades, out)
+    return {k: v for k, v in out.items() if k in wanted}
+
+
+def _summary(pins: DataFrame, upgrades: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """A row for each project: how many rows each part has for it, its status and its verdict."""
     n = lambda df, name: df.groupBy("project").agg(F.count(F.lit(1)).alias(name))
     out = pins.select("project").unionByName(upgrades.select("project")).distinct()
-    out = out.join(diff.groupBy("project").agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("bumped", "added", "removed"))), "project", "left")
-    for df, name in ((clash, "conflicts"), (forced, "chain"), (plan, "steps"), (unresolved, "unresolved"), (runtime, "runtime_conflicts")):
-        out = out.join(n(df, name), "project", "left")
+    out = out.join(parts["tree_diff"].groupBy("project").agg(*(F.count_if(F.col("change") == k).alias(k) for k in ("bumped", "added", "removed"))), "project", "left")
+    for name in ("conflicts", "chain", "steps", "unresolved", "runtime_conflicts"):
+        out = out.join(n(parts[name], name), "project", "left")
     out = out.na.fill(0)
     feasible = (F.col("steps") > 0) | (F.col("conflicts") == 0)
     said = deps.verdict(F.col("runtime_conflicts") > 0, F.col("conflicts") > 0, feasible, F.col("chain") > 0)
-    summary = out.withColumn("feasible", feasible).withColumn("status", F.when(F.col("unresolved") > 0, "degraded").otherwise("ok")).withColumn("verdict", said)
-    return {"current": current, "target": target, "tree_diff": diff, "conflicts": clash, "chain": forced, "steps": plan, "unresolved": unresolved, "runtime_conflicts": runtime, "summary": summary}
+    return out.withColumn("feasible", feasible).withColumn("status", F.when(F.col("unresolved") > 0, "degraded").otherwise("ok")).withColumn("verdict", said)

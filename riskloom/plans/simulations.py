@@ -30,9 +30,9 @@ def query(name: str, sql: str):
     return add
 
 
-def simulated(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def simulated(spark: SparkSession, sf: str, wanted: str) -> DataFrame:
     part = spark.read.parquet(f"{sf}/part.parquet")
-    return sim.simulate(*(spark.sql(q, part=part) for q in (PINS, UPGRADES, DIRECT, RELEASES)), "3.11")
+    return sim.simulate(*(spark.sql(q, part=part) for q in (PINS, UPGRADES, DIRECT, RELEASES)), "3.11", (wanted,))[wanted]
 
 
 def met(version: str) -> str:
@@ -67,7 +67,7 @@ SIMULATED = f"""WITH RECURSIVE pins AS ({PINS}), ups AS ({UPGRADES}), releases A
   SELECT *, steps > 0 OR conflicts = 0 AS feasible, CASE WHEN unresolved > 0 THEN 'degraded' ELSE 'ok' END AS status,
     CASE WHEN runtime_conflicts > 0 OR conflicts > 0 AND steps = 0 THEN 'BLOCK_AS_REQUESTED' WHEN conflicts > 0 OR chain > 0 THEN 'PROCEED_AFTER_RESOLUTION' ELSE 'SAFE' END AS verdict FROM k""")
 def upgrade_simulation(spark, sf):
-    return simulated(spark, sf)["summary"]
+    return simulated(spark, sf, "summary")
 
 
 @query("cascade_chain_ordered", f"""{SIMULATED}, inner_edges AS (SELECT e.project, e.package, e.dep FROM e_t e JOIN moved m ON m.project = e.project AND m.package = e.package JOIN moved d ON d.project = e.project AND d.package = e.dep WHERE e.package <> e.dep),
@@ -77,10 +77,10 @@ def upgrade_simulation(spark, sf):
   best AS (SELECT project, package, CASE WHEN min(rank) = 4 THEN any_value(prim) ELSE arg_min(parent, concat(rank, parent)) END AS forced_by FROM ranked GROUP BY ALL)
   SELECT m.project, m.package, a AS from_version, b AS to_version, (SELECT max(layer) FROM far f WHERE f.project = m.project AND f.package = m.package)::INT AS layer, forced_by FROM moved m JOIN best USING (project, package)""")
 def cascade_chain(spark, sf):
-    return simulated(spark, sf)["chain"]
+    return simulated(spark, sf, "chain")
 
 
 @query("simulated_steps", f"""{SIMULATED}, inside AS (SELECT e.project, e.package, count(*) AS n FROM e_c e JOIN blockers b ON b.project = e.project AND b.package = e.package JOIN blockers d ON d.project = e.project AND d.package = e.dep GROUP BY ALL)
   SELECT b.project, b.package, 'blocker' AS kind, 0 AS part, -coalesce(n, 0) AS place FROM blockers b LEFT JOIN inside USING (project, package) UNION ALL SELECT project, package, 'target', 1, position FROM ups WHERE (project, package) NOT IN (SELECT project, package FROM blockers)""")
 def simulated_steps(spark, sf):
-    return simulated(spark, sf)["steps"]
+    return simulated(spark, sf, "steps")
