@@ -224,6 +224,7 @@ def module_of(file: Column, root: Column) -> Column:
 
 def summary(name: Column, label: Column, added: Column, removed: Column) -> Column:
     """One sentence on a change."""
+    # fixed values: the sentences
     said = {
         "HARDENED_ONLY": ("Added validation or guards in ", ""), "SIGNATURE_CHANGED": ("Parameter list changed in ", ""), "RETURN_CHANGED": ("Return behavior changed in ", ""), "RENAMED": ("Symbol renamed (was ", ")"),
         "REMOVED": ("Removed ", " in security patch"), "ADDED": ("Added helper ", " in security patch"), "INTERNAL_CHANGE": ("Internal logic updated in ", ""),
