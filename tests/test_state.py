@@ -162,3 +162,14 @@ def test_numbered_in_order(spark):
     rows = spark.range(5000).selectExpr("id * 7919 % 5003 as v").repartition(7)
     assert [(r.v, r.n) for r in scratch.numbered(rows, "n", F.desc("v")).orderBy("n").collect()] == [(v, k + 1) for k, v in enumerate(sorted((k * 7919 % 5003 for k in range(5000)), reverse=True))]
     assert scratch.numbered(rows.limit(0), "n", F.col("v")).count() == 0
+
+
+def test_missing_model_is_trained_and_stored(spark, tmp_path):
+    from riskloom.sources import models
+
+    path = f"{tmp_path}/model"
+    trained = models.ensure_exploit_model(spark, path, rows=200, epochs=3)
+    assert len(trained["weights"]) == 5 and any(trained["weights"])
+    assert models.ensure_exploit_model(spark, path) == trained == models.load_exploit_model(spark, path)
+    spark.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    assert models.ensure_exploit_model(spark, path, rows=200, epochs=3) == trained
