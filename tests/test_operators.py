@@ -298,3 +298,11 @@ def test_fit_matches_numpy(spark):
         w, b = w - 0.5 * (x.T @ gap / 60 + 0.01 * w), b - 0.5 * gap.mean()
     got, bias = ml.fit(spark.createDataFrame([(list(map(float, a)), int(k)) for a, k in zip(x, y)], "x array<double>, label int"), 2, rate=0.5, epochs=40, l2=0.01)
     assert np.allclose(got, w) and abs(bias - b) < 1e-9
+
+
+def test_hits_of_several_names_meet_a_symbol_once(spark):
+    hits = spark.createDataFrame([(1, "a.f"), (1, "b.f"), (1, "b.g"), (2, "m.f"), (2, "m.f"), (3, "x.k"), (3, "y.k"), (None, "a.f"), (None, "b.f"), (4, None), (5, "f")], "hit_id long, fqn string")
+    symbols = spark.createDataFrame([("c1", "p.f", "f"), ("c1", "q.g", "g"), ("c2", "q.f", "f"), ("c3", "x.k", "k"), ("c3", "y.k", "k")], "cve_id string, fqn string, short_name string")
+    got = [tuple(r) for r in joins.match_symbols(hits, symbols).collect()]
+    want = [(h, c, "short") for h in (1, 2, None) for c in ("c1", "c2")] + [(3, "c3", "exact")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
