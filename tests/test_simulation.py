@@ -56,3 +56,23 @@ def test_known_sinks_override_rules(spark):
     sinks = spark.createDataFrame([("b", "m.f(...)"), ("b", "m.f(...)"), ("c", "g(...)"), ("a", "")], "family string, pattern string")
     got = {r.family: (r.rule_id, r.source, r.patterns) for r in commits.symbol_rules(resolved, sinks, "python").collect()}
     assert got == {"a": ("r1", "registry", []), "b": ("symbol-b-python", "symbol", ["m.f(...)"]), "c": ("symbol-c-python", "symbol", ["g(...)"])}
+
+
+def deep(spark, n: int):
+    """Pins of a project on the first of n packages, each of which requires the next one and the last the second; releases 1.0 and 2.0."""
+    pins = spark.createDataFrame([("p", "k0", "1.0")], "project string, package string, version string")
+    direct = [(f"k{k}", v, f"k{k + 1 if k + 1 < n else 1}", f">={v}", v) for k in range(n) for v in ("1.0", "2.0")]
+    return pins, spark.createDataFrame(direct, "parent string, parent_version string, dep string, spec string, dep_version string")
+
+
+def test_trees_grow_to_their_ends(spark):
+    nodes, edges = simulate.trees(*deep(spark, 20))
+    assert {(r.package, r.version) for r in nodes.collect()} == {(f"k{k}", "1.0") for k in range(20)} and edges.count() == 20
+
+
+def test_changes_of_deep_packages_are_counted(spark):
+    pins, direct = deep(spark, 19)
+    ups = spark.createDataFrame([("p", "k0", "2.0", 0)], "project string, package string, target_version string, position int")
+    releases = spark.createDataFrame([(f"k{k}", v, None) for k in range(19) for v in ("1.0", "2.0")], "package string, version string, python_requires string")
+    r = simulate.simulate(pins, ups, direct, releases, "3.11", ("summary",))["summary"].first()
+    assert (r.bumped, r.added, r.removed, r.chain) == (19, 0, 0, 18)
