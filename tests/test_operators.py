@@ -306,3 +306,37 @@ def test_hits_of_several_names_meet_a_symbol_once(spark):
     got = [tuple(r) for r in joins.match_symbols(hits, symbols).collect()]
     want = [(h, c, "short") for h in (1, 2, None) for c in ("c1", "c2")] + [(3, "c3", "exact")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def plain_ranks(n, edges, iterations=100, tolerance=1e-9, d=0.85):
+    r, out = [1.0 / n] * n, [sum(a == k for a, _ in edges) for k in range(n)]
+    for done in range(1, iterations + 1):
+        loose = sum(x for k, x in enumerate(r) if not out[k])
+        new = [(1 - d) / n + d * loose / n] * n
+        for a, b in edges:
+            new[b] += d * r[a] / out[a]
+        gap, r = sum(abs(x - y) for x, y in zip(r, new)), new
+        if gap < tolerance:
+            break
+    return r, done
+
+
+def ranked(spark, n, edges, **more):
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "id int")
+    got = {x.id: x["rank"] for x in graph.pagerank(nodes, spark.createDataFrame(edges, "src int, dst int"), **more).collect()}
+    return [got[k] for k in range(n)]
+
+
+def test_pagerank_of_short_paths_writes_few_tables(spark, monkeypatch):
+    edges = [(k, 12 + k % 3) for k in range(12)] + [(0, 13), (0, 13), (12, 14)]
+    want, rounds = plain_ranks(16, edges)
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: written.append(1) or real(df))
+    assert max(abs(x - y) for x, y in zip(want, ranked(spark, 16, edges))) < 1e-12
+    assert rounds > 20 and len(written) < 5
+
+
+def test_pagerank_of_long_paths_and_cycles_goes_on(spark):
+    for edges, more in (([(k, k + 1) for k in range(11)] + [(3, 0), (3, 5)], {"iterations": 12}), ([(0, 1), (1, 0), (1, 2), (2, 3)], {"iterations": 3}), ([(k, k + 1) for k in range(11)], {"tolerance": 1e-2})):
+        want, _ = plain_ranks(12, edges, **more)
+        assert max(abs(x - y) for x, y in zip(want, ranked(spark, 12, edges, **more))) < 1e-12
