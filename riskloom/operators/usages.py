@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.scratch import cut
+
 USES = "file string, kind string, line int, col int, name string, method string, source_line string"
 
 
@@ -31,6 +33,8 @@ def uses_of(text: str | None) -> list[tuple]:
         return []
     lines, out = (text or "").split("\n"), []
     scopes = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
+    binds, loops, leaves = (ast.Assign, ast.AnnAssign, ast.NamedExpr), (ast.For, ast.AsyncFor, ast.comprehension), (ast.Name, ast.Constant, ast.expr_context)
+    comprehensions = (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)
 
     def chain(node, names: dict) -> str | None:
         parts = []
@@ -76,6 +80,8 @@ def uses_of(text: str | None) -> list[tuple]:
         out.append((kind, node.lineno, node.col_offset, name, method, lines[node.lineno - 1].rstrip()))
 
     def visit(node, names: dict, own: dict | None) -> None:
+        if isinstance(node, leaves):
+            return
         if isinstance(node, ast.Import):
             for a in node.names:
                 names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
@@ -113,7 +119,7 @@ def uses_of(text: str | None) -> list[tuple]:
             return
         if isinstance(node, ast.Call):
             note("call", node, chain(node.func, names), node.func.attr if isinstance(node.func, ast.Attribute) else None)
-        if isinstance(node, ast.Assign | ast.AnnAssign | ast.NamedExpr):
+        if isinstance(node, binds):
             if node.value is not None:
                 visit(node.value, names, own)
             what = value(node.value, names)
@@ -124,13 +130,13 @@ def uses_of(text: str | None) -> list[tuple]:
                     visit(target, names, own)
                 bind(target, what, names, own)
             return
-        if isinstance(node, ast.For | ast.AsyncFor | ast.comprehension):
+        if isinstance(node, loops):
             visit(node.iter, names, own)
             bind(node.target, None, names, own)
             for x in (*getattr(node, "body", ()), *getattr(node, "orelse", ()), *getattr(node, "ifs", ())):
                 visit(x, names, own)
             return
-        if isinstance(node, ast.ListComp | ast.SetComp | ast.GeneratorExp | ast.DictComp):
+        if isinstance(node, comprehensions):
             inner = dict(names)
             for g in node.generators:
                 visit(g, inner, own)
@@ -176,7 +182,9 @@ def breaking(uses: DataFrame, changes: DataFrame) -> DataFrame:
     changes: symbol, module, change_type. A use reaches a symbol if their names are equal, or share their last part and
     their first, as packages hand on names from the modules that define them. A removed module breaks its imports and
     those of what lies in it. A call whose receiver is unknown may be to any removed method of its name: confidence LOW.
+    Uses are written once, so that sources are parsed once for all three joins.
     """
+    uses = cut(uses)
     first, last = _ends(F.col("name"))
     known = uses.filter("name is not null and kind != 'module'").withColumns({"first": first, "last": last})
     c_first, c_last = _ends(F.col("symbol"))

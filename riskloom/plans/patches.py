@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import patches, usages
+from riskloom.operators.scratch import spread
 from riskloom.plans.analogs import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +98,8 @@ FOUND = """
   SELECT concat('m', p_partkey, '.py') AS file, line, col, replace(source_line, '#', p_partkey::VARCHAR) AS source_line, replace(symbol, '#', p_partkey::VARCHAR) AS matched_symbol, change_type, confidence FROM part, f WHERE each = 1 OR p_partkey % 2 = 0""")
 def breaking_uses(spark, sf):
     part = view(spark, sf, "part")
-    sources = part.selectExpr("concat('m', p_partkey, '.py') as path", f"replace(replace('{SOURCE}', '~', char(10)), '#', cast(p_partkey as string)) as text")
+    # keys are dealt before texts are made of them
+    sources = spread(part.select("p_partkey"), "p_partkey").selectExpr("concat('m', p_partkey, '.py') as path", f"replace(replace('{SOURCE}', '~', char(10)), '#', cast(p_partkey as string)) as text")
     return usages.breaking(usages.extract_uses(sources), spark.sql(CHANGES, part=part))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from riskloom.operators import patches, usages
+from riskloom.operators.scratch import spread
+from riskloom.sources import readers, writers
 
 
 def symbols(spark, text, root="pkg"):
@@ -90,3 +92,22 @@ def test_one_short_name_with_many_owners_stays_linear(spark):
     hits = spark.range(20_000).selectExpr("id as hit_id", "'other.load' as fqn")
     got = usages.lookups(hits, usages.symbol_index(owned, spark.createDataFrame([], "package string, fqn string")))
     assert got.groupBy("how", "targets").count().collect() == [("suffix", 20_000, 20_000)]
+
+
+def test_sources_are_parsed_once(spark):
+    sources = spread(spark.createDataFrame([("a.py", "import lib\nlib.f()\n")], "path string, text string"), "path")
+    changes = spark.createDataFrame([("lib.f", "lib", "FUNCTION_REMOVED")], "symbol string, module string, change_type string")
+    assert sources.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = usages.breaking(usages.extract_uses(sources), changes)
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
+    assert [(r.line, r.matched_symbol) for r in found.collect()] == [(2, "lib.f")]
+
+
+def test_tasks_write_patch_files_under_their_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "_write_through_spark", lambda *_: pytest.fail("the driver renamed the files"))
+    rows = [(f"cve-{k}", f'{{"cve_id": "CVE-{k}", "status": "ok"}}') for k in range(20)] + [("CVE-3", '{"cve_id": "CVE-3", "status": "late"}'), ("CVE-20", '{"cve_id": '), ("x/y:z", "{}"), ("CVE-21", None)]
+    writers.write_patch_files(spark.createDataFrame(rows, "cve_id string, text string"), str(tmp_path))
+    assert {f.name for f in tmp_path.iterdir() if not f.name.startswith(".")} == {f"CVE-{k}.json" for k in range(22)} | {"X_Y%3AZ.json"}
+    assert (tmp_path / "CVE-21.json").read_text() == "\n"
+    assert {(r.cve_id, r.status) for r in readers.read_patches(spark, str(tmp_path)).collect() if r.cve_id} == {(f"CVE-{k}", "late" if k == 3 else "ok") for k in range(20)}
+    assert readers.read_patches(spark, str(tmp_path / "none")).count() == 0
