@@ -48,8 +48,10 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """All cached patches, CVE-*.json; corrupt files are skipped."""
-    return read_json(spark, f"{folder}/CVE-*.json", sc.PATCH)
+    """All cached patches, CVE-*.json; corrupt files are skipped. The folder is listed once, as a path for each file would be listed by itself."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], sc.PATCH)
+    return spark.read.schema(sc.PATCH).json(folder, multiLine=True, mode="DROPMALFORMED", pathGlobFilter="CVE-*.json")
 
 
 def lookup_patch(spark: SparkSession, path: str, cve_id: str) -> DataFrame:

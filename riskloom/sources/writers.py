@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.scratch import spread
+
+#: What Spark writes as %XX in names of folders, and so do names of files.
+UNSAFE = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
 
 def write_json(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Rows as JSON lines with sorted columns."""
@@ -38,14 +46,48 @@ def write_patches(patches: DataFrame, path: str) -> None:
 def write_patch_files(patches: DataFrame, path: str) -> None:
     """A file of its own for each patch (cve_id, text), named CVE-....json after its id in capitals, as other tools read them.
 
-    The files are written from the tasks through the folder's own file system, each whole before it gets its name.
+    Tasks write the files, each whole before it gets its name, so their number is no work of the driver's. Of ids that
+    differ in capitals alone the least text stays. In file systems that only Hadoop reaches Spark writes them, and the
+    driver gives them their names.
     """
+    from pyarrow import ArrowException
+    from pyarrow.fs import FileSystem
+
     spark = patches.sparkSession
-    named = patches.select(F.replace(F.upper("cve_id"), F.lit("/"), F.lit("_")).alias("name"), F.col("text").alias("value"))
-    parts = f"{path}/_parts"
-    named.write.partitionBy("name").mode("overwrite").option("maxRecordsPerFile", 1).text(parts)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop(path))
+    named = patches.select(F.coalesce(F.nullif(F.replace(F.upper("cve_id"), F.lit("/"), F.lit("_")), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("name"), F.col("text").alias("value")).groupBy("name").agg(F.min("value").alias("value"))
+    where = re.sub("^file:/+", "file:///", store.makeQualified(hadoop(path)).toString())
+    try:
+        FileSystem.from_uri(where)
+    except (ArrowException, OSError):
+        _write_through_spark(named, path, store, hadoop)
+        return
+
+    def write(parts: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        files, folder = FileSystem.from_uri(where)
+        for batch in parts:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", name)
+                begun = f"{folder}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(begun) as out:
+                    out.write(f"{value or ''}\n".encode())
+                files.move(begun, f"{folder}/{whole}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spread(named, "name").mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def _write_through_spark(named: DataFrame, path: str, store, hadoop) -> None:
+    """The files (name, value) as parts that Spark writes and the driver renames."""
+    parts = f"{path}/_parts"
+    named.write.partitionBy("name").mode("overwrite").option("maxRecordsPerFile", 1).text(parts)
     for folder in store.globStatus(hadoop(f"{parts}/name=*")):
         name = folder.getPath().getName().split("=", 1)[1]
         for file in store.globStatus(hadoop(f"{parts}/name={name}/part-*")):
