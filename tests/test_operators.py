@@ -340,3 +340,15 @@ def test_pagerank_of_long_paths_and_cycles_goes_on(spark):
     for edges, more in (([(k, k + 1) for k in range(11)] + [(3, 0), (3, 5)], {"iterations": 12}), ([(0, 1), (1, 0), (1, 2), (2, 3)], {"iterations": 3}), ([(k, k + 1) for k in range(11)], {"tolerance": 1e-2})):
         want, _ = plain_ranks(12, edges, **more)
         assert max(abs(x - y) for x, y in zip(want, ranked(spark, 12, edges, **more))) < 1e-12
+
+
+def test_requirers_are_those_of_the_tree_alone(spark, monkeypatch):
+    rows = [(f"k{k:02}", f"k{k + 1:02}") for k in range(20)] + [("k02", "k00"), ("k15", "k03"), ("x", "k01"), ("k15", "y"), ("k03", "k05"), ("k03", "k05")]
+    requires = spark.createDataFrame(rows, "package string, dep string")
+    root = spark.createDataFrame([("k00",)], "package string")
+    tree = [r.package for r in graph.resolve_tree(root, requires).collect()]
+    want = sorted({(d, p) for p, d in rows if p in tree and d in tree})
+    written = []
+    monkeypatch.setattr(graph.Grown, "add", lambda self, df, real=graph.Grown.add: written.append(df.columns) or real(self, df))
+    found = graph.requirers(root, requires).collect()
+    assert sorted((r.package, r.parent) for r in found) == want and all("path" not in c for c in written)
