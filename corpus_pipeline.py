@@ -24,7 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least doc_id, nulls last."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least doc_id, nulls last.
+
+    SimHash links of op8's grid come first, buckets of shingles find the copies that these miss; all are verified.
+    """
     return keep_one(docs, near_clusters)
 
 

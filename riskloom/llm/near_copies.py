@@ -9,7 +9,11 @@ either set bounds how many the two can share, which drops most chance pairs. All
 How many texts hold a shingle is counted for all of them, in one shuffle of packed hashes: a bucket of hashes counts
 what it gets and hands back those that two texts or more hold, by the chunk of texts that they came from.
 
-So that n near copies don't make n * n pairs, each set is first verified against two leaders of its buckets and the
+Pairs come first from op8's method, on SimHashes of these sets: its popcount grid, Manhattan distance and bits link
+fingerprints within two bits. What they link is verified like all else, as near fingerprints alone don't make near copies;
+most near copies lie further apart, and the buckets find them.
+
+So that n near copies don't make n * n pairs, each set is at first verified against two leaders of its buckets too and the
 components of these links are taken; two more rounds verify those outside of a bucket's largest component against other
 leaders. Then the pairs that are left are made: those of a bucket whose components still differ, each set outside of the
 bucket's largest component with every other one. Beside the places, 512 bits of each set, one for each residue of its
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_schema, buckets_of, dealt, pack, spans, unpack, written
-from riskloom.llm.op8_simhash import LAST, components, keyed
+from riskloom.llm.op8_simhash import LAST, components, keyed, links
 
 SHINGLE, SEED = 5, 42
 #: Least similarity, as a fraction.
@@ -38,7 +42,7 @@ WIDE = 8
 #: Shingles that a task holds at a time (a longer text is held whole), shingles of a bucket, about, and buckets at most.
 CHUNK, BUCKET, BUCKETS = 1_000_000, 4_000_000, 2**16
 MARKS = [f"s{k}" for k in range(WIDE)]
-FACTS = "doc_id:long,crc:long,sid:long,n:int," + ",".join(f"{m}:long" for m in MARKS)
+FACTS = "doc_id:long,crc:long,sid:long,n:int,fp:long," + ",".join(f"{m}:long" for m in MARKS)
 HELD = f"bucket int, chunk long, n int, hashes binary, facts array<struct<{FACTS}>>"
 SHARED = f"chunk long, n int, hashes binary, facts array<struct<{FACTS}>>"
 SETS = FACTS.replace(":", " ").replace(",", ", ") + ", own int, prefix array<long>"
@@ -83,6 +87,14 @@ def marks(x) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def fingerprint(x) -> int:
+    """The SimHash of a set: bits that are set in over half of its hashes."""
+    import numpy as np
+
+    ones = np.unpackbits(x.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(x)).view(np.int64)[0])
+
+
 def first(n: int) -> int:
     """So many shingles of a set of n in the fixed order that any similar set has one of them among its own; none if only an equal set is that similar."""
     if DEN * (n - 1) < NUM * n and DEN * n < NUM * (n + 1):
@@ -119,7 +131,7 @@ def sets(docs: DataFrame) -> DataFrame:
             total = 0
             for doc_id, crc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 x = shingles(text.as_py())
-                facts.append((doc_id, crc, int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED)).view(np.int64)), len(x), *marks(x)))
+                facts.append((doc_id, crc, int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), SEED)).view(np.int64)), len(x), fingerprint(x), *marks(x)))
                 # sets without a prefix meet nothing, but others' counts don't depend on them either
                 found.append(x if first(len(x)) else x[:0])
                 total += len(found[-1])
@@ -199,15 +211,26 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts.selectExpr("sid as b", "text as y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
 
 
+def by_bits(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sids by op8's popcount grid: sets (sid, fp) of one fingerprint with the least of them, and these if their fingerprints are linked."""
+    least = written(sets.groupBy("fp").agg(F.min("sid").alias("lo")), "fingerprints")
+    same = sets.join(least.hint("merge"), "fp").filter("sid > lo").selectExpr("sid as a", "lo as b")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = links(least.select("fp").repartition(n, "fp"))
+    met = met.join(least.selectExpr("fp as a", "lo as x").hint("merge"), "a").join(least.selectExpr("fp as b", "lo as y").hint("merge"), "b")
+    return same.unionByName(met.selectExpr("greatest(x, y) as a", "least(x, y) as b"))
+
+
 def linked(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(node, root) of the sids that are similar to another one."""
     met = held.filter("size(prefix) > 0").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    reps = written(met.groupBy("sid").agg(F.min(F.struct("doc", "crc", "n", "own", "prefix", *MARKS)).alias("r")).select("sid", "r.*"), "sets")
+    reps = written(met.groupBy("sid").agg(F.min(F.struct("doc", "crc", "n", "own", "prefix", "fp", *MARKS)).alias("r")).select("sid", "r.*"), "sets")
     rows = reps.select("sid", "n", "own", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at") + F.col("own")).drop("own")
     shared = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("key")
     members = written(rows.join(shared.hint("merge"), "key", "left_semi").select("key", "sid", "n", "at"), "members")
 
-    wanted = reps.join(members.select("sid").distinct().hint("merge"), "sid", "left_semi").select("sid", "doc", "crc")
+    meeting = reps.join(members.select("sid").distinct().hint("merge"), "sid", "left_semi")
+    wanted = meeting.select("sid", "doc", "crc")
     source = keyed(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "crc", "text")
     texts = written(source.join(wanted.hint("merge"), ["doc", "crc"]).select("sid", "text").groupBy("sid").agg(F.first("text").alias("text")), "texts")
 
@@ -231,7 +254,8 @@ def linked(docs: DataFrame, held: DataFrame) -> DataFrame:
 
     # at first every set is a component, and none is the largest
     alone = members.join(marked, "sid").withColumns({"root": F.col("sid"), "top": F.expr("~sid")})
-    edges = written(verified(led(alone, 0, LEADERS), texts), "near")
+    begun = by_bits(meeting.select("sid", "fp")).unionByName(led(alone, 0, LEADERS)).distinct()
+    edges = written(verified(begun, texts), "near")
     rows = mixed(edges)
     for k in range(1, ROUNDS + 1):
         edges = written(edges.unionByName(verified(led(rows, k, LEADERS * 2**k), texts)), "near")

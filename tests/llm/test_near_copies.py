@@ -101,3 +101,20 @@ def test_stage_on_odd_rows(spark, odd, none):
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, "").collect()]
     assert kept.count(7) == 1 and 8 not in kept and 1 in kept and 2 not in kept and 3 not in kept and 9 in kept and 10 not in kept
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
+def test_links_of_the_grid_are_pairs(spark, monkeypatch):
+    sets = [(1, 0), (2, 0), (3, 3), (4, 0b11111 << 20), (5, 0b1111 << 20), (6, -1)]
+    got = {(r.a, r.b) for r in near_copies.by_bits(spark.createDataFrame(sets, "sid long, fp long")).collect()}
+    assert {(2, 1), (3, 1), (5, 4)} == got
+    asked = []
+    monkeypatch.setattr(near_copies, "by_bits", lambda held, real=near_copies.by_bits: asked.append(held.columns) or real(held))
+    words = [f"w{k}" for k in range(60)]
+    docs = frame(spark, [(1, " ".join(words), "s"), (2, " ".join([*words[:59], "x"]), "s"), (3, " ".join(reversed(words)), "s")])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3} and asked == [["sid", "fp"]]
+
+
+def test_fingerprints_are_majorities():
+    x = np.array([1, 3, 5], np.uint64)
+    bits = np.unpackbits(np.array([near_copies.fingerprint(x)], np.int64).view(np.uint8))
+    assert bits.sum() == 1 and near_copies.fingerprint(x[:0]) == 0
