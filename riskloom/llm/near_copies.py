@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_schema, buckets_of, dealt, pack, spans, unpack, written
@@ -244,25 +244,30 @@ def linked(docs: DataFrame, held: DataFrame) -> DataFrame:
         found = rows.filter("root != top").alias("m").join(lead.hint("merge"), "key").select(F.struct(*[f"m.{c}" for c in ("sid", "n", "at", "root", *MARKS)]).alias("m"), F.explode(F.array(*[f"l{k}" for k in each])).alias("l"))
         return found.filter(f"m.root != l.root and {_may('m', 'l')} and {_can('m', 'l')}").selectExpr(*[e.format("m", "l") for e in ends]).distinct()
 
-    def mixed(edges: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component, with their root and that of the bucket's largest one."""
-        roots = components(edges).select(F.col("node").alias("sid"), "root")
-        placed = members.join(roots.hint("merge"), "sid", "left").select("key", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
+    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component, with their root and that of the bucket's largest one."""
+        placed = rows.drop("root", "top").join(roots.selectExpr("node as sid", "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        left = placed.join(parts.filter("parts > 1").select("key", F.col("top.root").alias("top")).hint("merge"), "key")
-        return written(left.join(marked, "sid"), "mixed")
+        return placed.join(parts.filter("parts > 1").select("key", F.col("top.root").alias("top")).hint("merge"), "key")
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """(node, root) with the components that the similar ones of the pairs join, and whether there are any; what a component is made of isn't linked again."""
+        seen = Observation()
+        near = written(verified(pairs, texts).observe(seen, F.count(F.lit(1)).alias("n")), "near")
+        return (components(roots.selectExpr("node as a", "root as b").unionByName(near)), True) if seen.get["n"] else (roots, False)
 
     # at first every set is a component, and none is the largest
     alone = members.join(marked, "sid").withColumns({"root": F.col("sid"), "top": F.expr("~sid")})
     begun = by_bits(meeting.select("sid", "fp")).unionByName(led(alone, 0, LEADERS)).distinct()
-    edges = written(verified(begun, texts), "near")
-    rows = mixed(edges)
+    roots = components(written(verified(begun, texts), "near"))
+    rows = written(mixed(members, roots).join(marked, "sid"), "mixed")
     for k in range(1, ROUNDS + 1):
-        edges = written(edges.unionByName(verified(led(rows, k, LEADERS * 2**k), texts)), "near")
-        rows = mixed(edges)
+        roots, more = joined(roots, led(rows, k, LEADERS * 2**k))
+        # a bucket of one component stays one
+        rows = written(mixed(rows, roots), "mixed") if more else rows
     meet = F.expr(f"x.key = y.key and x.root != y.root and (y.root = y.top or x.sid > y.sid) and {_may('x', 'y')} and {_can('x', 'y')}")
     pairs = rows.filter("root != top").alias("x").join(rows.alias("y").hint("merge"), meet).selectExpr(*[e.format("x", "y") for e in ends]).distinct()
-    return components(edges.unionByName(verified(pairs, texts)))
+    return joined(roots, pairs)[0]
 
 
 def near_clusters(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import documents, written
@@ -121,23 +121,23 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each component, for nodes that have a link.
+    """(node, root): the least node of each component, for nodes that have a link. edges: a and b of each link, read more than once.
 
     Each round links every node's larger neighbours, then its smaller ones, to the least node it sees; a written table
-    cuts the lineage after each round. Rounds grow with the logarithm of the size of a component.
+    cuts the lineage after each round. Rounds grow with the logarithm of the size of a component. Links stay as they are
+    once no lower end sees a node below it and no node has two lower ones; that is observed while the round is written.
     """
-    edges = written(edges.selectExpr("a", "b"), "links")
+    edges = edges.select("a", "b")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.join(least.hint("merge"), "a").filter("b > a").selectExpr("b as a", "m as b").filter("a > b").distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").selectExpr("b as a", "m as b", "m < a as moved")
         # every node that has a smaller neighbour hands these on to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("hi"))
-        small = large.join(low.select("a", "m").hint("merge"), "a").selectExpr("b as a", "m as b").filter("a > b").unionByName(low.selectExpr("a", "m as b")).distinct()
-        after = written(small, "links")
-        moved = after.join(edges.hint("merge"), ["a", "b"], "left_anti").limit(1).count() or edges.join(after.hint("merge"), ["a", "b"], "left_anti").limit(1).count()
-        edges = after
-        if not moved:
+        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = low.selectExpr("inline(array_compact(array(if(b > m, struct(b as a, m as b, true as moved), null), struct(a, m as b, moved or b > m as moved))))").groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        seen = Observation()
+        edges = written(small.observe(seen, F.count_if("moved").alias("moved")).select("a", "b"), "links")
+        if not seen.get["moved"]:
             return edges.selectExpr("a as node", "b as root")
     raise RuntimeError("links did not settle")
 
@@ -148,7 +148,7 @@ def rooted(docs: DataFrame) -> DataFrame:
     fps = held.select("fp").distinct()
     # each row is about to make forty; a set number of partitions keeps them apart
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = components(links(fps.repartition(n, "fp")))
+    roots = components(written(links(fps.repartition(n, "fp")), "links"))
     return held.join(roots.hint("merge"), held.fp == roots.node, "left").select("doc_id", "crc", "fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -267,3 +267,17 @@ def test_marginals_match_enumeration():
     assert np.allclose(got, want) and not len(empty)
     joint = np.array([[sum(weight(t) * sum((x, y) == (a, b) for x, y in zip(t, t[1:])) for t in every) / z for b in (0, 1)] for a in (0, 1)])
     assert np.allclose(pairs, joint)
+
+
+def test_components_take_few_jobs(spark):
+    """Each job leaves its plan and metrics with the driver: a round asks no more of it than its own table."""
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 50), (101, 50), (101, 100), (205, 201), (205, 202), (205, 203)], "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("components", "counted")
+    try:
+        roots = op8_simhash.components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    got = {r.node: r.root for r in roots.collect()}
+    assert got == {k + 1: 0 for k in range(40)} | {100: 50, 101: 50, 202: 201, 203: 201, 205: 201}
+    assert jobs <= 50
