@@ -352,3 +352,15 @@ def test_requirers_are_those_of_the_tree_alone(spark, monkeypatch):
     monkeypatch.setattr(graph.Grown, "add", lambda self, df, real=graph.Grown.add: written.append(df.columns) or real(self, df))
     found = graph.requirers(root, requires).collect()
     assert sorted((r.package, r.parent) for r in found) == want and all("path" not in c for c in written)
+
+
+def test_ranks_read_lineitem_once(spark, monkeypatch):
+    from riskloom.plans import graphs
+
+    read, real = [], graphs.view
+    monkeypatch.setattr(graphs, "view", lambda *a: read.append(a[-1]) or real(*a))
+    given, pagerank = [], graph.pagerank
+    monkeypatch.setattr(graph, "pagerank", lambda nodes, edges: given.extend([nodes, edges]) or pagerank(nodes, edges))
+    for name in ("service_centrality", "centrality_upsert"):
+        assert graphs.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert read == ["exposed"] * 2 and len(given) == 4 and not any("lineitem" in f for df in given for f in df.inputFiles())
