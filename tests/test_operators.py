@@ -381,3 +381,33 @@ def test_pairs_of_hits_with_several_names_are_not_shuffled(spark):
     rows = sum(n for stage, n in sent().items() if stage not in before)
     assert sorted(got) == sorted((h, f"c{c}", "short") for h in range(100) for c in range(1000))
     assert 0 < rows < 20_000  # of 100,000 pairs
+
+
+def stages_since(spark, seen=()):
+    """Stage ids with the rows that each sent on by a shuffle, but for those seen before."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() not in seen}
+
+
+def test_pairs_of_a_hot_name_are_many_tasks_work_and_small_in_files(spark, tmp_path):
+    hits = spark.sql("select id as hit_id, 'm.f' as fqn from range(200)")
+    symbols = spark.sql("select concat('c', id) as cve_id, 'p.f' as fqn, 'f' as short_name from range(20000)")
+    joins.match_symbols(hits, symbols).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs")).groupBy("hit_id", "how").agg(F.count("s_cve").alias("n"), F.count_distinct("s_cve").alias("d")).collect()
+    assert sorted(map(tuple, got)) == [(h, "short", 20_000, 20_000) for h in range(200)]
+    files = [f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")]
+    assert sum(f > 20_000 for f in files) >= 4 and sum(files) < 2_000_000  # of 4,000,000 rows
+
+
+def test_pairs_in_small_parts_are_those_of_brute_force(spark, monkeypatch):
+    for k, n in (("PART", 8), ("SMALL", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(joins, k, n)
+    hits = [(k * 7 % 60 if k % 41 else None, None if k % 17 == 0 else f"{'pqr'[k % 3]}.f{k % 4}" if k % 5 else f"f{k % 4}") for k in range(300)]
+    symbols = [(f"c{k % 70}" if k % 23 else None, f"{'ps'[k % 2]}.f{k * k % 5}" if k % 9 else None, f"f{k * k % 5}" if k % 13 else None) for k in range(150)]
+    known = {f for _, f, _ in symbols if f}
+    want = {(h, c, "exact") for h, f in hits for c, g, _ in symbols if f and f == g}
+    want |= {(h, c, "short") for h, f in hits for c, _, s in symbols if f and "." in f and f not in known and f.split(".")[-1] == s}
+    got = joins.match_symbols(spark.createDataFrame(hits, "hit_id long, fqn string"), spark.createDataFrame(symbols, "cve_id string, fqn string, short_name string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr) and len({w for *_, w in want}) == 2
